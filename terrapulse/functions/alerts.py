@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .climate import _c
+from .climate import _c, null_d, null_s
 
-NULL_D = F.lit(None).cast("double")
 
 
 def clip(x, lo: float | None, hi: float | None) -> Column:
@@ -18,7 +17,7 @@ def clip(x, lo: float | None, hi: float | None) -> Column:
         out = F.greatest(out, F.lit(float(lo)))
     if hi is not None:
         out = F.least(out, F.lit(float(hi)))
-    return F.when(x.isNull(), NULL_D).otherwise(out)
+    return F.when(x.isNull(), null_d()).otherwise(out)
 
 
 def or_default(x, default) -> Column:
