@@ -21,6 +21,7 @@ DEFAULT_CONF = {
     # broadcast by accident.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
