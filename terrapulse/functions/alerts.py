@@ -184,8 +184,9 @@ def spei_mean_note(mean_spei) -> Column:
 
 # F51 ------------------------------------------------------------------------
 def card_status(value_text) -> Column:
-    v = F.lower(_c(value_text).cast("string"))
-    return (F.when(_c(value_text).isNull() | (v == "") | (v == "n/a"), F.lit("No Data"))
+    raw = _c(value_text).cast("string")
+    v = F.lower(raw)
+    return (F.when(raw.isNull() | (raw == "") | (raw == "N/A"), F.lit("No Data"))
             .when(v.rlike("risk|alert|severe|high"), F.lit("Warning"))
             .when(v.contains("moderate"), F.lit("Monitor"))
             .otherwise(F.lit("Normal")))

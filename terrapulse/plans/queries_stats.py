@@ -223,7 +223,14 @@ def q_forest_cover_trend(spark, d):
         F.sum("forest_cover").alias("total_cover"), F.count(F.lit(1)).alias("n_states"))
 
 
-@query("drought_frequency", "A14", sql=None)
+def _drought_freq_sql() -> str:
+    from .queries_climate import DROUGHT_SQL, WEEKLY_SQL
+    return ov.with_(ov.OBS, WEEKLY_SQL) + f"""
+SELECT month, category, COUNT(*) AS n, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY month) AS share
+FROM ({DROUGHT_SQL}) GROUP BY 1, 2"""
+
+
+@query("drought_frequency", "A14", sql=_drought_freq_sql())
 def q_drought_frequency(spark, d):
     from .queries_climate import q_drought_indicators
     dr = q_drought_indicators(spark, d)
@@ -232,7 +239,16 @@ def q_drought_frequency(spark, d):
                       (F.col("n") / F.sum("n").over(Window.partitionBy("month"))).alias("share"))
 
 
-@query("urbanization_projection", "A15", sql=None)
+def _urb_proj_sql() -> str:
+    from .queries_urban import urban_features_sql
+    return urban_features_sql() + """
+SELECT country, MIN(year) AS first_year, MAX(year) AS last_year, AVG(urbanization_rate) AS avg_urbanization_rate,
+       MAX(future_urb_rate) AS max_future_urb_rate,
+       arg_max(future_urban_pop, CASE WHEN future_urban_pop IS NOT NULL THEN year END) AS last_future_urban_pop
+FROM urban_features GROUP BY country"""
+
+
+@query("urbanization_projection", "A15", sql=_urb_proj_sql())
 def q_urbanization_projection(spark, d):
     from .queries_urban import urban_features
     u = urban_features(spark, d)
