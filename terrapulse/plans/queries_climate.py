@@ -243,3 +243,19 @@ def q_day_first_dates(spark, d):
     parsed = fc.parse_day_first(txt)
     return (ev.select(parsed.alias("event_date")).groupBy("event_date").agg(F.count(F.lit(1)).alias("n_events"))
             .select("event_date", fc.month_of("event_date").alias("month"), "n_events"))
+
+
+@query("ndvi_proxy_weekly", "F25 F24 F26", sql=ov.with_(ov.OBS, WEEKLY_SQL) + """
+SELECT location_id, week,
+  LEAST(GREATEST(0.15 + precip_week / 50.0 * 0.1 + solar / 4.0 / 5.0 * 0.05, 0.14), 0.6) AS ndvi_b,
+  CASE WHEN LEAST(GREATEST(0.15 + precip_week / 50.0 * 0.1 + solar / 4.0 / 5.0 * 0.05, 0.14), 0.6) > 0.6 THEN 'Dense/healthy vegetation'
+       WHEN LEAST(GREATEST(0.15 + precip_week / 50.0 * 0.1 + solar / 4.0 / 5.0 * 0.05, 0.14), 0.6) > 0.3 THEN 'Moderate vegetation'
+       WHEN LEAST(GREATEST(0.15 + precip_week / 50.0 * 0.1 + solar / 4.0 / 5.0 * 0.05, 0.14), 0.6) > 0.1 THEN 'Sparse vegetation / stress'
+       ELSE 'Bare soil or urban area' END AS band
+FROM weekly_weather""")
+def q_ndvi_proxy_weekly(spark, d):
+    """Vegetation proxy B from the weekly precipitation sum and a reference
+    evapotranspiration taken as a quarter of the mean radiation."""
+    w = weekly(spark, d)
+    nd = fa.ndvi_proxy_b("precip_week", F.col("solar") / F.lit(4.0))
+    return w.select("location_id", "week", nd.alias("ndvi_b"), fa.ndvi_band(nd).alias("band"))

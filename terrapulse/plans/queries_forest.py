@@ -83,3 +83,51 @@ def q_forest_extrapolation(spark, d):
     return out.select("state", "extrap_cover", "extrap_pct", "ndvi_used", "ndvi_change",
                       ff.ndvi_trend(F.col("ndvi_used") + F.col("ndvi_change"), "ndvi_used").alias("ndvi_trend"),
                       ff.cover_trend("_yoy").alias("cover_trend"))
+
+
+def _effects_full_sql() -> str:
+    a = "alert_level"
+    return ov.with_(ov.FOREST_FEATURES) + f"""
+SELECT state, year,
+  CASE WHEN aqi_impact_score > 150 THEN 'Very Poor (AQI 200-300 range)' WHEN aqi_impact_score > 100 THEN 'Poor (AQI 150-200 range)'
+       WHEN aqi_impact_score > 50 THEN 'Moderate (AQI 100-150 range)' ELSE 'Good (AQI below 100)' END AS aqi_category,
+  COALESCE(NULLIF(concat_ws('|',
+    CASE WHEN ndvi < 0.25 THEN 'Severe heat stress due to loss of tree cover' END,
+    CASE WHEN ndvi < 0.35 THEN 'Increased dust and particulate matter' END,
+    CASE WHEN {a} >= 2 THEN 'Higher vector-borne disease risk (malaria, dengue)' END,
+    CASE WHEN {a} >= 3 THEN 'Mental health impact from degraded environment' END,
+    CASE WHEN forest_pct < 20 THEN 'Inadequate natural carbon sink - CO2 rising' END), ''), 'No major health risks detected') AS health_risks,
+  COALESCE(NULLIF(concat_ws('|',
+    CASE WHEN {a} >= 2 THEN 'Reduced rainfall interception - flash flood risk' END,
+    CASE WHEN {a} >= 1 THEN 'Groundwater recharge declining' END,
+    CASE WHEN ndvi < 0.3 THEN 'River siltation increasing - water quality declining' END,
+    CASE WHEN (future_forest_cover - forest_cover) / (forest_cover + 1.0) * 100.0 < -5 THEN 'Watershed degradation accelerating' END), ''),
+    'Water security maintained') AS water_risks,
+  (future_forest_cover - forest_cover) / (forest_cover + 1.0) * 100.0 AS cover_change_pct,
+  CASE WHEN {a} >= 2 THEN 'High carbon release' WHEN {a} = 1 THEN 'Moderate' ELSE 'Stable' END AS carbon_impact,
+  COALESCE(NULLIF(concat_ws('|',
+    CASE WHEN {a} >= 1 THEN 'Reduced timber and non-timber forest produce' END,
+    CASE WHEN {a} >= 2 THEN 'Tribal & rural communities losing forest income' END,
+    CASE WHEN {a} >= 2 THEN 'Soil erosion reducing agricultural productivity' END,
+    CASE WHEN {a} >= 3 THEN 'Complete ecosystem collapse risk in affected areas' END), ''), 'Livelihoods not significantly impacted') AS livelihood,
+  CASE WHEN {a} = 3 THEN 'Critical' WHEN {a} = 2 THEN 'High' WHEN {a} = 1 THEN 'Moderate' ELSE 'Low' END AS species_risk_level,
+  CASE WHEN future_ndvi > ndvi THEN 'improving' ELSE 'declining' END AS ndvi_trend,
+  CASE WHEN human_impact_score > 60 THEN 'High risk' WHEN human_impact_score > 40 THEN 'Moderate risk' ELSE 'Low risk' END AS human_risk
+FROM forest_features WHERE future_forest_cover IS NOT NULL"""
+
+
+@query("forest_effects_full", "F35 F34 F42", sql=_effects_full_sql())
+def q_forest_effects_full(spark, d):
+    f = forest_features(spark, d).where(F.col("future_forest_cover").isNotNull())
+    e = ff.forest_effects_full("alert_level", "aqi_impact_score", "human_impact_score", "forest_pct", "ndvi",
+                               "future_forest_cover", "forest_cover")
+    x = f.select("state", "year", "future_ndvi", "ndvi", "human_impact_score", e.alias("e"))
+    return x.select("state", "year", F.col("e.air_quality.category").alias("aqi_category"),
+                    F.array_join("e.health.risks", "|").alias("health_risks"),
+                    F.array_join("e.water.risks", "|").alias("water_risks"),
+                    F.col("e.water.cover_change_pct").alias("cover_change_pct"),
+                    F.col("e.climate.carbon_impact").alias("carbon_impact"),
+                    F.array_join("e.livelihood.impacts", "|").alias("livelihood"),
+                    F.col("e.biodiversity.species_risk_level").alias("species_risk_level"),
+                    ff.ndvi_trend("future_ndvi", "ndvi").alias("ndvi_trend"),
+                    ff.human_risk_band("human_impact_score").alias("human_risk"))
