@@ -25,7 +25,8 @@ def exact_avg(col, scale: int = 2) -> Column:
 
 
 # A1 / A2 ----------------------------------------------------------------------------
-def weekly_weather(obs: DataFrame, key: str = "location_id", ts: str = "ts") -> DataFrame:
+def weekly_weather(obs: DataFrame, key: str = "location_id", ts: str = "ts",
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """Weekly aggregate per location (week starts Monday).
 
     Pairs max/min by reading (both must be present), precipitation of the first
@@ -33,7 +34,8 @@ def weekly_weather(obs: DataFrame, key: str = "location_id", ts: str = "ts") ->
     m/s and binned, and the annualized rainfall (week sum x 365/7)."""
     both = F.col("temp_max").isNotNull() & F.col("temp_min").isNotNull()
     mid = F.when(both, (F.col("temp_max") + F.col("temp_min")) / F.lit(2.0))
-    g = (obs.groupBy(key, F.date_trunc("week", F.col(ts)).cast("date").alias("week"))
+    # ``carry``: columns that are functions of the key (e.g. coordinates), kept as grouping keys
+    g = (obs.groupBy(key, *carry, F.date_trunc("week", F.col(ts)).cast("date").alias("week"))
          .agg(exact_avg(mid, 3).alias("avg_temp"),
               exact_avg(F.when(both, F.col("temp_max")), 2).alias("max_temp"),
               exact_avg(F.when(both, F.col("temp_min")), 2).alias("min_temp"),
@@ -71,11 +73,13 @@ def first_distinct(df: DataFrame, col: str, order_col: str, n: int = 10, sep: st
 
 
 # A6 ---------------------------------------------------------------------------------
-def mode_by(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
+def mode_by(df: DataFrame, key: str, col: str, out: str, count_col: str | None = None) -> DataFrame:
     """Most frequent value per key, ties to the smallest value.  Counting
     (key, value) pairs is a partial + final aggregate; the pick is a window
-    over the distinct pairs only."""
-    cnt = df.groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
+    over the distinct pairs only.  ``count_col``: ``df`` is already a
+    pre-aggregate and this column holds the row counts."""
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    cnt = df.groupBy(key, col).agg(n.alias("_n"))
     w = Window.partitionBy(key).orderBy(F.col("_n").desc(), F.col(col).asc())
     return cnt.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, F.col(col).alias(out))
 
@@ -120,10 +124,12 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Per-class precision / recall / F1 / support, plus accuracy, macro and
     weighted averages as extra rows (class names 'accuracy', 'macro avg',
     'weighted avg').  Two aggregates over the predictions, then tiny math."""
-    tp = df.groupBy(F.col(label).alias("cls")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.count_if(F.col(label) == F.col(pred)).alias("tp"))
-    pc = df.groupBy(F.col(pred).alias("cls")).agg(F.count(F.lit(1)).alias("pred_n"))
+    # one aggregate: the confusion matrix (at most classes^2 rows); everything
+    # else is derived from it
+    conf = df.groupBy(F.col(label).alias("_y"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    tp = conf.groupBy(F.col("_y").alias("cls")).agg(
+        F.sum("_n").alias("support"), F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)).alias("tp"))
+    pc = conf.groupBy(F.col("_p").alias("cls")).agg(F.sum("_n").alias("pred_n"))
     per = tp.join(pc, "cls", "full").select(
         "cls", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("tp", F.lit(0)).alias("tp"),
         F.coalesce("pred_n", F.lit(0)).alias("pred_n"))
@@ -152,25 +158,43 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 # A16 --------------------------------------------------------------------------------
-def exact_quantile(df: DataFrame, key: str, col: str, q: float, out: str) -> DataFrame:
-    """Exact linear-interpolated quantile per key from a value histogram.
-
-    Rows are first reduced to (key, value, count) by a partial + final
-    aggregate, so no group's raw rows are ever gathered in one task; the
-    running counts run over distinct values only."""
-    hist = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(key).orderBy(col)
-    cum = hist.select(key, col, "_c",
-                      (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_lo"),
-                      F.sum("_c").over(Window.partitionBy(key)).alias("_n"))
+def distribution_by_key(df: DataFrame, key: str, cols: list[str], q: float = 0.5) -> DataFrame:
+    """Per key and measure: mean, sample standard deviation and the exact
+    linear-interpolated ``q`` quantile, all from one value histogram.
+
+    The measures are stacked to (key, metric, value) and reduced to counts per
+    distinct value by a partial + final aggregate, so no group's raw rows are
+    ever gathered in one task and the input is scanned once.  The moments are
+    two-pass over the histogram (mean first, then squared deviations), which
+    avoids the cancellation of a sum-of-squares formula."""
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v"))
+                                              for c in cols])).alias("m"))
+    hist = (long.where(F.col("m.v").isNotNull())
+            .groupBy(key, F.col("m.metric").alias("metric"), F.col("m.v").alias("v"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    grp = Window.partitionBy(key, "metric")
+    w = grp.orderBy("v")
+    h = hist.select(key, "metric", "v", "_c",
+                    (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_lo"),
+                    F.sum("_c").over(grp).alias("_n"),
+                    (F.sum(F.col("v") * F.col("_c")).over(grp) / F.sum("_c").over(grp)).alias("_mean"))
     pos = F.lit(q) * (F.col("_n") - F.lit(1)).cast("double")
     lo_i, hi_i = F.floor(pos), F.ceil(pos)
     has = lambda i: (F.col("_lo") <= i) & (i < F.col("_lo") + F.col("_c"))
-    picked = cum.select(key, "_n", pos.alias("_pos"),
-                        F.when(has(lo_i), F.col(col)).alias("_v_lo"), F.when(has(hi_i), F.col(col)).alias("_v_hi"))
-    agg = picked.groupBy(key).agg(F.max("_v_lo").alias("_a"), F.max("_v_hi").alias("_b"), F.first("_pos").alias("_p"))
+    agg = h.groupBy(key, "metric").agg(
+        F.first("_mean").alias("mean"),
+        F.sqrt(F.sum(F.col("_c") * (F.col("v") - F.col("_mean")) * (F.col("v") - F.col("_mean")))
+               / (F.first("_n") - F.lit(1))).alias("std"),
+        F.max(F.when(has(lo_i), F.col("v"))).alias("_a"), F.max(F.when(has(hi_i), F.col("v"))).alias("_b"),
+        F.first(pos).alias("_p"))
     frac = F.col("_p") - F.floor(F.col("_p"))
-    return agg.select(key, (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias(out))
+    return agg.select(key, "metric", "mean", "std", (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("quantile"))
+
+
+def exact_quantile(df: DataFrame, key: str, col: str, q: float, out: str) -> DataFrame:
+    """Exact linear-interpolated quantile of one measure per key (see
+    ``distribution_by_key``)."""
+    return distribution_by_key(df, key, [col], q).select(key, F.col("quantile").alias(out))
 
 
 # A17 --------------------------------------------------------------------------------

@@ -39,11 +39,8 @@ WEEKLY_COLS = ["location_id", "week", "avg_temp", "max_temp", "min_temp", "preci
 
 
 def weekly(spark, d):
-    o = bindings.obs(spark, d)
-    w = stats.weekly_weather(o.withColumnRenamed("location_id", "_loc"), key="_loc")
-    # lat/lon are functions of the location: attach them after the aggregate
-    geo = o.select(F.col("location_id").alias("_loc"), "lat", "lon").distinct()
-    return w.join(geo, "_loc").withColumnRenamed("_loc", "location_id")
+    # lat/lon are functions of the location: grouping by them too is free
+    return stats.weekly_weather(bindings.obs(spark, d), carry=("lat", "lon"))
 
 
 @query("weekly_weather", "A1 A2 F10 P8",

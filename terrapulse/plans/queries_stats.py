@@ -123,9 +123,12 @@ SELECT yl.state, yl.mean_yield, soil.soil_type AS top_soil, crop.crop AS top_cro
 FROM yl JOIN soil ON yl.state = soil.state JOIN crop ON yl.state = crop.state""")
 def q_crop_lookup(spark, d):
     rows = bindings.crop_rows(spark, d).where(F.col("state").rlike("(?i)nation_1"))
-    soil = stats.mode_by(rows, "state", "soil_type", "top_soil")
-    crop = stats.mode_by(rows, "state", "crop", "top_crop")
-    yl = rows.groupBy("state").agg(F.avg("crop_yield").alias("mean_yield"))
+    # one scan: a (state, soil, crop) pre-aggregate feeds both modes and the mean
+    pre = rows.groupBy("state", "soil_type", "crop").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("crop_yield").alias("_sy"), F.count("crop_yield").alias("_cy"))
+    soil = stats.mode_by(pre, "state", "soil_type", "top_soil", count_col="_n")
+    crop = stats.mode_by(pre, "state", "crop", "top_crop", count_col="_n")
+    yl = pre.groupBy("state").agg((F.sum("_sy") / F.sum("_cy")).alias("mean_yield"))
     out = yl.join(soil, "state").join(crop, "state")
     return out.select("state", "mean_yield", "top_soil", "top_crop",
                       F.format_string("In %s the most common soil is %s and the most common crop is %s",
@@ -169,8 +172,11 @@ def baseline_predictions(spark, d):
     """Majority crop of the state as the class prediction and the crop's mean
     yield as the regression prediction (a deterministic baseline model)."""
     rows = bindings.crop_rows(spark, d)
-    maj = stats.mode_by(rows, "state", "crop", "pred_crop")
-    mean = rows.groupBy("crop").agg(F.avg("crop_yield").alias("pred_yield"))
+    # one (state, crop) pre-aggregate (states x crops rows) gives both predictors
+    pre = rows.groupBy("state", "crop").agg(F.count(F.lit(1)).alias("_n"), F.sum("crop_yield").alias("_sy"),
+                                            F.count("crop_yield").alias("_cy"))
+    maj = stats.mode_by(pre, "state", "crop", "pred_crop", count_col="_n")
+    mean = pre.groupBy("crop").agg((F.sum("_sy") / F.sum("_cy")).alias("pred_yield"))
     return rows.join(maj, "state").join(mean, "crop")
 
 
@@ -266,12 +272,13 @@ SELECT state, AVG(n) AS avg_n, stddev_samp(n) AS std_n, quantile_cont(n, 0.5) AS
 FROM crop_rows GROUP BY state""")
 def q_npk_by_state(spark, d):
     rows = bindings.crop_rows(spark, d)
-    base = rows.groupBy("state").agg(F.avg("n").alias("avg_n"), F.stddev_samp("n").alias("std_n"),
-                                     F.avg("p").alias("avg_p"), F.avg("k").alias("avg_k"))
-    out = base
-    for c in ("n", "p", "k"):
-        out = out.join(stats.exact_quantile(rows, "state", c, 0.5, f"median_{c}"), "state")
-    return out
+    dist = stats.distribution_by_key(rows, "state", ["n", "p", "k"], 0.5)
+    wide = dist.groupBy("state").pivot("metric", ["n", "p", "k"]).agg(
+        F.first("mean").alias("avg"), F.first("std").alias("std"), F.first("quantile").alias("median"))
+    return wide.select("state", F.col("n_avg").alias("avg_n"), F.col("n_std").alias("std_n"),
+                       F.col("n_median").alias("median_n"), F.col("p_avg").alias("avg_p"),
+                       F.col("p_median").alias("median_p"), F.col("k_avg").alias("avg_k"),
+                       F.col("k_median").alias("median_k"))
 
 
 @query("irrigation_breakdown", "A17", sql=ov.with_(ov.CROP_ROWS) + """
