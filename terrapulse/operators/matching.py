@@ -146,6 +146,21 @@ def vocabulary(df: DataFrame, col: str, idx_col: str = "idx") -> DataFrame:
     return vals.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias(idx_col))
 
 
+def vocabularies(df: DataFrame, cols: list[str]) -> DataFrame:
+    """All category vocabularies of ``cols`` in one pass: (feature, value, idx).
+    The (feature, value) pairs are deduplicated by one partial + final
+    aggregate; the ranking window runs per feature over distinct values only."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
+                                          for c in cols])).alias("p")).select("p.feature", "p.value")
+    vals = pairs.where(F.col("value").isNotNull()).distinct()
+    w = Window.partitionBy("feature").orderBy("value")
+    return vals.select("feature", "value", (F.row_number().over(w) - 1).cast("int").alias("idx"))
+
+
+def vocab_of(vocabs: DataFrame, feature: str) -> DataFrame:
+    return vocabs.where(F.col("feature") == feature).select("value", "idx")
+
+
 def encode(df: DataFrame, col: str, vocab: DataFrame, out_col: str, unseen: int = 0) -> DataFrame:
     """Left join to the vocabulary; unseen values get ``unseen`` (0 like the reference)."""
     v = vocab.select(F.col("value").alias(col), F.col("idx").alias(out_col))

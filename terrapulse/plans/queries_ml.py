@@ -14,7 +14,7 @@ from .catalog import query
 
 
 def _eval(spark, d, domain):
-    fitted = domains.trained(spark, d, domain)
+    fitted = domains.models_of(spark, d, domain)
     m = models.metrics_row(fitted)
     models.append_metrics(m, scratch_path(spark, "metrics", domain))
     return m
@@ -55,7 +55,7 @@ def q_crop_feature_importances(spark, d):
 def q_model_readiness(spark, d):
     paths = {}
     for dom in ("forest", "drought"):
-        for name, f in domains.trained(spark, d, dom).items():
+        for name, f in domains.models_of(spark, d, dom).items():
             paths[name] = f["path"]
     return models.readiness(spark, dims.MODEL_NAMES + ["spei_model"], paths)
 
@@ -75,8 +75,8 @@ def q_forest_batch_scoring(spark, d):
     """Score the latest forest row of every state with the fitted alert model;
     confidence of the predicted class from the probability vector."""
     from ..operators import panels, topk
-    fitted = domains.trained(spark, d, "forest")
-    data = domains.forest_data(spark, d)
+    fitted = domains.models_of(spark, d, "forest")
+    data = domains.forest_data(spark, d, domains.encoders(spark, d, "forest"))
     latest = panels.latest_n(data, "state", "year", 1).drop("rank")
     scored = models.score(fitted["forest_alert_model"]["model"], latest, "alert", classifier=True)
     code = F.col("alert_pred").cast("int")

@@ -103,18 +103,18 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
 
     # ---- crop (M4 scoring, T2) -------------------------------------------------
     if "crop" in run:
-        crop_rows = bindings.crop_rows(spark, d)
         cfit = domains.trained(spark, d, "crop")["crop_yield_predictor"]["model"]
+        enc = domains.encoders(spark, d, "crop")
         season = fc.crop_season(F.col("month"))
         df = df.withColumn("_crop_season", season)
-        df = _vocab_idx(matching.vocabulary(crop_rows, "state"), F.col("state"), "state_enc", df)
-        df = _vocab_idx(matching.vocabulary(crop_rows, "season"), F.col("_crop_season"), "season_enc", df)
-        df = _vocab_idx(matching.vocabulary(crop_rows, "soil_type"), F.lit("Neutral"), "soil_type_enc", df)
-        df = _vocab_idx(matching.vocabulary(crop_rows, "irrigation"), F.lit("Rainfed"), "irrigation_enc", df)
+        df = _vocab_idx(matching.vocab_of(enc, "state"), F.col("state"), "state_enc", df)
+        df = _vocab_idx(matching.vocab_of(enc, "season"), F.col("_crop_season"), "season_enc", df)
+        df = _vocab_idx(matching.vocab_of(enc, "soil_type"), F.lit("Neutral"), "soil_type_enc", df)
+        df = _vocab_idx(matching.vocab_of(enc, "irrigation"), F.lit("Rainfed"), "irrigation_enc", df)
         feats = {"n": F.lit(68.0), "p": F.lit(53.0), "k": F.lit(78.0), "rainfall": F.col(a + "rainfall_annualized"),
                  "temperature": F.col(a + "avg_temp")}
         df = _apply(df, cfit, feats, "crop", classifier=True)
-        df = df.crossJoin(F.broadcast(_labels(matching.vocabulary(crop_rows, "crop"), "_crop_labels")))
+        df = df.crossJoin(F.broadcast(_labels(matching.vocab_of(enc, "crop"), "_crop_labels")))
         df = df.drop("state_enc", "season_enc", "soil_type_enc", "irrigation_enc")
 
     # ---- drought (M6 scoring, F9, F17-F19) --------------------------------------
@@ -134,18 +134,17 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
         feats = {k: v for k, v in feats.items() if k in domains.DROUGHT_FEATURES and k not in ("lat", "month")}
         df = _apply(df, dfit["drought_category_model"]["model"], feats, "dcat", True)
         df = _apply(df, dfit["drought_status_model"]["model"], feats, "dstat", True)
-        dvocab = matching.vocabulary(domains.drought_data(spark, d), "category")
+        dvocab = matching.vocab_of(domains.encoders(spark, d, "drought"), "category")
         df = df.crossJoin(F.broadcast(_labels(dvocab, "_drought_labels")))
 
     # ---- weather (M5 scoring, F11, F36, F37, F20) ----------------------------------
     if "weather" in run:
         wfit = domains.trained(spark, d, "weather")
-        ev = bindings.event_rows(spark, d)
+        wenc = domains.encoders(spark, d, "weather")
         an = fc.anomalies(F.col(a + "avg_temp"), F.col(a + "precip_week"), F.col(a + "wind_kmh"))
         df = df.select("*", *[v.alias("_" + k) for k, v in an.items()], fc.weather_season("month").alias("_wseason"))
-        df = _vocab_idx(matching.vocabulary(ev, "state"), F.col("state"), "state_enc", df)
-        wv = matching.vocabulary(ev.withColumn("season", fc.weather_season(fc.month_of("event_date"))), "season")
-        df = _vocab_idx(wv, F.col("_wseason"), "season_enc", df)
+        df = _vocab_idx(matching.vocab_of(wenc, "state"), F.col("state"), "state_enc", df)
+        df = _vocab_idx(matching.vocab_of(wenc, "season"), F.col("_wseason"), "season_enc", df)
         st = F.col("state")
         feats = {"is_coastal": st.isin(dims.COASTAL_STATES).cast("int"), "is_hilly": st.isin(dims.HILLY_STATES).cast("int"),
                  "is_dry": st.isin(dims.DRY_STATES).cast("int"),
@@ -156,7 +155,7 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
         df = _apply(df, wfit["weather_event_model"]["model"], feats, "wev", True)
         df = _apply(df, wfit["weather_intensity_model"]["model"], feats, "wint", False)
         df = df.drop("state_enc", "season_enc")
-        evocab = matching.vocabulary(ev, "event_type")
+        evocab = matching.vocab_of(wenc, "event_type")
         df = df.crossJoin(F.broadcast(_labels(evocab, "_event_labels")))
 
     # ---- forest (J1, F27, M7 scoring, F34) ------------------------------------------
@@ -169,7 +168,8 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
                            *[F.col(c).alias("h_" + c) for c in snap_cols])
         # Case-insensitive equality to the snapshot (one row per known state)
         df = df.join(F.broadcast(snap), F.lower(F.col("state")) == F.col("_fkey"), "left").drop("_fkey")
-        df = _vocab_idx(matching.vocabulary(fdata, "state"), F.col("matched_state"), "state_enc", df)
+        df = _vocab_idx(matching.vocab_of(domains.encoders(spark, d, "forest"), "state"), F.col("matched_state"),
+                        "state_enc", df)
         ex = ff.extrapolate_forest("h_forest_cover", "h_forest_pct", "h_forest_change_yoy", "h_forest_pct_change_yoy",
                                    "h_year", F.col("year"), "h_ndvi", F.col("live_ndvi"), "h_ndvi_change_yoy")
         df = df.select("*", *[v.alias("_" + k) for k, v in ex.items()])
