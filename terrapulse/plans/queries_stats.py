@@ -332,15 +332,14 @@ SELECT user_id, event_id, event_type, CAST(rnk AS INTEGER) AS rank FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rnk FROM events) WHERE rnk <= 5""")
 def q_latest_events_per_user(spark, d):
     ev = table(spark, d, "events", "user_id", "event_id", "event_type", "ts")
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return (ev.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
-            .select("user_id", "event_id", "event_type", F.col("rank").cast("int").alias("rank")))
+    top = panels.top_n_per_key(ev, "user_id", [("ts", True), ("event_id", True)], 5)
+    return top.select("user_id", "event_id", "event_type", F.col("rank").cast("int").alias("rank"))
 
 
 @query("first_reading_per_location", "W10", sql=ov.with_(ov.OBS) + """
 SELECT location_id, event_id AS first_event_id, precip AS first_precip FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id ORDER BY ts, event_id) AS rn FROM obs) WHERE rn = 1""")
 def q_first_reading_per_location(spark, d):
-    o = bindings.obs(spark, d)
-    first = panels.latest_n(o, "location_id", "ts", 1, descending=False)
+    o = bindings.obs(spark, d).select("location_id", "event_id", "precip", "ts")
+    first = panels.top_n_per_key(o, "location_id", [("ts", False), ("event_id", False)], 1)
     return first.select("location_id", F.col("event_id").alias("first_event_id"), F.col("precip").alias("first_precip"))
