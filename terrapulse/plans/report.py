@@ -32,6 +32,21 @@ REPORT_YEAR = 2025
 REPORT_MONTH = 1
 DOMAINS = ("crop", "drought", "weather", "forest", "urban")
 
+# Typed stand-ins for the scoring outputs of a domain that is not run (model
+# missing): the report keeps one schema and the domain becomes a null struct.
+_ARR, _D, _S = "array<double>", "double", "string"
+PLACEHOLDERS = {
+    "crop": {"crop_probs": _ARR, "_crop_labels": "array<string>"},
+    "drought": {"_spei": _D, "dcat_probs": _ARR, "dstat_pred": _D, "dstat_probs": _ARR,
+                "_drought_labels": "array<string>"},
+    "weather": {"_precipitation_anomaly_mm": _D, "_temperature_anomaly_c": _D, "_wind_anomaly_kmph": _D,
+                "_wseason": _S, "wev_probs": _ARR, "wint_pred": _D, "_event_labels": "array<string>"},
+    "forest": {"matched_state": _S, "_extrap_cover": _D, "_extrap_pct": _D, "_ndvi_used": _D, "falert_pred": _D,
+               "falert_probs": _ARR, "fndvi_pred": _D, "fcover_pred": _D, "faqi_pred": _D, "fhuman_pred": _D},
+    "urban": {"_u_city_urb_rate": _D, "_u_state_urb_rate": _D, "_u_urban_pop": _D, "_u_urb": _D, "upop_pred": _D,
+              "uurb_pred": _D, "uinfra_pred": _D, "uupop_pred": _D, "ugrow_pred": _D},
+}
+
 
 def _apply(df: DataFrame, model, features: dict[str, Column], out: str, classifier: bool) -> DataFrame:
     """Score ``model`` on temporary feature columns and keep only the outputs."""
@@ -205,71 +220,69 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
                           ("urban_upop_model", "uupop"), ("urban_grow_model", "ugrow")):
             df = _apply(df, ufit[name]["model"], feats, out, False)
 
+    for dom in DOMAINS:
+        if dom not in run:
+            df = df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in PLACEHOLDERS[dom].items()])
     return _assemble(df, run)
 
 
 def _assemble(df: DataFrame, run) -> DataFrame:
     a, cur = "env.aggregate.", "env.current."
     land = F.col("is_land")
-    crop = drought = weather = forest = urban = F.lit(None)
-    if "crop" in run:
-        top5 = F.slice(F.array_sort(
-            F.arrays_zip(F.col("crop_probs").alias("p"), F.col("_crop_labels").alias("label")),
-            lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
-            .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 5)
-        top5 = F.transform(top5, lambda s: F.struct(s["label"].alias("crop"), F.bround(s["p"] * 100, 1).alias("confidence")))
-        crop = F.struct(F.element_at(top5, 1)["crop"].alias("recommended_crop"),
-                        F.element_at(top5, 1)["confidence"].alias("confidence"), top5.alias("top_predictions"),
-                        fc.crop_season("month").alias("season"), F.col("state").alias("state"))
-    if "drought" in run:
-        top3 = F.slice(F.array_sort(F.arrays_zip(F.col("dcat_probs").alias("p"), F.col("_drought_labels").alias("label")),
-                                    lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
-                                    .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 3)
-        top3 = F.transform(top3, lambda s: F.struct(s["label"].alias("category"), F.bround(s["p"] * 100, 1).alias("confidence")))
-        active = F.col("dstat_pred") >= 1
-        primary = F.element_at(top3, 1)["category"]
-        drought = F.struct(primary.alias("primary_category"), top3.alias("top_categories"),
-                           F.col("_spei").alias("estimated_spei"), fa.drought_alert(primary, active).alias("alert_level"),
-                           active.alias("drought_active"), F.col("dstat_pred").cast("int").alias("drought_status_code"),
-                           F.bround(topk.confidence_of("dstat_probs", F.col("dstat_pred").cast("int")), 1).alias("status_confidence"))
-    if "weather" in run:
-        # boosts are keyed by class name, so the factors follow this model's label order
-        adj = _boost_by_labels("wev_probs", "_event_labels")
-        top3 = F.slice(F.array_sort(F.arrays_zip(adj.alias("p"), F.col("_event_labels").alias("label")),
-                                    lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
-                                    .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 3)
-        top3 = F.transform(top3, lambda s: F.struct(s["label"].alias("event"), F.bround(s["p"] * 100, 1).alias("confidence")))
-        intensity = F.bround(fa.clip("wint_pred", 1.0, 10.0), 1)
-        weather = F.struct(F.element_at(top3, 1)["event"].alias("primary_event"),
-                           F.element_at(top3, 1)["confidence"].alias("confidence"), top3.alias("top_events"),
-                           F.col("_wseason").alias("season"), intensity.alias("intensity"),
-                           fa.intensity_level(intensity).alias("intensity_label"), F.col("mei_index").alias("mei_index"))
-    if "forest" in run:
-        code = F.col("falert_pred").cast("int")
-        effects = ff.forest_effects(code, F.bround("faqi_pred", 1), F.bround("fhuman_pred", 1), F.col("_extrap_pct"),
-                                    F.col("_ndvi_used"), F.bround("fcover_pred", 1), F.col("_extrap_cover"))
-        forest = F.when(F.col("matched_state").isNotNull(), F.struct(
-            F.col("matched_state").alias("matched_state"), code.alias("deforestation_alert_code"),
-            matching.alert_label(code).alias("deforestation_alert_label"),
-            F.bround(topk.confidence_of("falert_probs", code), 1).alias("confidence"),
-            F.bround("fndvi_pred", 3).alias("future_ndvi"), F.bround("fcover_pred", 1).alias("future_forest_cover_sqkm"),
-            F.bround("faqi_pred", 1).alias("aqi_impact_score"), F.bround("fhuman_pred", 1).alias("human_impact_score"),
-            effects.alias("effects_report")))
-    if "urban" in run:
-        needs = fu.infrastructure_needs(F.col("uinfra_pred"), F.col("_u_urban_pop"), F.col("uupop_pred"),
-                                        F.col("_u_urb"), F.col("uurb_pred"))
-        urban = F.struct(F.bround("upop_pred", 2).alias("future_population_millions"),
-                         F.bround("uurb_pred", 2).alias("future_urbanization_rate"),
-                         F.bround("uupop_pred", 2).alias("future_urban_population_millions"),
-                         F.bround("uinfra_pred", 2).alias("future_infrastructure_pressure_score"),
-                         F.bround("ugrow_pred", 4).alias("future_growth_rate"), needs.alias("infrastructure_needs"),
-                         fu.urbanization_effects(F.col("_u_urb"), F.col("uurb_pred"), F.col("uinfra_pred")).alias("effects_report"),
-                         F.struct(F.col("_u_city_urb_rate").alias("city_urb_rate"),
-                                  F.col("_u_state_urb_rate").alias("state_urb_rate")).alias("location_specific_rates"))
+    top5 = F.slice(F.array_sort(
+        F.arrays_zip(F.col("crop_probs").alias("p"), F.col("_crop_labels").alias("label")),
+        lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
+        .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 5)
+    top5 = F.transform(top5, lambda s: F.struct(s["label"].alias("crop"), F.bround(s["p"] * 100, 1).alias("confidence")))
+    crop = F.struct(F.element_at(top5, 1)["crop"].alias("recommended_crop"),
+                    F.element_at(top5, 1)["confidence"].alias("confidence"), top5.alias("top_predictions"),
+                    fc.crop_season("month").alias("season"), F.col("state").alias("state"))
+    top3 = F.slice(F.array_sort(F.arrays_zip(F.col("dcat_probs").alias("p"), F.col("_drought_labels").alias("label")),
+                                lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
+                                .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 3)
+    top3 = F.transform(top3, lambda s: F.struct(s["label"].alias("category"), F.bround(s["p"] * 100, 1).alias("confidence")))
+    active = F.col("dstat_pred") >= 1
+    primary = F.element_at(top3, 1)["category"]
+    drought = F.struct(primary.alias("primary_category"), top3.alias("top_categories"),
+                       F.col("_spei").alias("estimated_spei"), fa.drought_alert(primary, active).alias("alert_level"),
+                       active.alias("drought_active"), F.col("dstat_pred").cast("int").alias("drought_status_code"),
+                       F.bround(topk.confidence_of("dstat_probs", F.col("dstat_pred").cast("int")), 1).alias("status_confidence"))
+    # boosts are keyed by class name, so the factors follow this model's label order
+    adj = _boost_by_labels("wev_probs", "_event_labels")
+    top3 = F.slice(F.array_sort(F.arrays_zip(adj.alias("p"), F.col("_event_labels").alias("label")),
+                                lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
+                                .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 3)
+    top3 = F.transform(top3, lambda s: F.struct(s["label"].alias("event"), F.bround(s["p"] * 100, 1).alias("confidence")))
+    intensity = F.bround(fa.clip("wint_pred", 1.0, 10.0), 1)
+    weather = F.struct(F.element_at(top3, 1)["event"].alias("primary_event"),
+                       F.element_at(top3, 1)["confidence"].alias("confidence"), top3.alias("top_events"),
+                       F.col("_wseason").alias("season"), intensity.alias("intensity"),
+                       fa.intensity_level(intensity).alias("intensity_label"), F.col("mei_index").alias("mei_index"))
+    code = F.col("falert_pred").cast("int")
+    effects = ff.forest_effects(code, F.bround("faqi_pred", 1), F.bround("fhuman_pred", 1), F.col("_extrap_pct"),
+                                F.col("_ndvi_used"), F.bround("fcover_pred", 1), F.col("_extrap_cover"))
+    forest = F.when(F.col("matched_state").isNotNull(), F.struct(
+        F.col("matched_state").alias("matched_state"), code.alias("deforestation_alert_code"),
+        matching.alert_label(code).alias("deforestation_alert_label"),
+        F.bround(topk.confidence_of("falert_probs", code), 1).alias("confidence"),
+        F.bround("fndvi_pred", 3).alias("future_ndvi"), F.bround("fcover_pred", 1).alias("future_forest_cover_sqkm"),
+        F.bround("faqi_pred", 1).alias("aqi_impact_score"), F.bround("fhuman_pred", 1).alias("human_impact_score"),
+        effects.alias("effects_report")))
+    needs = fu.infrastructure_needs(F.col("uinfra_pred"), F.col("_u_urban_pop"), F.col("uupop_pred"),
+                                    F.col("_u_urb"), F.col("uurb_pred"))
+    urban = F.struct(F.bround("upop_pred", 2).alias("future_population_millions"),
+                     F.bround("uurb_pred", 2).alias("future_urbanization_rate"),
+                     F.bround("uupop_pred", 2).alias("future_urban_population_millions"),
+                     F.bround("uinfra_pred", 2).alias("future_infrastructure_pressure_score"),
+                     F.bround("ugrow_pred", 4).alias("future_growth_rate"), needs.alias("infrastructure_needs"),
+                     fu.urbanization_effects(F.col("_u_urb"), F.col("uurb_pred"), F.col("uinfra_pred")).alias("effects_report"),
+                     F.struct(F.col("_u_city_urb_rate").alias("city_urb_rate"),
+                              F.col("_u_state_urb_rate").alias("state_urb_rate")).alias("location_specific_rates"))
 
     names = ["crop", "drought", "weather", "forest", "urban"]
     parts = dict(zip(names, [crop, drought, weather, forest, urban]))
-    out = df.select("*", *[F.when(land, v).alias(f"_d_{k}") for k, v in parts.items()])
+    # a domain that did not run is a typed null struct; water rows get no domains
+    out = df.select("*", *[F.when(land & F.lit(k in run), v).alias(f"_d_{k}") for k, v in parts.items()])
     dcol = {k: F.col(f"_d_{k}") for k in names}
     model_groups = {"crop": ["crop_yield_predictor"], "drought": ["drought_category_model", "drought_status_model"],
                     "weather": ["weather_event_model", "weather_intensity_model"],
