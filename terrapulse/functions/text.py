@@ -17,10 +17,12 @@ YEAR_PATTERN_OLD = r"\b(19\d\d|20[0-2]\d)\b"
 
 
 # F45 -------------------------------------------------------------------------------
-def intents(text, keywords=dims.INTENT_KEYWORDS) -> Column:
+def intents(text, keywords=dims.INTENT_KEYWORDS, lowered: bool = False) -> Column:
     """All intents whose keyword list hits the lower-cased text (substring), in
-    fixed intent order; ['unknown'] when none."""
-    low = F.lower(_c(text))
+    fixed intent order; ['unknown'] when none.  Pass an already lower-cased
+    column with ``lowered=True`` (project it once: the keyword tests sit in
+    conditional branches, which common-subexpression elimination skips)."""
+    low = _c(text) if lowered else F.lower(_c(text))
     hits = []
     for intent, kws in keywords:
         cond = None
@@ -41,22 +43,29 @@ def first_intent(text, keywords=dims.INTENT_KEYWORDS) -> Column:
 def extract_location(text, gazetteer: list[str] = dims.GAZETTEER, default: str | None = None) -> Column:
     """First capitalized word in the gazetteer; else the first lower-cased word
     (>= 4 letters) in it, mapped back to its spelling; else the first
-    capitalized word; else ``default`` (null)."""
+    capitalized word; else ``default`` (null).
+
+    One word list per case, filtered against the fixed gazetteer (a hash-set
+    ``isin``); ``coalesce`` evaluates the later steps only when needed.  (A
+    single alternation regex over the names measured ~3x slower: Java regex
+    alternations are tried one by one at every word boundary.)"""
     t = _c(text)
     caps = F.regexp_extract_all(t, F.lit(CAPS_PATTERN), 0)
     known = F.try_element_at(F.filter(caps, lambda w: w.isin(gazetteer)), F.lit(1))
-    lower_map = F.create_map(*[x for p in gazetteer for x in (F.lit(p.lower()), F.lit(p))])
+    lower_names = [p.lower() for p in gazetteer if len(p) >= 4]
+    lower_map = F.create_map(*[x for p in gazetteer if len(p) >= 4 for x in (F.lit(p.lower()), F.lit(p))])
     words = F.regexp_extract_all(F.lower(t), F.lit(LOWER_WORD_PATTERN), 0)
-    lw = F.try_element_at(F.filter(words, lambda w: w.isin([p.lower() for p in gazetteer])), F.lit(1))
+    lw = F.try_element_at(F.filter(words, lambda w: w.isin(lower_names)), F.lit(1))
     out = F.coalesce(known, F.try_element_at(lower_map, lw), F.try_element_at(caps, F.lit(1)))
     return F.coalesce(out, F.lit(default)) if default is not None else out
 
 
 # F47 -------------------------------------------------------------------------------
 def extract_year(text, default: int = dims.DEFAULT_YEAR, older: bool = False) -> Column:
+    """First year token (1950-2029; older variant 1900-2029), else ``default``."""
     pat = YEAR_PATTERN_OLD if older else YEAR_PATTERN
-    years = F.regexp_extract_all(_c(text), F.lit(pat), 1)
-    return F.coalesce(F.try_element_at(years, F.lit(1)).cast("int"), F.lit(default))
+    first = F.nullif(F.regexp_extract(_c(text), pat, 1), F.lit(""))
+    return F.coalesce(first.cast("int"), F.lit(default))
 
 
 # F40 -------------------------------------------------------------------------------

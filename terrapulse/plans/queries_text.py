@@ -46,16 +46,17 @@ FROM tok"""
 
 @query("message_intents", "F45 F46 F47", sql=_message_sql())
 def q_message_intents(spark, d):
-    m = bindings.messages(spark, d)
-    return m.select("msg_id", F.array_join(ft.intents("text"), ",").alias("intents"),
+    m = bindings.messages(spark, d).select("msg_id", "text", F.lower("text").alias("low"))
+    return m.select("msg_id", F.array_join(ft.intents("low", lowered=True), ",").alias("intents"),
                     ft.extract_location("text").alias("location"), ft.extract_year("text").alias("year"))
 
 
 @query("intent_counts", "F45", sql=ov.with_(ov.MESSAGES) + f"""
 SELECT split_part({_intent_sql_expr('text')}, ',', 1) AS first_intent, COUNT(*) AS n_messages FROM messages GROUP BY 1""")
 def q_intent_counts(spark, d):
-    m = bindings.messages(spark, d)
-    return m.groupBy(ft.first_intent("text").alias("first_intent")).agg(F.count(F.lit(1)).alias("n_messages"))
+    m = bindings.messages(spark, d).select(F.lower("text").alias("low"))
+    first = F.element_at(ft.intents("low", lowered=True), 1)
+    return m.groupBy(first.alias("first_intent")).agg(F.count(F.lit(1)).alias("n_messages"))
 
 
 @query("coordinate_parsing", "F40 P13", sql=ov.with_(ov.aoi_sql()) + """
