@@ -30,6 +30,9 @@ def main() -> None:
     from terrapulse.session import build_session
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus))
     reg = load_all()
+    # JVM / codegen warm-up on a tiny unrelated scan (not timed; no data is cached)
+    spark.read.parquet(f"{sf_dir}/region.parquet").groupBy("r_regionkey").count().write.format("noop") \
+        .mode("overwrite").save()
     timings: dict[str, float] = {}
     warm_t: dict[str, float] = {}
     for n in names:

@@ -31,3 +31,21 @@ def test_entry_contract(spark):
     assert df.count() > 0 and "alert_level" in df.columns
     q, sql = mod.queries(), mod.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 70
+
+
+def test_report_schema_stable_when_domains_missing(spark, small_dir):
+    """A domain that is not run (model unavailable) is a null struct with an
+    error entry; the report keeps one schema and the ensemble ignores it."""
+    from terrapulse.plans import report
+    r = report.unified_report(spark, small_dir, run=("forest",))
+    full_schema = {f.name for f in r.schema.fields}
+    assert {"domains", "ensemble", "errors", "automation", "indices"} <= full_schema
+    row = r.where("NOT is_water").select("domains.crop_intelligence.best_crop", "domains.forest_health",
+                                         "errors", "automation.models_run", "ensemble.overall_alert_level").first()
+    assert row.best_crop is None
+    assert any(e.startswith("crop_yield_predictor") for e in row.errors)
+    assert "forest_alert_model" in row.models_run or row.forest_health is None
+    assert row.overall_alert_level in ("GREEN", "YELLOW", "RED")
+    water = r.where("is_water").select("ensemble.overall_alert_level", "ensemble.signals").first()
+    if water is not None:
+        assert water.overall_alert_level == "GREEN"
