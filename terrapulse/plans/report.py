@@ -51,7 +51,13 @@ PLACEHOLDERS = {
 def _apply(df: DataFrame, model, features: dict[str, Column], out: str, classifier: bool) -> DataFrame:
     """Score ``model`` on temporary feature columns and keep only the outputs."""
     keep = df.columns
-    scored = model.transform(df.select("*", *[v.alias(k) for k, v in features.items()]))
+    return _score(df.select("*", *[v.alias(k) for k, v in features.items()]), model, out, classifier, keep)
+
+
+def _score(df: DataFrame, model, out: str, classifier: bool, keep: list[str] | None = None) -> DataFrame:
+    """Score ``model`` on feature columns already present in ``df``."""
+    keep = keep or df.columns
+    scored = model.transform(df)
     cols = [F.col("prediction").alias(f"{out}_pred")]
     if classifier:
         cols.append(vector_to_array_col("probability").alias(f"{out}_probs"))
@@ -104,7 +110,12 @@ def stats_avg(c: str) -> Column:
 
 def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
                    year: int = REPORT_YEAR, month: int = REPORT_MONTH) -> DataFrame:
-    base = report_inputs(spark, d)
+    # Cut the lineage after the input joins: a reliable checkpoint in the shared
+    # folder (spark.checkpoint.dir) keeps the scoring plan small and lets a lost
+    # executor's work restart from the written inputs instead of the raw scans.
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    base = report_inputs(spark, d).checkpoint(eager=True)
     addr = payloads.reverse_address("addr", fallback=F.col("geo_state"))
     env = payloads.weather_environment("weather_payload")
     df = base.select(
@@ -147,8 +158,12 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
                  "lon": F.col("lng"), **dfe, "wind_bin": F.col(a + "wind_bin")}
         # lat and month are already columns of the frame
         feats = {k: v for k, v in feats.items() if k in domains.DROUGHT_FEATURES and k not in ("lat", "month")}
-        df = _apply(df, dfit["drought_category_model"]["model"], feats, "dcat", True)
-        df = _apply(df, dfit["drought_status_model"]["model"], feats, "dstat", True)
+        # features are materialized once and shared by both models
+        base_cols = df.columns
+        df = df.select("*", *[v.alias(k) for k, v in feats.items()])
+        df = _score(df, dfit["drought_category_model"]["model"], "dcat", True)
+        df = _score(df, dfit["drought_status_model"]["model"], "dstat", True)
+        df = df.select(*base_cols, "dcat_pred", "dcat_probs", "dstat_pred", "dstat_probs")
         dvocab = matching.vocab_of(domains.encoders(spark, d, "drought"), "category")
         df = df.crossJoin(F.broadcast(_labels(dvocab, "_drought_labels")))
 
@@ -167,8 +182,11 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
                  "temperature_anomaly_c": F.col("_temperature_anomaly_c"),
                  "wind_anomaly_kmph": F.col("_wind_anomaly_kmph"), "duration_days": F.lit(5)}
         # month, mei_index, state_enc and season_enc are already columns of the frame
-        df = _apply(df, wfit["weather_event_model"]["model"], feats, "wev", True)
-        df = _apply(df, wfit["weather_intensity_model"]["model"], feats, "wint", False)
+        base_cols = df.columns
+        df = df.select("*", *[v.alias(k) for k, v in feats.items()])
+        df = _score(df, wfit["weather_event_model"]["model"], "wev", True)
+        df = _score(df, wfit["weather_intensity_model"]["model"], "wint", False)
+        df = df.select(*base_cols, "wev_pred", "wev_probs", "wint_pred")
         df = df.drop("state_enc", "season_enc")
         evocab = matching.vocab_of(wenc, "event_type")
         df = df.crossJoin(F.broadcast(_labels(evocab, "_event_labels")))
@@ -200,10 +218,15 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
         feats = {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in feats.items() if k not in ("year", "state_enc")}
         # the model's "year" feature is the report year (already a column)
         df = df.withColumnRenamed("year", "_y").withColumn("year", F.col("_y").cast("double"))
+        base_cols = df.columns
+        df = df.select("*", *[v.alias(k) for k, v in feats.items()])
+        outs = []
         for name, out, cls in (("forest_alert_model", "falert", True), ("forest_ndvi_model", "fndvi", False),
                                ("forest_cover_model", "fcover", False), ("forest_aqi_model", "faqi", False),
                                ("forest_human_model", "fhuman", False)):
-            df = _apply(df, ffit[name]["model"], feats, out, cls)
+            df = _score(df, ffit[name]["model"], out, cls)
+            outs += [f"{out}_pred"] + ([f"{out}_probs"] if cls else [])
+        df = df.select(*base_cols, *outs)
         df = df.drop("year").withColumnRenamed("_y", "year").drop("state_enc")
 
     # ---- urban (F28, J7, F29, F31, M8 scoring, F32, F33) ----------------------------
@@ -216,9 +239,12 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
         feats = fu.urban_feature_row(F.col("year"), exd, F.col("_u_effective_urb_rate"))
         feats = {k: v.cast("double") for k, v in feats.items()}
         df = df.select("*", feats["urban_pop_m"].alias("_u_urban_pop"), feats["urbanization_rate"].alias("_u_urb"))
+        base_cols = df.columns
+        df = df.select("*", *[v.alias(k) for k, v in feats.items()])
         for name, out in (("urban_pop_model", "upop"), ("urban_urb_model", "uurb"), ("urban_infra_model", "uinfra"),
                           ("urban_upop_model", "uupop"), ("urban_grow_model", "ugrow")):
-            df = _apply(df, ufit[name]["model"], feats, out, False)
+            df = _score(df, ufit[name]["model"], out, False)
+        df = df.select(*base_cols, "upop_pred", "uurb_pred", "uinfra_pred", "uupop_pred", "ugrow_pred")
 
     for dom in DOMAINS:
         if dom not in run:
