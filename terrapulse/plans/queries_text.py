@@ -66,17 +66,26 @@ SELECT aoi_id, txt,
   CASE WHEN len(string_split(txt, ',')) = 2 AND TRY_CAST(string_split(txt, ',')[1] AS DOUBLE) IS NOT NULL
             AND TRY_CAST(string_split(txt, ',')[2] AS DOUBLE) IS NOT NULL THEN TRY_CAST(string_split(txt, ',')[2] AS DOUBLE) END AS lon,
   CASE WHEN NOT (len(string_split(txt, ',')) = 2 AND TRY_CAST(string_split(txt, ',')[1] AS DOUBLE) IS NOT NULL
-            AND TRY_CAST(string_split(txt, ',')[2] AS DOUBLE) IS NOT NULL) THEN trim(txt) END AS place
+            AND TRY_CAST(string_split(txt, ',')[2] AS DOUBLE) IS NOT NULL) THEN trim(txt) END AS place,
+  CASE WHEN NOT (len(string_split(txt, ',')) = 2 AND TRY_CAST(string_split(txt, ',')[1] AS DOUBLE) IS NOT NULL
+            AND TRY_CAST(string_split(txt, ',')[2] AS DOUBLE) IS NOT NULL) AND trim(txt) = ''
+       THEN 'Latitude and Longitude are required for analysis.' END AS error
 FROM (SELECT aoi_id, CASE WHEN aoi_id % 3 = 0 THEN CAST(lat AS VARCHAR) || ',' || CAST(lng AS VARCHAR)
-                          WHEN aoi_id % 3 = 1 THEN aoi_name ELSE CAST(lat AS VARCHAR) || ',x' END AS txt FROM aoi)""")
+                          WHEN aoi_id % 3 = 1 THEN aoi_name WHEN aoi_id % 6 = 5 THEN '  '
+                          ELSE CAST(lat AS VARCHAR) || ',x' END AS txt FROM aoi)""")
 def q_coordinate_parsing(spark, d):
     a = bindings.aoi(spark, d)
     txt = (F.when(F.pmod("aoi_id", F.lit(3)) == 0, F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string")))
            .when(F.pmod("aoi_id", F.lit(3)) == 1, F.col("aoi_name"))
+           .when(F.pmod("aoi_id", F.lit(6)) == 5, F.lit("  "))
            .otherwise(F.concat(F.col("lat").cast("string"), F.lit(",x"))))
     a = a.select("aoi_id", txt.alias("txt"))
     p = ft.parse_coordinates("txt")
-    return a.select("aoi_id", "txt", p["lat"].alias("lat"), p["lon"].alias("lon"), p["place"].alias("place"))
+    # A request needs coordinates or a place name; invalid rows carry an
+    # error instead of failing the job (a caller can route them to a side table)
+    missing = p["lat"].isNull() & (F.coalesce(p["place"], F.lit("")) == "")
+    return a.select("aoi_id", "txt", p["lat"].alias("lat"), p["lon"].alias("lon"), p["place"].alias("place"),
+                    F.when(missing, F.lit("Latitude and Longitude are required for analysis.")).alias("error"))
 
 
 @query("aoi_geometry", "F44", sql="""
