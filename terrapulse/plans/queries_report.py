@@ -29,8 +29,8 @@ def q_unified_report(spark, d):
                     F.array_join("errors", "|").alias("errors"),
                     F.size("automation.models_run").alias("n_models_run"),
                     F.col("indices.ndwi").alias("ndwi"), F.col("indices.risk_level").alias("risk_level"),
-                    F.col("domains.forest_health.effects_report.air_quality.category").alias("aqi_category"),
-                    F.col("domains.urban_growth.infrastructure_needs.pressure_level").alias("pressure_level"))
+                    F.col("reports.effects_report.forest.air_quality.category").alias("aqi_category"),
+                    F.col("reports.infrastructure_needs.pressure_level").alias("pressure_level"))
 
 
 @query("alert_outbox", "P10 R5 F39")

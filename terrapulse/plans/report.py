@@ -340,6 +340,7 @@ def _assemble(df: DataFrame, run) -> DataFrame:
                                                    dcol["urban"]["future_infrastructure_pressure_score"].cast("string")))))
     ).otherwise(F.array(F.lit("Location identified as water or unrecognized territory.")))
     summary = _summary(dcol)
+    preds = predictions_struct(dcol)
     return out.select(
         "aoi_id", F.col("aoi_name").alias("location"), F.struct(F.col("lat"), F.col("lng").alias("lon")).alias("coordinates"),
         "state", (~land).alias("is_water"), "user_email",
@@ -347,9 +348,11 @@ def _assemble(df: DataFrame, run) -> DataFrame:
                  F.col(cur + "precipitation").alias("precipitation")).alias("inputs"),
         F.when(land, F.struct(ndvi.alias("ndvi"), *[F.bround(v, 3).alias(k) if k != "risk_level" else F.bround(v, 2).alias(k)
                                                   for k, v in idx.items()])).alias("indices"),
-        F.struct(F.struct(dcol["crop"].alias("best_crop")).alias("crop_intelligence"),
-                 dcol["drought"].alias("drought_monitoring"), dcol["weather"].alias("weather_disaster"),
-                 dcol["forest"].alias("forest_health"), dcol["urban"].alias("urban_growth")).alias("domains"),
+        domains_struct(preds).alias("domains"),
+        preds.alias("predictions"),
+        F.struct(F.struct(dcol["forest"]["effects_report"].alias("forest"),
+                          dcol["urban"]["effects_report"].alias("urban")).alias("effects_report"),
+                 dcol["urban"]["infrastructure_needs"].alias("infrastructure_needs")).alias("reports"),
         F.struct(level.alias("overall_alert_level"), signals.alias("signals")).alias("ensemble"),
         F.struct(F.lit(0).alias("manual_input_required"), models_run.alias("models_run")).alias("automation"),
         F.col("env.current").alias("weather_snapshot"),
@@ -357,6 +360,53 @@ def _assemble(df: DataFrame, run) -> DataFrame:
         errors.alias("errors"))
 
 
+def _sub(domain: Column, **fields: str) -> Column:
+    """A per-model entry: selected fields of a domain struct, null when the domain failed."""
+    return F.when(domain.isNotNull(), F.struct(*[domain[src].alias(dst) for dst, src in fields.items()]))
+
+
+def predictions_struct(d: dict[str, Column]) -> Column:
+    """One entry per model, named as the reference's model registry."""
+    dr, we, fo, ur = d["drought"], d["weather"], d["forest"], d["urban"]
+    return F.struct(
+        d["crop"].alias("crop_yield_predictor"),
+        _sub(dr, primary_category="primary_category", top_categories="top_categories",
+             estimated_spei="estimated_spei", alert_level="alert_level").alias("drought_category_model"),
+        _sub(dr, drought_active="drought_active", drought_status_code="drought_status_code",
+             confidence="status_confidence").alias("drought_status_model"),
+        _sub(we, primary_event="primary_event", confidence="confidence", top_events="top_events",
+             season="season").alias("weather_event_model"),
+        _sub(we, intensity="intensity", label="intensity_label", mei_index="mei_index").alias("weather_intensity_model"),
+        _sub(fo, deforestation_alert_code="deforestation_alert_code",
+             deforestation_alert_label="deforestation_alert_label", confidence="confidence").alias("forest_alert_model"),
+        _sub(fo, future_ndvi="future_ndvi").alias("forest_ndvi_model"),
+        _sub(fo, future_forest_cover_sqkm="future_forest_cover_sqkm").alias("forest_cover_model"),
+        _sub(fo, aqi_impact_score="aqi_impact_score").alias("forest_aqi_model"),
+        _sub(fo, human_impact_score="human_impact_score", effects_report="effects_report").alias("forest_human_model"),
+        _sub(ur, future_population_millions="future_population_millions").alias("urban_pop_model"),
+        _sub(ur, future_urbanization_rate="future_urbanization_rate").alias("urban_urb_model"),
+        _sub(ur, future_infrastructure_pressure_score="future_infrastructure_pressure_score",
+             infrastructure_needs="infrastructure_needs").alias("urban_infra_model"),
+        _sub(ur, future_urban_population_millions="future_urban_population_millions").alias("urban_upop_model"),
+        _sub(ur, future_growth_rate="future_growth_rate").alias("urban_grow_model"))
+
+
+def domains_struct(p: Column) -> Column:
+    """The five domains, each grouping its models' entries."""
+    return F.struct(
+        F.struct(p["crop_yield_predictor"].alias("best_crop")).alias("crop_intelligence"),
+        F.struct(p["drought_category_model"].alias("category"), p["drought_status_model"].alias("status"))
+        .alias("drought_monitoring"),
+        F.struct(p["weather_event_model"].alias("event"), p["weather_intensity_model"].alias("intensity"))
+        .alias("weather_disaster"),
+        F.struct(p["forest_alert_model"].alias("alert"), p["forest_ndvi_model"].alias("future_ndvi"),
+                 p["forest_cover_model"].alias("future_cover"), p["forest_aqi_model"].alias("aqi_impact"),
+                 p["forest_human_model"].alias("human_impact")).alias("forest_health"),
+        F.struct(p["urban_pop_model"].alias("population"), p["urban_urb_model"].alias("urbanization"),
+                 p["urban_infra_model"].alias("infrastructure"), p["urban_upop_model"].alias("urban_population"),
+                 p["urban_grow_model"].alias("growth")).alias("urban_growth"))
+
+
 def _boost_by_labels(probs: str, labels: str) -> Column:
     """F36 boosts where the class order comes from the model's label array."""
     st, se = F.col("state"), F.col("_wseason")
@@ -394,20 +444,18 @@ def _summary(d: dict[str, Column]) -> Column:
 # F48 ------------------------------------------------------------------------------
 def report_lines(report: DataFrame) -> DataFrame:
     """Chat answer lines from a report (only parts that succeeded)."""
-    d = F.col("domains")
+    p = F.col("predictions")
+    crop, dcat, wev = p["crop_yield_predictor"], p["drought_category_model"], p["weather_event_model"]
+    falert, uinfra = p["forest_alert_model"], p["urban_infra_model"]
     lines = F.array_compact(F.array(
         F.concat(F.lit("Alert: "), F.col("ensemble.overall_alert_level")),
-        F.when(d["crop_intelligence"]["best_crop"].isNotNull(), F.format_string(
-            "Crop model: %s (%s%%)", d["crop_intelligence"]["best_crop"]["recommended_crop"],
-            d["crop_intelligence"]["best_crop"]["confidence"].cast("string"))),
-        F.when(d["drought_monitoring"].isNotNull(), F.concat(F.lit("Drought category model: "),
-                                                             d["drought_monitoring"]["primary_category"])),
-        F.when(d["weather_disaster"].isNotNull(), F.format_string(
-            "Weather event model: %s (%s%%)", d["weather_disaster"]["primary_event"],
-            d["weather_disaster"]["confidence"].cast("string"))),
-        F.when(d["forest_health"].isNotNull(), F.concat(F.lit("Forest alert model: "),
-                                                        d["forest_health"]["deforestation_alert_label"])),
-        F.when(d["urban_growth"].isNotNull(), F.concat(F.lit("Urban infra model: score "),
-                                                       d["urban_growth"]["future_infrastructure_pressure_score"].cast("string"))),
+        F.when(crop.isNotNull(), F.format_string("Crop model: %s (%s%%)", crop["recommended_crop"],
+                                                 crop["confidence"].cast("string"))),
+        F.when(dcat.isNotNull(), F.concat(F.lit("Drought category model: "), dcat["primary_category"])),
+        F.when(wev.isNotNull(), F.format_string("Weather event model: %s (%s%%)", wev["primary_event"],
+                                                wev["confidence"].cast("string"))),
+        F.when(falert.isNotNull(), F.concat(F.lit("Forest alert model: "), falert["deforestation_alert_label"])),
+        F.when(uinfra.isNotNull(), F.concat(F.lit("Urban infra model: score "),
+                                            uinfra["future_infrastructure_pressure_score"].cast("string"))),
         F.when(F.size("errors") > 0, F.concat(F.lit("Errors: "), F.array_join("errors", "; ")))))
     return report.select("aoi_id", F.array_join(lines, "\n").alias("answer"))

@@ -39,7 +39,11 @@ def test_report_schema_stable_when_domains_missing(spark, small_dir):
     from terrapulse.plans import report
     r = report.unified_report(spark, small_dir, run=("forest",))
     full_schema = {f.name for f in r.schema.fields}
-    assert {"domains", "ensemble", "errors", "automation", "indices"} <= full_schema
+    assert {"domains", "predictions", "reports", "ensemble", "errors", "automation", "indices"} <= full_schema
+    # the nested report contract: domains group the per-model entries
+    dom = {f.name for f in r.schema["domains"].dataType.fields}
+    assert dom == {"crop_intelligence", "drought_monitoring", "weather_disaster", "forest_health", "urban_growth"}
+    assert len(r.schema["predictions"].dataType.fields) == 15
     row = r.where("NOT is_water").select("domains.crop_intelligence.best_crop", "domains.forest_health",
                                          "errors", "automation.models_run", "ensemble.overall_alert_level").first()
     assert row.best_crop is None
