@@ -151,7 +151,16 @@ def q_forecast_deltas(spark, d):
     return ex.select("country", "year", "r.metric", "r.now", "r.forecast", "r.delta", "r.sign")
 
 
-@query("spei_summary", "A7 F50", sql=None)
+def _spei_summary_sql() -> str:
+    from .queries_climate import DROUGHT_SQL, WEEKLY_SQL
+    return ov.with_(ov.OBS, WEEKLY_SQL) + f"""
+SELECT mean_spei, mean_temp, n_weeks,
+       CASE WHEN mean_spei < -1.0 THEN 'Drought conditions' ELSE 'No significant drought' END AS note
+FROM (SELECT AVG(spei) AS mean_spei, COUNT(*) AS n_weeks FROM ({DROUGHT_SQL})) s
+CROSS JOIN (SELECT AVG(avg_temp) AS mean_temp FROM weekly_weather) t"""
+
+
+@query("spei_summary", "A7 F50", sql=_spei_summary_sql())
 def q_spei_summary(spark, d):
     from .queries_climate import q_drought_indicators, weekly
     dr = q_drought_indicators(spark, d)
@@ -165,7 +174,19 @@ def stats_avg_temp():
     return F.avg("avg_temp")
 
 
-@query("enso_labels", "F41 P5", sql=None)
+def _enso_labels_sql() -> str:
+    from .queries_stats import _event_probs_sql
+    lst = lambda xs: "(" + ", ".join(ov.sql_str(x) for x in xs) + ")"
+    return "WITH " + _event_probs_sql().strip() + f"""
+SELECT user_id AS location_id, state, (wa - 20.0) / 25.0 AS mei_index,
+  CASE WHEN (wa - 20.0) / 25.0 > 0.5 THEN 'El Niño' WHEN (wa - 20.0) / 25.0 < -0.5 THEN 'La Niña' ELSE 'Neutral' END AS enso_phase,
+  concat_ws(', ', CASE WHEN state IN {lst(dims.COASTAL_STATES)} THEN 'coastal' END,
+                  CASE WHEN state IN {lst(dims.HILLY_STATES)} THEN 'hilly/northeast' END,
+                  CASE WHEN state IN {lst(dims.DRY_STATES)} THEN 'arid/dry' END) AS region_type
+FROM u2"""
+
+
+@query("enso_labels", "F41 P5", sql=_enso_labels_sql())
 def q_enso_labels(spark, d):
     from .queries_matching import geo_flags
     from .queries_stats import event_probabilities
