@@ -90,3 +90,26 @@ def test_stratified_split_exact_counts(spark):
         assert counts[(c, True)] + counts[(c, False)] == n
     again = {r.id for r in stratified_split(df, "c", ["id"], partitions=3).where("is_test").select("id").collect()}
     assert again == {r.id for r in s.where("is_test").select("id").collect()}
+
+
+def test_top_n_matches_window_with_hot_key(spark):
+    from pyspark.sql import Window
+    # key 0 holds most rows (a hot key); ties on ts are broken by id
+    df = spark.range(5000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 13).alias("k"),
+                                  (F.col("id") % 97).alias("ts"), F.col("id")).repartition(6)
+    got = panels.top_n_per_key(df, "k", [("ts", True), ("id", True)], 4)
+    w = Window.partitionBy("k").orderBy(F.col("ts").desc(), F.col("id").desc())
+    want = df.withColumn("rank", F.row_number().over(w)).where("rank <= 4")
+    assert sorted(map(tuple, got.select("k", "id", "rank").collect())) == \
+        sorted(map(tuple, want.select("k", "id", "rank").collect()))
+
+
+def test_histogram_moments_match_spark(spark):
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7) % 50).cast("double").alias("v"))
+    d = {r.k: r for r in stats.distribution_by_key(df, "k", ["v"], 0.5).collect()}
+    ref = {r.k: r for r in df.groupBy("k").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"),
+                                               F.percentile("v", 0.5).alias("q")).collect()}
+    for k in ref:
+        assert d[k]["mean"] == pytest.approx(ref[k].m)
+        assert d[k]["std"] == pytest.approx(ref[k].s)
+        assert d[k]["quantile"] == pytest.approx(ref[k].q)
