@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .climate import _c, null_d, null_s
-
+from .climate import _c, null_d
 
 
 def clip(x, lo: float | None, hi: float | None) -> Column:

@@ -11,14 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.climate import null_d, null_s
-
 from .. import dims
 from ..functions import forest as ff
 from ..functions.alerts import clip
 
 
-
 def _ordered(key: str, order: str):
     return Window.partitionBy(key).orderBy(order)
 

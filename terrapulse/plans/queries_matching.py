@@ -97,7 +97,6 @@ def q_state_geo_flags(spark, d):
 
 def _alert_label_sql() -> str:
     labels = ov.values(dims.ALERT_LABELS, ["code", "label"])
-    from .queries_forest import ov as _ov  # noqa: F401
     return ov.with_(ov.FOREST_FEATURES) + f"""
 SELECT f.alert_level, COALESCE(l.label, CAST(f.alert_level AS VARCHAR)) AS alert_label, COUNT(*) AS n_rows
 FROM forest_features f LEFT JOIN {labels} l ON f.alert_level = l.code GROUP BY 1, 2"""

@@ -3,8 +3,6 @@ its sink as a batch DataFrame; R1-R3 and R5 have SQL for the batch equivalent.""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..streaming import jobs
 from . import oracle_views as ov
 from .catalog import query

@@ -23,7 +23,7 @@ from ..functions import alerts as fa
 from ..functions import climate as fc
 from ..functions import forest as ff
 from ..functions import urban as fu
-from ..ml import domains, models
+from ..ml import domains
 from ..operators import matching, panels, topk
 from ..sources import bindings, payloads
 from ..sources.tables import table
