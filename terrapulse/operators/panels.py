@@ -101,23 +101,21 @@ def latest_non_null(df: DataFrame, key: str, order: str, cols: list[str] | None
 
 
 # J9 ----------------------------------------------------------------------------
-def interpolate_anchors(df: DataFrame, year_col: str, anchors: DataFrame, out_col: str,
-                        key: str | None = None) -> DataFrame:
-    """Piecewise-linear interpolation against (year, rate) anchors, clamped at
-    both ends (``np.interp``).  Anchors are a fixed tiny table (broadcast);
-    the range join ``y0 <= year < y1`` matches at most one segment per row."""
-    w = Window.orderBy("year")
-    seg = (anchors.select(F.col("year").alias("y0"), F.col("rate").alias("r0"),
-                          F.lead("year").over(w).alias("y1"), F.lead("rate").over(w).alias("r1"))
-           .where(F.col("y1").isNotNull()))
-    bounds = anchors.agg(F.min("year").alias("ymin"), F.max("year").alias("ymax"),
-                         F.min_by("rate", "year").alias("rmin"), F.max_by("rate", "year").alias("rmax"))
+def interpolate_anchors(df: DataFrame, year_col: str, anchors: list[tuple[int, float]], out_col: str) -> DataFrame:
+    """Piecewise-linear interpolation against fixed (year, rate) anchors, clamped
+    at both ends (``np.interp``).  The segments are a tiny fixed table
+    (broadcast) and the clamps are literals; the range join
+    ``y0 <= year < y1`` matches at most one segment per row."""
+    pts = sorted(anchors)
+    seg = df.sparkSession.createDataFrame(
+        [(int(y0), float(r0), int(y1), float(r1)) for (y0, r0), (y1, r1) in zip(pts, pts[1:])],
+        "y0 INT, r0 DOUBLE, y1 INT, r1 DOUBLE")
     y = F.col(year_col)
-    j = (df.join(F.broadcast(seg), (y >= F.col("y0")) & (y < F.col("y1")), "left")
-         .crossJoin(F.broadcast(bounds)))
+    j = df.join(F.broadcast(seg), (y >= F.col("y0")) & (y < F.col("y1")), "left")
     interp = F.col("r0") + (y - F.col("y0")).cast("double") * (F.col("r1") - F.col("r0")) / (F.col("y1") - F.col("y0")).cast("double")
-    val = (F.when(y <= F.col("ymin"), F.col("rmin")).when(y >= F.col("ymax"), F.col("rmax")).otherwise(interp))
-    return j.withColumn(out_col, val).drop("y0", "r0", "y1", "r1", "ymin", "ymax", "rmin", "rmax")
+    val = (F.when(y <= F.lit(pts[0][0]), F.lit(float(pts[0][1])))
+           .when(y >= F.lit(pts[-1][0]), F.lit(float(pts[-1][1]))).otherwise(interp))
+    return j.withColumn(out_col, val).drop("y0", "r0", "y1", "r1")
 
 
 # Urbanization series job (W2, W4, W8, W9, J9, F30, F31, A8) ----------------------
@@ -142,7 +140,7 @@ def urban_features(spark: SparkSession, series: DataFrame, key: str = "country",
         (F.col("population_m") / F.col("world_population_m")).alias("world_pop_ratio"),
         (F.col("growth_rate") - F.col("world_growth_rate")).alias("india_world_growth_diff"),
     )
-    df = interpolate_anchors(df, order, dims.urb_anchors(spark), "urbanization_rate")
+    df = interpolate_anchors(df, order, dims.URB_ANCHORS, "urbanization_rate")
     df = df.select(
         "*",
         (F.col("population_m") * F.col("urbanization_rate") / F.lit(100.0)).alias("urban_pop_m"))

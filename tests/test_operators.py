@@ -30,7 +30,7 @@ def test_forward_fill_and_rolling(spark):
 
 def test_interpolation_hits_anchors_and_clamps(spark):
     years = spark.createDataFrame([(y,) for y in (1950, 1961, 1966, 2011, 2021, 2030)], "year int")
-    out = {r.year: r.u for r in panels.interpolate_anchors(years, "year", dims.urb_anchors(spark), "u").collect()}
+    out = {r.year: r.u for r in panels.interpolate_anchors(years, "year", dims.URB_ANCHORS, "u").collect()}
     assert out[1961] == 17.97 and out[2011] == 31.16 and out[2021] == 35.39
     assert out[1950] == 17.97 and out[2030] == 35.39
     assert out[1966] == pytest.approx(17.97 + 0.5 * (19.91 - 17.97))
