@@ -46,7 +46,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("reserved", "copyright all rights reserved"),
 ]
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 
 #: Separators of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` words in a text that is not lower-cased yet.
 SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

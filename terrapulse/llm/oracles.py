@@ -1,3 +1,141 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, written from the rules and not from the plans."""
 
-LICENSE = PII = MIX = None
+from __future__ import annotations
+
+from terrapulse.llm import license_scan, pii
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SQL_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _places(phrase: str) -> str:
+    parts = phrase.split()
+    same = " AND ".join(f"w[i+{n + 1}] = '{p}'" for n, p in enumerate(parts))
+    return f"list_filter(range(len(w) - {len(parts) - 1}), lambda i: {same})"
+
+
+def _license() -> str:
+    phrases = list(license_scan.PHRASES.items())
+    every = " || ".join(f"p{n}" for n in range(len(phrases)))
+    base = " || ".join(f"CASE WHEN len(p{n}) > 0 THEN ['{label}'] ELSE [] END" for n, (_, label) in enumerate(phrases))
+    templates = ", ".join(f"({n}, '{label}', {sorted(set(text.split()))})"
+                          for n, (label, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SQL_WORD}') AS w FROM documents),
+places AS (
+  SELECT doc_id, len(w) AS n, {", ".join(f"{_places(p)} AS p{n}" for n, (p, _) in enumerate(phrases))} FROM d),
+templates(k, label, words) AS (VALUES {templates}),
+lines AS (SELECT doc_id, unnest(string_split(lower(t), chr(10))) AS line FROM d),
+sets AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_SQL_WORD}')) AS s FROM lines),
+found AS (
+  SELECT doc_id, label, len(list_intersect(s, words)) / len(words) AS part FROM sets, templates
+  WHERE len(list_intersect(s, words)) >= ceil(round({license_scan.THRESHOLD} * len(words), 9))),
+best AS (SELECT doc_id, list(DISTINCT label) AS more, max(part) AS part FROM found GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_words, len({every})::BIGINT AS n_base, list_min({every})::BIGINT AS first_word,
+       list_max({every})::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort({base}), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct({base} || coalesce(more, []))), ','), '') AS labels,
+       CASE WHEN len({every}) > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0)::DOUBLE END AS score
+FROM places LEFT JOIN best USING (doc_id)
+"""
+
+
+#: The kinds as the task states them; the account pattern stands between word boundaries.
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+}
+_DIGITS = "regexp_replace({h}, '[^0-9]', '', 'g')"
+_LUHN = ("list_sum(list_transform(range(length({d})), lambda j: CASE WHEN j % 2 = 0 THEN {c} "
+         "WHEN 2 * {c} > 9 THEN 2 * {c} - 9 ELSE 2 * {c} END)) % 10 = 0")
+
+
+def _valid(kind: str, h: str) -> str:
+    digits = _DIGITS.format(h=h)
+    if kind == "ip":
+        return f"list_max(list_transform(string_split({h}, '.'), lambda x: x::HUGEINT)) <= 255"
+    if kind == "card":
+        digit = f"substr({digits}, length({digits}) - j::BIGINT, 1)::INT"
+        return f"length({digits}) BETWEEN 14 AND 19 AND " + _LUHN.format(d=digits, c=digit)
+    if kind == "phone":
+        return f"length({digits}) BETWEEN 10 AND 15"
+    if kind == "iban":
+        plain = f"replace({h}, ' ', '')"
+        turned = f"(substr({plain}, 5) || substr({plain}, 1, 4))"
+        codes = (f"list_transform(string_split({turned}, ''), lambda x: CASE WHEN ascii(x) < 65 THEN ascii(x) - 48 "
+                 "ELSE 1000 + ascii(x) - 55 END)")
+        rest = f"list_reduce({codes}, lambda a, b: CASE WHEN b < 1000 THEN (a * 10 + b) % 97 ELSE (a * 100 + b - 1000) % 97 END, 0)"
+        return f"length({plain}) BETWEEN 15 AND 34 AND {rest} = 1"
+    return "true"
+
+
+def _pii() -> str:
+    lists, spans = [], []
+    for n, kind in enumerate(pii.KINDS):
+        pattern = _SQL_PATTERNS[kind]
+        lists.append(f"string_split_regex(t, '{pattern}') AS g{n}, regexp_extract_all(t, '{pattern}') AS h{n}")
+        start = (f"list_sum(list_transform(g{n}[1:i], lambda x: length(x)))"
+                 f" + coalesce(list_sum(list_transform(h{n}[1:i-1], lambda x: length(x))), 0)")
+        near = f"regexp_matches(right(g{n}[i], {pii.CONTEXT}), '(?i)(?:^|[^a-z])(?:{'|'.join(pii.CONTEXT_WORDS[kind])})')"
+        spans.append(f"""list_transform(list_filter(range(1, len(h{n}) + 1), lambda i: {_valid(kind, f"h{n}[i]")}),
+      lambda i: {{'start': ({start})::BIGINT, 'rank': {n}, 'kind': '{kind}', 'stop': ({start} + length(h{n}[i]))::BIGINT,
+                  'score': {pii.SCORES[kind]} + CASE WHEN {near} THEN {pii.CONTEXT_BONUS} ELSE 0 END}})""")
+    text = "coalesce(array_to_string(list_transform({s}, lambda x: x.kind || ':' || x.start || ':' || x.stop), ','), '')"
+    base = f"list_filter(s, lambda x: x.rank < {len(pii.BASE_KINDS)})"
+    counts = ", ".join(f"len(list_filter(s, lambda x: x.rank = {n}))::BIGINT AS n_{k}" for n, k in enumerate(pii.KINDS))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, {", ".join(lists)} FROM d),
+f AS (SELECT doc_id, list_sort({" || ".join(spans)}) AS s FROM m)
+SELECT doc_id, {counts}, sha256({text.format(s=base)}) AS base_sha256, {text.format(s="s")} AS spans,
+       list_min(list_transform(s, lambda x: x.score))::INT AS min_score,
+       list_max(list_transform(s, lambda x: x.score))::INT AS max_score
+FROM f
+"""
+
+
+#: Targets by repeated sharing of the excess (as many rounds as there are sources at most),
+#: then one running sum a source.
+MIX = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+k AS (
+  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':' || length(t)), 1, 12))::BIGINT::DOUBLE + 0.5)
+                / 281474976710656.0)
+         / greatest(0.05, 1 - length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::DOUBLE
+                          / greatest(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')), 1)) AS draw FROM d),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM d GROUP BY source),
+shares AS (
+  SELECT 0 AS round, source, source_size, weight, NULL::DOUBLE AS level, false AS full_ FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, l,
+         full_ OR weight * l >= 3 * source_size
+  FROM (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (full_) OVER (), 0))
+                  / sum(weight) FILTER (NOT full_) OVER () AS l
+        FROM shares WHERE round <= (SELECT count(*) FROM s)) x),
+t AS (
+  SELECT source, source_size, CASE WHEN full_ THEN 3.0 * source_size ELSE weight * level END::DOUBLE AS target
+  FROM shares WHERE round = (SELECT max(round) FROM shares)),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+r AS (
+  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+         sum(size) OVER (PARTITION BY k.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, size, source_size, target,
+       (size * (epochs + CASE WHEN size > 0 AND rest > 0 AND upto - size < rest
+                                   AND (upto <= rest OR upto - rest <= rest - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
+
+LICENSE = _license()
+PII = _pii()

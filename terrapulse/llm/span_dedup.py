@@ -1,9 +1,10 @@
 """Substring dedup: sliding spans of consecutive sentences, joined globally.
 
 A text is cut after sentence ends and line ends; the pieces concatenate to the text.
-Every run of ``span`` consecutive sentences is hashed (128 bits, over the words). The
-occurrence with the smallest (doc_id, position) is the first one; sentences covered by
-any other occurrence are removed.
+From every sentence on, the shortest run of at least ``span`` sentences and ``min_words``
+words is hashed (128 bits, over the words), so that short sentences don't meet by chance.
+The occurrence with the smallest (doc_id, position) is the first one; sentences covered
+by any other occurrence are removed.
 
 The first occurrence of a span comes from a partial aggregate, so a passage shared by
 a third of all documents costs one row a task; the join back to the occurrences is an
@@ -11,7 +12,7 @@ equi-join that adaptive execution splits when a span is hot. Per document only t
 positions to remove are gathered.
 
 Defined results: null text stays null and has no sentences; texts of fewer than
-``span`` sentences are unchanged; rows that repeat a doc_id and text are one document;
+``span`` sentences or ``min_words`` words are unchanged; rows that repeat a doc_id and text are one document;
 an empty table gives an empty result; other columns pass through.
 """
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from terrapulse.llm.common import bind, fresh, matches, text_key, words
 
-SPAN = 3
+SPAN = 2
+MIN_WORDS = 10
 #: Zero-width places after a sentence end and its blank, or after a line end.
 BREAK = r"(?<=[.!?][\x20\x09\r])|(?<=\n)"
 
@@ -32,30 +34,41 @@ def pieces(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces that hold a word: array of (piece number, two hashes of the words)."""
+    """Pieces that hold a word: array of (piece number, words, two hashes of them)."""
     hashed = F.transform(pieces(text), lambda p, i: bind(
-        words(p), lambda w: F.struct(i.alias("i"), F.size(w).alias("n"), F.xxhash64(w).alias("h"),
-                                     F.xxhash64(F.lit(1), w).alias("g"))))
+        words(p), lambda w: F.struct(i.alias("i"), F.size(w).alias("n"),
+                                     F.struct(F.xxhash64(w).alias("h"), F.xxhash64(F.lit(1), w).alias("g")).alias("u"))))
     return F.filter(hashed, lambda s: s["n"] > 0)
 
 
-def runs(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
+def runs(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int) -> DataFrame:
     """(doc_id, text_key, start, end, h, g): runs by the piece numbers they begin and end with."""
+    enough = lambda a: (a["k"] >= span) & (a["n"] >= min_words)
+
+    def longer(acc: Column, x: Column) -> Column:
+        more = F.struct((acc["k"] + 1).alias("k"), (acc["n"] + x["n"]).alias("n"))
+        return F.when(enough(acc), acc).otherwise(more)
+
+    def run(s: Column, u: Column, i: Column) -> Column:
+        # A sentence has a word at least, so no run needs more sentences than this.
+        ahead = F.slice(s, i + 1, F.lit(max(span, min_words)))
+        size = F.aggregate(ahead, F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")), longer)
+        return bind(size, lambda z: bind(F.slice(u, i + 1, z["k"]), lambda part: F.when(enough(z), F.struct(
+            F.get(s, i)["i"].alias("start"), F.get(s, i + z["k"] - 1)["i"].alias("end"),
+            F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g")))))
 
     def windows(s: Column) -> Column:
-        starts = F.greatest(F.size(s) - (span - 1), F.lit(0))
-        return F.transform(F.slice(s, F.lit(1), starts), lambda x, i: F.struct(
-            x["i"].alias("start"), F.get(s, i + span - 1)["i"].alias("end"),
-            F.xxhash64(*[F.get(s, i + k)["h"] for k in range(span)]).alias("h"),
-            F.xxhash64(*[F.get(s, i + k)["g"] for k in range(span)]).alias("g")))
+        return bind(F.transform(s, lambda x: x["u"]), lambda u: F.filter(
+            F.transform(s, lambda _, i: run(s, u, i)), lambda x: x.isNotNull()))
 
     return docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
                        F.inline(bind(sentences(F.col(text_col)), windows)))
 
 
-def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
+                    min_words: int = MIN_WORDS) -> DataFrame:
     """(r_id, r_key, removed): the piece numbers of a document that a non-first repeated span covers."""
-    every = runs(docs, id_col, text_col, span)
+    every = runs(docs, id_col, text_col, span, min_words)
     place = F.struct("doc_id", "text_key", "start")
     first = (every.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .where(F.col("first") != F.col("last")).select("h", "g", "first"))
@@ -66,11 +79,12 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                            F.sort_array(covered).alias("removed"))
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
+                min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text cleaned, and a struct column ``span_dedup`` (n_pieces, n_removed, removed)."""
     key, info = fresh(docs, "text_key"), fresh(docs, "span_dedup")
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
-    gone = repeated_pieces(docs, id_col, text_col, span)
+    gone = repeated_pieces(docs, id_col, text_col, span, min_words)
     joined = keyed.join(gone, matches(keyed, gone, {id_col: "r_id", key: "r_key"}), "left")
 
     def rest(p: Column) -> Column:
