@@ -77,6 +77,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 def curve_frames(dim: int, curves: int, dims: int, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
     """(projection, shift) of each curve, from the seed."""
     rng = np.random.default_rng(seed)
+    dims = min(dim, dims)
     return [(np.linalg.qr(rng.standard_normal((dim, dims)))[0], rng.random(dims)) for _ in range(curves)]
 
 
