@@ -16,7 +16,11 @@ No bucket emits all of its pairs: its classes are compared with the smallest one
 links found are contracted, and only classes of a bucket that still lie in different
 components are compared again, those outside the bucket's largest component against
 all that aren't in their own. So every candidate pair is either verified or known to be
-in one component, and a bucket of copies costs one comparison a member.
+in one component, and a bucket of copies costs one comparison a member. Buckets around
+the same largest component form a region. Regions with up to ``REGION_PAIRS`` pairs left
+list them; larger ones are dealt in blocks of nodes, whose pairs are compared exactly
+inside the task that holds both blocks, and only links leave it. What is left there are
+near misses, so this step alone grows with their number times the region's.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` in lower case. Defined results: texts of one to four
 words are one shingle; null and blank texts have none and stay alone; rows that repeat
@@ -42,6 +46,9 @@ BANDS = 25
 ROWS = 5
 #: Words that one step of the signature code holds at a time (or one document, if longer).
 STEP_WORDS = 300_000
+#: Pairs left in a region up to which they are listed, and nodes a block of a larger one.
+REGION_PAIRS = 1_000
+BLOCK = 256
 
 
 def _gold(k: int) -> np.uint64:
@@ -183,17 +190,79 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
+def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, codes, counts): the shingles of the documents in ``nodes`` (n_id)."""
+    texts = docs.join(sized(nodes), docs[id_col] == nodes["n_id"], "left_semi").select(
+        F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hashes"))
+    return texts.mapInArrow(_counted, "node long, codes array<long>, counts array<int>").dropDuplicates(["node"])
+
+
 def _links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """The candidate pairs (a, b) that are similar."""
     nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("n_id")).distinct())
-    texts = docs.join(sized(nodes), docs[id_col] == nodes["n_id"], "left_semi").select(
-        F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hashes"))
-    sets = texts.mapInArrow(_counted, "node long, codes array<long>, counts array<int>").dropDuplicates(["node"])
+    sets = _sets(nodes, docs, id_col, text_col)
     other = sets.select(F.col("node").alias("b"), F.col("codes").alias("codes_b"), F.col("counts").alias("counts_b"))
     both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(other, "b")
     return both.select("a", "b", "codes", "counts", "codes_b", "counts_b").mapInArrow(_verified(similarity), "a long, b long")
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Common codes of every pair of sets, some columns of the incidence matrices at a time."""
+    keys = np.unique(np.concatenate([*x, *y])) if x and y else np.array([], np.int64)
+    out = np.zeros((len(x), len(y)))
+    for at in range(0, len(keys), columns):
+        part = keys[at:at + columns]
+        a, b = np.zeros((len(x), len(part)), np.float32), np.zeros((len(y), len(part)), np.float32)
+        for m, sets in ((a, x), (b, y)):
+            for n, s in enumerate(sets):
+                own = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], side="right")]
+                m[n, np.searchsorted(part, own)] = 1
+        out += a @ b.T
+    return out
+
+
+def _blocks_linked(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        node, root, left = (table.column(c).to_numpy() for c in ("node", "root", "left"))
+        columns = [table.column(c).combine_chunks() for c in ("codes", "counts")]
+        (codes, cut), (counts, _) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in columns)
+        order = [np.argsort(codes[a:b].view(np.uint64), kind="stable") for a, b in zip(cut, cut[1:])]
+        sets = [codes[a:b].view(np.uint64)[o] for a, b, o in zip(cut, cut[1:], order)]
+        weights = [counts[a:b][o] for a, b, o in zip(cut, cut[1:], order)]
+        xs, ys = np.flatnonzero(left), np.flatnonzero(~left)
+        common = _overlaps([sets[i] for i in xs], [sets[i] for i in ys])
+        size, plain = np.array([len(s) for s in sets]), np.array([not len(w) or w.max() == 1 for w in weights])
+        jaccard = common / np.maximum(size[xs][:, None] + size[ys][None, :] - common, 1)
+        sure = plain[xs][:, None] & plain[ys][None, :]
+        apart = root[xs][:, None] != root[ys][None, :]
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, j in zip(*np.nonzero(apart & (common > 0) & (~sure | (jaccard >= similarity)))):
+            a, b = xs[i], ys[j]
+            key = (node[a], root[b])  # one link to a component is enough
+            if key not in out and (sure[i, j] or probability_jaccard(sets[a], weights[a], sets[b], weights[b]) >= similarity):
+                out[key] = (node[a], node[b])
+        return pa.table({"a": pa.array([a for a, _ in out.values()], pa.int64()),
+                         "b": pa.array([b for _, b in out.values()], pa.int64())})
+    return run
+
+
+def _region_links(region: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Links of the nodes outside a large region's largest component, block by block.
+
+    region: (largest, node, root, n_left, n_all), one row a node of a region.
+    """
+    nodes = checkpointed(region.select(F.col("node").alias("n_id")).distinct())
+    held = region.join(_sets(nodes, docs, id_col, text_col), "node")
+    count = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), count(n)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), count(n) - 1)
+    columns = ["node", "root", "codes", "counts"]
+    xs = held.where(F.col("root") != F.col("largest")).select(
+        "largest", own("n_left").alias("i"), F.explode(all_of("n_all")).alias("j"), *columns, F.lit(True).alias("left"))
+    ys = held.select("largest", F.explode(all_of("n_left")).alias("i"), own("n_all").alias("j"), *columns, F.lit(False).alias("left"))
+    return xs.unionByName(ys).groupBy("largest", "i", "j").applyInArrow(_blocks_linked(similarity), "a long, b long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
             bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id): every document with the smallest doc_id of its class."""
@@ -215,12 +284,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where(
         F.col("parts") > 1).select("bucket", F.col("top.root").alias("largest"))
-    open_ = checkpointed(placed.join(largest, "bucket").select("bucket", "node", "root", "largest"))
-    left = open_.where(F.col("root") != F.col("largest")).select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    cross = left.join(open_, "bucket").where((F.col("root") != F.col("x_root"))).select(
+    region = checkpointed(placed.join(largest, "bucket").select("largest", "node", "root").distinct())
+    counts = region.groupBy("largest").agg(
+        F.sum((F.col("root") != F.col("largest")).cast("long")).alias("n_left"), F.count("*").alias("n_all"))
+    region = checkpointed(region.join(counts, "largest"))
+    few = F.col("n_left") * F.col("n_all") <= REGION_PAIRS
+    small = region.where(few).select("largest", "node", "root")
+    left = small.where(F.col("root") != F.col("largest")).select("largest", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    cross = left.join(small, "largest").where(F.col("root") != F.col("x_root")).select(
         F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     more = checkpointed(cross.join(pairs, ["a", "b"], "left_anti"))
-    all_links = links.unionByName(_links(more, docs, id_col, text_col, similarity))
+    all_links = (links.unionByName(_links(more, docs, id_col, text_col, similarity))
+                 .unionByName(_region_links(region.where(~few), docs, id_col, text_col, similarity)))
     roots = components(all_links).select(F.col("node").alias("r_node"), "root")
 
     nodes = signed.join(copies.select("same", "node"), "same", "left").withColumn("node", F.coalesce("node", "doc_id"))
