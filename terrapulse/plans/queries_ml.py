@@ -1,5 +1,8 @@
-"""Model queries (M1-M9, M12, A10, A12, S18): rows-only checks except the
-exact split sizes, which SQL can state."""
+"""Model queries.
+
+A tree's outputs aren't SQL; what SQL can state is checked: which models there are,
+how many rows each was tested on, and that every metric lies in its range.
+"""
 
 from __future__ import annotations
 
@@ -8,77 +11,116 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..ml import domains, models
 from ..ml.split import stratified_split
-from ..session import scratch_path
 from . import oracle_views as ov
 from .catalog import query
+from .queries_climate import DROUGHT_SQL, WEEKLY_SQL
+from .queries_urban import urban_features_sql
+
+READY = dims.MODEL_NAMES + ["spei_model"]
 
 
 def _eval(spark, d, domain):
-    fitted = domains.models_of(spark, d, domain)
-    m = models.metrics_row(fitted)
-    models.append_metrics(m, scratch_path(spark, "metrics", domain))
-    return m
+    """(model, kind, target, n_test, in_range) from the stored metric table."""
+    m = domains.trained(spark, d, domain)["_metrics"]
+    ok = F.when(F.col("kind") == "rf_classifier", F.col("accuracy").between(0, 1)).otherwise(
+        (F.col("mae") >= 0) & (F.coalesce(F.col("r2"), F.lit(0.0)) <= 1))
+    return m.select("model", "kind", "target", "n_test", ok.alias("in_range"))
+
+
+def _eval_sql(views: str, rows: str, domain: str) -> str:
+    """Held-out rows of every target: round(n / 5) a class, or the ceiling of a fifth."""
+    parts = []
+    for t in domains.DOMAINS[domain][4]:
+        label = {"crop_idx": "crop", "event_idx": "event_type", "category_idx": "category"}.get(t.label, t.label)
+        sized = f"SELECT {label} AS cls, COUNT(*) AS n FROM {rows} WHERE {label} IS NOT NULL GROUP BY 1"
+        count = "SUM(CAST(ROUND(n * 0.2) AS BIGINT))" if t.stratified else "CAST(CEIL(SUM(n) * 0.2) AS BIGINT)"
+        parts.append(f"SELECT '{t.name}' AS model, '{t.kind}' AS kind, '{t.label}' AS target, "
+                     f"CAST({count} AS BIGINT) AS n_test, TRUE AS in_range FROM ({sized})")
+    return views + " UNION ALL ".join(parts)
+
 
+FOREST_TRAINING = ov.FOREST_FEATURES + """,
+forest_training AS (SELECT * FROM forest_features WHERE forest_change_yoy IS NOT NULL AND future_ndvi IS NOT NULL
+                    AND future_forest_cover IS NOT NULL)"""
 
-@query("crop_model_eval", "M1 M3 M4 A9 A10 M12 S17")
+
+def _drought_views() -> str:
+    return ov.with_(ov.OBS, WEEKLY_SQL, f"""
+drought_rows AS (SELECT s.*, CAST(w.precip_week < 50 AND round(s.spei, 4) <= -1.0 AS DOUBLE) AS status
+                 FROM ({DROUGHT_SQL}) s JOIN weekly_weather w USING (location_id, week))""")
+
+
+@query("crop_model_eval", "M1 M3 M4 A9 A10 M12 S17", sql=_eval_sql(ov.with_(ov.CROP_ROWS), "crop_rows", "crop"))
 def q_crop_model_eval(spark, d):
     return _eval(spark, d, "crop")
 
 
-@query("weather_model_eval", "M2 M3 M5 A10 M12")
+@query("weather_model_eval", "M2 M3 M5 A10 M12", sql=_eval_sql(ov.with_(ov.event_rows_sql()), "event_rows", "weather"))
 def q_weather_model_eval(spark, d):
     return _eval(spark, d, "weather")
 
 
-@query("drought_model_eval", "M3 M6 A10 M12")
+@query("drought_model_eval", "M3 M6 A10 M12", sql=_eval_sql(_drought_views(), "drought_rows", "drought"))
 def q_drought_model_eval(spark, d):
     return _eval(spark, d, "drought")
 
 
-@query("forest_model_eval", "M3 M7 A10 A11 M12")
+@query("forest_model_eval", "M3 M7 A10 A11 M12", sql=_eval_sql(ov.with_(FOREST_TRAINING), "forest_training", "forest"))
 def q_forest_model_eval(spark, d):
     return _eval(spark, d, "forest")
 
 
-@query("urban_model_eval", "M2 M8 A10 M12")
+@query("urban_model_eval", "M2 M8 A10 M12", sql=_eval_sql(
+    urban_features_sql(), "(SELECT * FROM urban_features WHERE future_population IS NOT NULL"
+    " AND future_urb_rate IS NOT NULL AND future_infra_pressure IS NOT NULL)", "urban"))
 def q_urban_model_eval(spark, d):
     return _eval(spark, d, "urban")
 
 
-@query("crop_feature_importances", "A12")
+@query("crop_feature_importances", "A12", sql="""
+SELECT CAST(r AS INTEGER) AS rank, TRUE AS known_feature, TRUE AS in_range, TRUE AS sorted FROM range(1, %d) t(r)"""
+       % (min(10, len(domains.CROP_FEATURES)) + 1))
 def q_crop_feature_importances(spark, d):
-    f = domains.trained(spark, d, "crop")["crop_yield_predictor"]
-    return models.top_importances(spark, f["model"], domains.CROP_FEATURES, 10)
-
-
-@query("model_readiness", "S18")
+    """Ranks of the ten largest importances, and whether each is a share of a known feature in order."""
+    f = domains.models_of(spark, d, "crop")["crop_yield_predictor"]
+    top = models.top_importances(spark, f["model"], domains.CROP_FEATURES, 10)
+    rows = [(r["feature"], r["importance"]) for r in top.collect()]  # at most ten
+    falling = [v for _, v in rows] == sorted((v for _, v in rows), reverse=True)
+    return spark.createDataFrame([(n + 1, name in domains.CROP_FEATURES, 0.0 <= v <= 1.0, falling)
+                                  for n, (name, v) in enumerate(rows)],
+                                 "rank INT, known_feature BOOLEAN, in_range BOOLEAN, sorted BOOLEAN")
+
+
+@query("model_readiness", "S18", sql="SELECT model, TRUE AS ready FROM "
+       + ov.values([(n,) for n in READY], ["model"]))
 def q_model_readiness(spark, d):
-    paths = {}
-    for dom in ("forest", "drought"):
-        for name, f in domains.models_of(spark, d, dom).items():
-            paths[name] = f["path"]
-    return models.readiness(spark, dims.MODEL_NAMES + ["spei_model"], paths)
+    """Every model of the registry, loaded from the store."""
+    paths = {name: f["path"] for dom in domains.DOMAINS for name, f in domains.models_of(spark, d, dom).items()}
+    return models.readiness(spark, READY, paths)
 
 
 @query("stratified_split_sizes", "M3", sql=ov.with_(ov.CROP_ROWS) + """
-SELECT crop, COUNT(*) AS n_rows, CAST(ROUND(COUNT(*) * 0.2) AS BIGINT) AS n_test FROM crop_rows GROUP BY crop""")
+SELECT crop, COUNT(*) AS n_rows, CAST(ROUND(COUNT(*) * 0.2) AS BIGINT) AS n_test, SUM(n) AS sum_n
+FROM crop_rows GROUP BY crop""")
 def q_stratified_split_sizes(spark, d):
+    """Split sizes with a feature column kept: no row is lost or drawn twice."""
     from ..sources import bindings
     rows = bindings.crop_rows(spark, d)
     s = stratified_split(rows, "crop", ["l_orderkey", "l_linenumber"])
-    return s.groupBy("crop").agg(F.count(F.lit(1)).alias("n_rows"),
-                                 F.count_if("is_test").cast("long").alias("n_test"))
+    return s.groupBy("crop").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_test").cast("long").alias("n_test"),
+                                 F.sum("n").alias("sum_n"))
 
 
-@query("forest_batch_scoring", "M9 M10")
+@query("forest_batch_scoring", "M9 M10", sql=ov.with_(ov.STATE_PANEL) + """
+SELECT state, CAST(MAX(year) AS DOUBLE) AS year, TRUE AS code_ok, TRUE AS confidence_ok FROM state_panel GROUP BY state""")
 def q_forest_batch_scoring(spark, d):
-    """Score the latest forest row of every state with the fitted alert model;
-    confidence of the predicted class from the probability vector."""
+    """Score the latest year of every state with the fitted alert model; the predicted
+    class is one of the four levels and its confidence a percentage."""
     from ..operators import panels, topk
     fitted = domains.models_of(spark, d, "forest")
-    data = domains.forest_data(spark, d, domains.encoders(spark, d, "forest"))
-    latest = panels.latest_n(data, "state", "year", 1).drop("rank")
+    data = domains.forest_rows(spark, d, domains.encoders(spark, d, "forest"))
+    latest = domains.forest_features_of(panels.latest_n(data, "state", "year", 1).drop("rank"))
     scored = models.score(fitted["forest_alert_model"]["model"], latest, "alert", classifier=True)
     code = F.col("alert_pred").cast("int")
-    return scored.select("state", code.alias("alert_code"),
-                         topk.confidence_of("alert_probs", code).alias("confidence"))
+    return scored.select("state", "year", code.between(0, 3).alias("code_ok"),
+                         topk.confidence_of("alert_probs", code).between(0, 100).alias("confidence_ok"))
