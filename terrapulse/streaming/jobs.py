@@ -26,17 +26,36 @@ from ..sources.tables import table
 WATERMARK = "1 day"
 MONDAY_OFFSET = "4 days"  # 1970-01-01 is a Thursday: shift windows to start on Monday
 
-_LANDED: dict[str, str] = {}
+#: Files of the landing folder: this many time ranges, each cut further at so many rows.
+LANDING_RANGES = 32
+LANDING_ROWS = 100_000
 
+_LANDED: dict[tuple[str, str, int], str] = {}
 
-def landing_folder(spark: SparkSession, d: str, files_per_day: bool = True) -> str:
-    """Land the events table as one file per event day (the arrival unit)."""
-    if d not in _LANDED:
+
+def landing_folder(spark: SparkSession, d: str, ranges: int = LANDING_RANGES) -> str:
+    """Land the events table in arrival order: files are ranges of event time, a day
+    spans as many as it needs, and each file is stamped later than the one before it
+    (the file source reads by modification time)."""
+    key = (spark.sparkContext.applicationId, d, ranges)
+    if key not in _LANDED:
         path = scratch_path(spark, "landing", f"events-{uuid.uuid4().hex[:10]}")
         ev = table(spark, d, "events")
-        ev.repartition(F.to_date("ts")).write.mode("overwrite").parquet(path)
-        _LANDED[d] = path
-    return _LANDED[d]
+        (ev.repartitionByRange(ranges, "ts").sortWithinPartitions("ts").write.mode("overwrite")
+         .option("maxRecordsPerFile", LANDING_ROWS).parquet(path))
+        _stamp_in_order(spark, path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+def _stamp_in_order(spark: SparkSession, path: str) -> None:
+    """Set the files' times to their order by name, which is their order by event time."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    first = min((f.getModificationTime() for _, f in files), default=0) - 1000 * len(files)
+    for n, (_, f) in enumerate(files):
+        fs.setTimes(f.getPath(), first + 1000 * n, -1)
 
 
 def observation_stream(spark: SparkSession, d: str, files_per_trigger: int = 5) -> DataFrame:
@@ -61,7 +80,8 @@ def _upsert_log(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     ckpt = scratch_path(spark, "stream", name, run, "checkpoint")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        # a batch that is run again replaces what it wrote before
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
     q = (stream.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -142,10 +162,14 @@ def alert_outbox(spark: SparkSession, d: str) -> DataFrame:
     out = scratch_path(spark, "stream", "outbox", run, "out")
     ckpt = scratch_path(spark, "stream", "outbox", run, "checkpoint")
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
-
-    q = (mail.writeStream.outputMode("append").foreachBatch(write_batch)
+    q = (mail.writeStream.outputMode("append").foreachBatch(outbox_writer(out))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
+
+
+def outbox_writer(out: str):
+    """Writes each micro-batch to its own folder, so that a batch run again sends nothing twice."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    return write_batch

@@ -53,3 +53,28 @@ def test_report_schema_stable_when_domains_missing(spark, small_dir):
     water = r.where("is_water").select("ensemble.overall_alert_level", "ensemble.signals").first()
     if water is not None:
         assert water.overall_alert_level == "GREEN"
+
+
+def test_streams_lose_nothing_over_many_files(spark, small_dir, monkeypatch):
+    """Thirty and more files of event time, one to five a batch: every reading arrives in time."""
+    from terrapulse.sources.tables import table
+    monkeypatch.setattr(jobs, "LANDING_ROWS", 25)
+    path = jobs.landing_folder(spark, small_dir, ranges=33)
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() >= 30
+    monkeypatch.setattr(jobs, "landing_folder", lambda *_: path)
+    n = table(spark, small_dir, "events").count()
+    observe = jobs.observation_stream
+    for files in (2, 5):
+        monkeypatch.setattr(jobs, "observation_stream", lambda s, d, files=files: observe(s, d, files))
+        assert jobs.weekly_weather_stream(spark, small_dir).agg(F.sum("n_readings")).first()[0] == n
+    assert jobs.vegetation_stream(spark, small_dir).agg(F.sum("n_readings")).first()[0] == 16 * n
+    feed = jobs.alert_feed(spark, small_dir).select("location_id", F.to_date("ts")).distinct().count()
+    assert jobs.deduplicated_alerts(spark, small_dir).count() == feed
+
+
+def test_outbox_batch_run_again_sends_nothing_twice(spark, tmp_path):
+    write = jobs.outbox_writer(str(tmp_path / "out"))
+    batch = spark.createDataFrame([(1, "x"), (2, "y")], "event_id long, level string")
+    for n in (0, 1, 1):
+        write(batch, n)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
