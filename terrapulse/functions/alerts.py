@@ -178,7 +178,8 @@ def risk_notes(wind, temp, precip) -> Column:
 # F50 ------------------------------------------------------------------------
 def spei_mean_note(mean_spei) -> Column:
     s = _c(mean_spei)
-    return F.when(s < -1.0, F.lit("Drought conditions")).otherwise(F.lit("No significant drought"))
+    return F.when(s < -1.0, F.lit("Below -1.0 indicates drought conditions.")).otherwise(
+        F.lit("Near-normal moisture conditions on average."))
 
 
 # F51 ------------------------------------------------------------------------

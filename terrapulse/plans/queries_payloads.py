@@ -158,7 +158,10 @@ def enso_lines(spark, d):
     per_year = m.groupBy("y").agg(F.map_from_entries(F.collect_list(F.struct("m", idx))).alias("vals"))
     line = F.concat_ws("    ", F.col("y").cast("string"),
                        F.array_join(F.transform(months, lambda x: F.coalesce(F.try_element_at("vals", x), F.lit("-999.00"))), "    "))
-    return per_year.select(F.col("y").alias("line_no"), line.alias("value"))
+    # the running year has no values yet: a last line of sentinels
+    coming = per_year.agg((F.max("y") + 1).alias("y")).select(
+        F.col("y").alias("line_no"), F.concat_ws("    ", F.col("y").cast("string"), *[F.lit("-999.00")] * 12).alias("value"))
+    return per_year.select(F.col("y").alias("line_no"), line.alias("value")).unionByName(coming)
 
 
 @query("enso_index", "S9 F41", sql="""
@@ -301,7 +304,12 @@ def q_flat_export(spark, d):
                        "`report.alert.points`", "`report.notes`")
 
 
-@query("nested_json_export", "S14", sql=None)
+def _alert_sql(select: str, *views: str) -> str:
+    from .queries_climate import ALERT_SQL, WEEKLY_SQL
+    return ov.with_(ov.OBS, WEEKLY_SQL, *views, f"\nalerts AS ({ALERT_SQL})") + select
+
+
+@query("nested_json_export", "S14", sql=_alert_sql("SELECT level, COUNT(*) AS n FROM alerts GROUP BY level"))
 def q_nested_json_export(spark, d):
     df = nested_alerts(spark, d)
     path = sinks.write_nested_json(df, sinks.new_output_path(spark, "nested_alerts"))
@@ -329,7 +337,10 @@ def q_parameter_status_table(spark, d):
     return t.select("k.location_id", "k.week", "parameter", "value", "unit", "status")
 
 
-@query("alert_text_reports", "S16 P10", sql=None)
+# a report has five lines
+@query("alert_text_reports", "S16 P10", sql=_alert_sql("""
+SELECT CAST(5 * COUNT(*) AS BIGINT) AS n_lines FROM alerts JOIN aoi ON aoi_id = location_id
+WHERE level <> 'GREEN' AND user_email IS NOT NULL""", ov.aoi_sql()))
 def q_alert_text_reports(spark, d):
     a = nested_alerts(spark, d).where(F.col("report.alert.level") != "GREEN")
     aoi = bindings.aoi(spark, d).select(F.col("aoi_id").alias("location_id"), "aoi_name", "lat", "lng", "user_email")

@@ -155,7 +155,7 @@ def _spei_summary_sql() -> str:
     from .queries_climate import DROUGHT_SQL, WEEKLY_SQL
     return ov.with_(ov.OBS, WEEKLY_SQL) + f"""
 SELECT mean_spei, mean_temp, n_weeks,
-       CASE WHEN mean_spei < -1.0 THEN 'Drought conditions' ELSE 'No significant drought' END AS note
+       CASE WHEN mean_spei < -1.0 THEN 'Below -1.0 indicates drought conditions.' ELSE 'Near-normal moisture conditions on average.' END AS note
 FROM (SELECT AVG(spei) AS mean_spei, COUNT(*) AS n_weeks FROM ({DROUGHT_SQL})) s
 CROSS JOIN (SELECT AVG(avg_temp) AS mean_temp FROM weekly_weather) t"""
 

@@ -165,14 +165,14 @@ def reverse_address(payload, fallback=None) -> Column:
 
 # S9 -------------------------------------------------------------------------------
 def enso_index(lines: DataFrame, line_no_col: str = "line_no", value_col: str = "value") -> DataFrame:
-    """Fixed-width ENSO text -> the last valid value of the last line that
-    starts with a year (2 decimals), else 0.0.  One aggregate."""
+    """Fixed-width ENSO text -> the last valid value of the last line that starts with a
+    year and has one (2 decimals), else 0.0.  One aggregate."""
     parts = F.split(F.trim(F.col(value_col)), r"\s+")
-    rows = lines.select(line_no_col, parts.alias("p")).where(F.col("p")[0].rlike(r"^[0-9]+$") & (F.size("p") >= 2))
-    vals = rows.select(line_no_col, F.posexplode(F.slice("p", 2, 100)).alias("pos", "v"))
-    vals = vals.where(~F.col("v").isin("-999.00", "-999")).select(line_no_col, "pos", F.col("v").try_cast("double").alias("v"))
-    last_line = rows.agg(F.max(line_no_col).alias("_l"))
-    picked = vals.join(last_line, F.col(line_no_col) == F.col("_l")).agg(F.max_by("v", "pos").alias("mei"))
+    rows = lines.select(F.col(line_no_col).alias("line_no"), parts.alias("p")).where(
+        F.col("p")[0].rlike(r"^[0-9]+$") & (F.size("p") >= 2))
+    vals = rows.select("line_no", F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("pos", "v"))
+    vals = vals.where(~F.col("v").isin("-999.00", "-999")).select("line_no", "pos", F.col("v").try_cast("double").alias("v"))
+    picked = vals.where(F.col("v").isNotNull()).agg(F.max_by("v", F.struct("line_no", "pos")).alias("mei"))
     return picked.select(F.coalesce(F.bround("mei", 2), F.lit(0.0)).alias("mei_index"))
 
 

@@ -58,3 +58,10 @@ def test_enso_text(spark):
     assert payloads.enso_index(lines).first()[0] == -0.57
     none = spark.createDataFrame([(1, "header only")], "line_no int, value string")
     assert payloads.enso_index(none).first()[0] == 0.0
+
+
+def test_enso_last_line_without_values(spark):
+    lines = spark.createDataFrame([(1, "2023 0.5 0.7"), (2, "2024 -999.00 -999.00")], "line_no int, value string")
+    assert payloads.enso_index(lines).first()[0] == 0.7
+    wide = spark.createDataFrame([(1, "2023 " + " ".join(["0.1"] * 150 + ["0.9"]))], "line_no int, value string")
+    assert payloads.enso_index(wide).first()[0] == 0.9
