@@ -179,9 +179,8 @@ def top_n_per_key(df: DataFrame, key: str, order: list[tuple[str, bool]], n: int
     their rank.  The limit is the feature (latest n per user).
 
     n = 1 is one partial + final aggregate (``max_by`` over the ordering).
-    For n > 1 each input partition first keeps at most n rows per key
-    (vectorized, inside the map task), so only candidates are shuffled and no
-    task ever holds more than n x (input partitions) rows of a hot key."""
+    For n > 1 the rank filter is planned as a group limit before and after the
+    shuffle, so only candidates of a hot key are shuffled."""
     cols = df.columns
     directions = {desc for _, desc in order}
     if n == 1 and len(directions) == 1:
@@ -189,21 +188,8 @@ def top_n_per_key(df: DataFrame, key: str, order: list[tuple[str, bool]], n: int
         best = pick(F.struct(*cols), F.struct(*[F.col(c) for c, _ in order]))
         return df.groupBy(key).agg(best.alias("_b")).select(*[F.col(f"_b.{c}").alias(c) for c in cols],
                                                             F.lit(1).alias(rank_col))
-    by = [key] + [c for c, _ in order]
-    asc = [True] + [not desc for _, desc in order]
-
-    def local_top(batches):
-        import pandas as pd
-        keep = None
-        for b in batches:
-            keep = b if keep is None else pd.concat([keep, b], ignore_index=True)
-            keep = keep.sort_values(by, ascending=asc, kind="mergesort").groupby(key, sort=False).head(n)
-        if keep is not None:
-            yield keep
-
-    cand = df.mapInPandas(local_top, schema=df.schema)
     w = Window.partitionBy(key).orderBy(*[F.col(c).desc() if desc else F.col(c).asc() for c, desc in order])
-    return cand.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
 def latest_n(df: DataFrame, key: str, order_col: str, n: int, descending: bool = True) -> DataFrame:

@@ -105,13 +105,11 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 # A10 --------------------------------------------------------------------------------
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """MAE and R^2 = 1 - SSres/SStot, with the mean from the same pass."""
-    mean = df.agg(F.avg(label).alias("_mean"))
-    j = df.crossJoin(F.broadcast(mean))
-    return j.agg(F.avg(F.abs(F.col(label) - F.col(pred))).alias("mae"),
-                 (F.lit(1.0) - F.sum(F.pow(F.col(label) - F.col(pred), 2))
-                  / F.sum(F.pow(F.col(label) - F.col("_mean"), 2))).alias("r2"),
-                 F.count(F.lit(1)).alias("n"))
+    """MAE and R^2 = 1 - SSres/SStot in one pass (SStot is the count times the variance)."""
+    y, p = F.col(label), F.col(pred)
+    spread = F.count(y) * F.var_pop(y)
+    return df.agg(F.avg(F.abs(y - p)).alias("mae"), (F.lit(1.0) - F.sum(F.pow(y - p, 2)) / spread).alias("r2"),
+                  F.count(F.lit(1)).alias("n"))
 
 
 def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:

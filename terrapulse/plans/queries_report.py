@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import report
 from .catalog import query
 
 
-_REPORTS: dict[str, object] = {}
+_REPORTS: dict[tuple[str, str], str] = {}
 
 
 def _report(spark, d):
-    """The report is shared by the report-based queries of one application:
-    computed once per data dir and persisted (memory and disk; a lost block
-    is recomputed from the checkpointed inputs)."""
-    if d not in _REPORTS:
-        from pyspark import StorageLevel
-        _REPORTS[d] = report.unified_report(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    return _REPORTS[d]
+    """The report is shared by the report-based queries of one application: written once
+    per data dir to the shared folder and read from there."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _REPORTS:
+        path = scratch_path(spark, "reports", uuid.uuid4().hex)
+        report.unified_report(spark, d).write.parquet(path)
+        _REPORTS[key] = path
+    return spark.read.parquet(_REPORTS[key])
 
 
 @query("unified_report", "M11 J12 P11 P12 P13 P14 F23 F27 F28 F29 F31 F32 F33 F34 F36 F37 F38 F39 J7 J8 J1 M9")
