@@ -5,10 +5,10 @@ multinomials over the buckets are counted: one over the trusted documents and on
 over the whole corpus. A document's score is the mean, over all its n-grams, of
 ``log p_trusted - log p_raw``; it is kept from ``min_llr`` on.
 
-Everything is DataFrame code: the counts are partial aggregates, the weights (one
-row a bucket, so bounded by ``buckets``) are broadcast, and the n-grams of a document
-are summed in the task that reads it before anything is shuffled. Weights are whole
-micro-nats, so sums and verdicts don't depend on partitioning.
+Everything is DataFrame code: the counts are partial aggregates over all documents, and
+the weights (one number a bucket, so bounded by ``buckets``) become a constant array of
+the scoring projection, which shuffles and joins nothing. Weights are whole micro-nats,
+so sums and verdicts don't depend on partitioning.
 
 Defined results: null or blank text has no words, fails the base rules and is not
 kept; without trusted rows every weight is 0 and only the base rules decide; an empty
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import SPACE, bind, checkpointed, fresh, matches, sized, text_key, words
+from terrapulse.llm.common import SPACE, bind, fresh, words
 
 #: Buckets of the two multinomials (a power of two).
 BUCKETS = 1 << 13
@@ -40,17 +40,21 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
     return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def ngram_buckets(text: Column, buckets: int) -> Column:
-    mask = F.lit(buckets - 1).cast("long")
+def _hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
 
-    def both(h: Column) -> Column:
-        pairs = F.greatest(F.size(h) - 1, F.lit(0))
-        return F.concat(
-            F.transform(h, lambda x: x.bitwiseAND(mask)),
-            F.zip_with(F.slice(h, F.lit(1), pairs), F.slice(h, F.lit(2), pairs),
-                       lambda a, b: F.xxhash64(a, b).bitwiseAND(mask)))
+def _pairs(h: Column) -> Column:
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
 
-    return bind(F.transform(words(text), lambda w: F.xxhash64(w)), both)
+
+def _bucket(x: Column, buckets: int) -> Column:
+    return x.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+
+
+def ngram_buckets(text: Column, buckets: int) -> Column:
+    return bind(_hashes(text), lambda h: F.transform(F.concat(h, _pairs(h)), lambda x: _bucket(x, buckets)))
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
@@ -65,8 +69,20 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: s
     return counts.select("bucket", F.round(ratio * MICRO).cast("long").alias("weight"))
 
 
-def repeated_words(text: Column, window: int = 5) -> Column:
-    """Words inside windows that occur at least twice in the text."""
+def bucket_array(weights: DataFrame, buckets: int) -> Column:
+    """The weights as a constant array; one row a bucket comes to the driver."""
+    known = {r["bucket"]: r["weight"] for r in weights.collect()}
+    return F.split(F.lit(",".join(str(known.get(b, 0)) for b in range(buckets))), ",").cast("array<bigint>")
+
+
+def _total(h: Column, weights: Column, buckets: int) -> Column:
+    """Sum of the weights of all n-grams of the words with hashes ``h``."""
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.get(weights, _bucket(x, buckets)))
+    return add(h) + add(_pairs(h))
+
+
+def _repeated(h: Column, window: int = 5) -> Column:
+    """Words inside windows that occur at least twice in the text of the words with hashes ``h``."""
 
     def windows(h: Column) -> Column:
         starts = F.greatest(F.size(h) - (window - 1), F.lit(0))
@@ -92,46 +108,49 @@ def repeated_words(text: Column, window: int = 5) -> Column:
     def count(g: Column) -> Column:
         return F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(0)
 
-    return bind(bind(F.transform(words(text), lambda w: F.xxhash64(w)), windows), count).cast("long")
+    return bind(windows(h), count).cast("long")
 
 
 def base_measures(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "n_words": F.size(words(text)).cast("long"),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(text),
     }
 
 
+def rules(text: Column, weights: Column, buckets: int = BUCKETS, min_llr: float = MIN_LLR) -> Column:
+    """Struct of n_words, n_repeat_words, base_failed, kept and llr of a text."""
+
+    def verdict(x: Column) -> Column:
+        failed = (x["n"] < 10) | (100 * x["again"] > 20 * x["n"])
+        ngrams = F.greatest(2 * x["n"] - 1, F.lit(0))
+        return F.struct(
+            x["n"].alias("n_words"), x["again"].alias("n_repeat_words"), failed.alias("base_failed"),
+            (~failed & (x["total"] >= F.lit(min_llr * MICRO) * ngrams)).alias("kept"),
+            F.when(x["n"] > 0, x["total"] / F.greatest(ngrams, F.lit(1)) / MICRO).alias("llr"))
+
+    parts = bind(_hashes(text), lambda h: F.struct(F.size(h).cast("long").alias("n"), _repeated(h).alias("again"),
+                                                   _total(h, weights, buckets).alias("total")))
+    return bind(parts, verdict)
+
+
 def measure(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             buckets: int = BUCKETS, min_llr: float = MIN_LLR) -> DataFrame:
-    """One row a document: doc_id, text_key, base measures, n_ngrams, llr and the verdict ``kept``."""
-    text = F.col(text_col)
-    weights = checkpointed(bucket_weights(docs, trusted, id_col, text_col, buckets))
-    scores = (docs.select(F.col(id_col).alias("s_id"), text_key(text).alias("s_key"),
-                          F.explode(ngram_buckets(text, buckets)).alias("bucket"))
-              .join(F.broadcast(weights), "bucket")
-              .groupBy("s_id", "s_key").agg(F.sum("weight").alias("total"), F.count("*").alias("n")))
-    base = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"),
-                       *[c.alias(k) for k, c in base_measures(text).items()])
-    out = base.join(scores, matches(base, scores, {"doc_id": "s_id", "text_key": "s_key"}), "left")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    good = F.coalesce(F.col("total") >= F.lit(min_llr * MICRO) * F.col("n"), F.lit(False))
-    return out.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      failed.alias("base_failed"), (~failed & good).alias("kept"),
-                      (F.col("total") / F.col("n") / MICRO).alias("llr"))
+    """One row a document: doc_id, base measures, the verdict ``kept`` and llr."""
+    weights = bucket_array(bucket_weights(docs, trusted, id_col, text_col, buckets), buckets)
+    rated = docs.select(F.col(id_col).alias("doc_id"), rules(F.col(text_col), weights, buckets, min_llr).alias("r"),
+                        *[c.alias(k) for k, c in base_measures(F.col(text_col)).items()])
+    return rated.select("doc_id", "r.n_words", "word_chars", "n_symbols", "n_dup_lines", "r.n_repeat_words",
+                        "r.base_failed", "r.kept", "r.llr")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               buckets: int = BUCKETS, min_llr: float = MIN_LLR) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
-    verdict = measure(docs, trusted, id_col, text_col, buckets, min_llr)
-    bad = checkpointed(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("b_id"),
-                                                            F.col("text_key").alias("b_key")).distinct())
-    key = fresh(docs, "text_key")
-    keyed = docs.withColumn(key, text_key(F.col(text_col)))
-    return keyed.join(sized(bad), matches(keyed, bad, {id_col: "b_id", key: "b_key"}), "left_anti").drop(key)
+    weights = bucket_array(bucket_weights(docs, trusted, id_col, text_col, buckets), buckets)
+    verdict = fresh(docs, "quality")
+    rated = docs.withColumn(verdict, rules(F.col(text_col), weights, buckets, min_llr))
+    return rated.where(F.col(verdict)["kept"]).drop(verdict)

@@ -13,7 +13,7 @@ from terrapulse.llm.common import read
 
 def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_llr.trusted_ids(read(spark, sf_dir, "labels"))
-    return quality_llr.measure(read(spark, sf_dir, "documents"), trusted).drop("text_key")
+    return quality_llr.measure(read(spark, sf_dir, "documents"), trusted)
 
 
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
