@@ -125,6 +125,11 @@ MODEL_NAMES = [
     "urban_grow_model",
 ]
 
+# The seasons of January to December.
+CROP_SEASONS = ("Rabi", "Rabi", "Summer", "Summer", "Summer", "Kharif", "Kharif", "Kharif", "Kharif", "Kharif", "Rabi", "Rabi")
+WEATHER_SEASONS = ("Winter", "Winter", "Summer", "Summer", "Summer", "Monsoon", "Monsoon", "Monsoon", "Monsoon",
+                   "Post-Monsoon", "Post-Monsoon", "Winter")
+
 # Default environment values when a payload lacks them.
 DEFAULT_TEMP_C = 28.0
 DEFAULT_WIND_KMH = 12.0

@@ -104,12 +104,12 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 
 # A10 --------------------------------------------------------------------------------
-def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """MAE and R^2 = 1 - SSres/SStot in one pass (SStot is the count times the variance)."""
+def regression_metrics(df: DataFrame, label: str, pred: str, *more: Column) -> DataFrame:
+    """MAE and R^2 = 1 - SSres/SStot in one pass (SStot is the count times the variance), with ``more`` aggregates."""
     y, p = F.col(label), F.col(pred)
     spread = F.count(y) * F.var_pop(y)
     return df.agg(F.avg(F.abs(y - p)).alias("mae"), (F.lit(1.0) - F.sum(F.pow(y - p, 2)) / spread).alias("r2"),
-                  F.count(F.lit(1)).alias("n"))
+                  F.count(F.lit(1)).alias("n"), *more)
 
 
 def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -118,19 +118,21 @@ def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 # A11 --------------------------------------------------------------------------------
-def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
+def classification_report(df: DataFrame, label: str, pred: str, count_col: str | None = None) -> DataFrame:
     """Per-class precision / recall / F1 / support, plus accuracy, macro and
     weighted averages as extra rows (class names 'accuracy', 'macro avg',
-    'weighted avg').  Two aggregates over the predictions, then tiny math."""
-    # one aggregate: the confusion matrix (at most classes^2 rows); everything
-    # else is derived from it
-    conf = df.groupBy(F.col(label).alias("_y"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    tp = conf.groupBy(F.col("_y").alias("cls")).agg(
-        F.sum("_n").alias("support"), F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)).alias("tp"))
-    pc = conf.groupBy(F.col("_p").alias("cls")).agg(F.sum("_n").alias("pred_n"))
-    per = tp.join(pc, "cls", "full").select(
-        "cls", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("tp", F.lit(0)).alias("tp"),
-        F.coalesce("pred_n", F.lit(0)).alias("pred_n"))
+    'weighted avg').  ``df`` holds predictions, or counts of them in ``count_col``.
+    One aggregate gives the confusion matrix (classes^2 rows at most), one more the
+    counts of every class; the rest is tiny."""
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    conf = df.groupBy(F.col(label).alias("_y"), F.col(pred).alias("_p")).agg(n.alias("_n"))
+    zero = F.lit(0).cast("long")
+    shares = F.array(
+        F.struct(F.col("_y").alias("cls"), F.col("_n").alias("support"),
+                 F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(zero).alias("tp"), zero.alias("pred_n")),
+        F.struct(F.col("_p").alias("cls"), zero.alias("support"), zero.alias("tp"), F.col("_n").alias("pred_n")))
+    per = conf.select(F.inline(shares)).groupBy("cls").agg(
+        F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"))
     per = per.select(
         F.col("cls").cast("string").alias("cls"), "support",
         F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(F.lit(0.0)).alias("precision"),

@@ -45,12 +45,7 @@ def _encoding_sql() -> str:
 
 @query("category_encoding", "J11 M1", sql=_encoding_sql())
 def q_category_encoding(spark, d):
-    rows = bindings.crop_rows(spark, d)
-    out = None
-    for c in ENC_COLS:
-        v = matching.vocabulary(rows, c).select(F.lit(c).alias("feature"), "value", "idx")
-        out = v if out is None else out.unionByName(v)
-    return out
+    return matching.vocabularies(bindings.crop_rows(spark, d), ENC_COLS)
 
 
 def _encode_rows_sql() -> str:

@@ -182,25 +182,27 @@ def q_enso_index(spark, d):
 @query("climate_payload_ndvi", "S10 F24", sql=ov.with_(ov.OBS, """
 dd AS (SELECT location_id, day, COUNT(*) AS n, CAST(SUM(CAST(precip AS DECIMAL(20,2))) AS DOUBLE) AS p,
          CAST(SUM(CAST(solar AS DECIMAL(20,1))) AS DOUBLE) / COUNT(solar) AS s FROM obs GROUP BY 1, 2)""") + """
-SELECT location_id, mean_precip, mean_radiation,
+SELECT location_id, period, mean_precip, mean_radiation,
   LEAST(GREATEST(COALESCE(mean_precip, 2.0) * 0.04 + COALESCE(mean_radiation, 4.0) * 0.005, 0.0), 1.0) AS ndvi
-FROM (SELECT location_id, CAST(SUM(CAST(CASE WHEN n >= 2 THEN p END AS DECIMAL(38,6))) AS DOUBLE) / COUNT(CASE WHEN n >= 2 THEN p END) AS mean_precip,
-             CAST(SUM(CAST(s AS DECIMAL(38,6))) AS DOUBLE) / COUNT(s) AS mean_radiation FROM dd GROUP BY 1)""")
+FROM (SELECT location_id, CAST((day - DATE '1970-01-01') // 16 AS BIGINT) AS period, CAST(SUM(CAST(CASE WHEN n >= 2 THEN p END AS DECIMAL(38,6))) AS DOUBLE) / COUNT(CASE WHEN n >= 2 THEN p END) AS mean_precip,
+             CAST(SUM(CAST(s AS DECIMAL(38,6))) AS DOUBLE) / COUNT(s) AS mean_radiation FROM dd GROUP BY 1, 2)""")
 def q_climate_payload_ndvi(spark, d):
+    """One payload a location and request period of 16 days, so that its maps are bounded."""
     o = bindings.obs(spark, d)
     dd = o.groupBy("location_id", "day").agg(
         F.count(F.lit(1)).alias("n"), stats.exact_sum("precip", 2).cast("double").alias("p"),
         stats.exact_avg("solar", 1).alias("s"))
     key = F.date_format("day", "yyyyMMdd")
-    doc = dd.groupBy("location_id").agg(
+    period = F.floor(F.unix_date("day") / 16).alias("period")
+    doc = dd.groupBy("location_id", period).agg(
         F.map_from_entries(F.collect_list(F.struct(key, F.when(F.col("n") >= 2, F.col("p")).otherwise(F.lit(-999.0)))))
         .alias("prec"),
         F.map_from_entries(F.collect_list(F.struct(key, F.col("s")))).alias("srad"))
-    js = doc.select("location_id", F.to_json(F.struct(F.struct(F.struct(
+    js = doc.select("location_id", "period", F.to_json(F.struct(F.struct(F.struct(
         F.col("srad").alias("ALLSKY_SFC_SW_DWN"), F.col("prec").alias("PRECTOTCORR")).alias("parameter"))
         .alias("properties"))).alias("payload"))
     m = payloads.climate_means("payload")
-    return js.select("location_id", m["mean_precip"].alias("mean_precip"), m["mean_radiation"].alias("mean_radiation"),
+    return js.select("location_id", "period", m["mean_precip"].alias("mean_precip"), m["mean_radiation"].alias("mean_radiation"),
                      fa.ndvi_proxy_a(m["mean_precip"], m["mean_radiation"]).alias("ndvi"))
 
 
