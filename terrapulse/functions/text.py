@@ -100,3 +100,46 @@ def delta_rows(pairs: list[tuple[str, str, str]]) -> Column:
                               F.when(_c(fut) - _c(now) >= 0, F.lit("+")).otherwise(F.lit("-")).alias("sign"))
                      for name, now, fut in pairs])
 
+
+
+# F53 -------------------------------------------------------------------------------
+def _lines(*parts) -> Column:
+    return F.concat_ws("\n", *parts)
+
+
+def forest_answer(asked, area, pct, available) -> Column:
+    """Cover sentences of the last row found for a state, or the states there are."""
+    found = _lines(F.concat(F.lit("**Forest cover data for "), _c(asked), F.lit("**")),
+                   F.concat(F.lit("• Total recorded forest area: **"), _c(area).cast("string"), F.lit(" km²**")),
+                   F.concat(F.lit("• Forest as % of geographical area: **"), _c(pct).cast("string"), F.lit("%**")))
+    return F.when(_c(area).isNotNull(), found).otherwise(F.concat(
+        F.lit("No forest data found for **"), _c(asked), F.lit("**. Available states include: "), _c(available), F.lit(".")))
+
+
+def crop_answer(asked, crop, soil, mean_yield, available) -> Column:
+    found = _lines(F.concat(F.lit("**Crop data for "), _c(asked), F.lit("**")),
+                   F.concat(F.lit("• Most common crop: **"), _c(crop), F.lit("**")),
+                   F.concat(F.lit("• Predominant soil type: **"), _c(soil), F.lit("**")),
+                   F.concat(F.lit("• Average historical yield: **"), _c(mean_yield).cast("string"), F.lit(" kg/hectare**")))
+    return F.when(_c(crop).isNotNull(), found).otherwise(F.concat(
+        F.lit("No crop data found for **"), _c(asked), F.lit("**. Available states: "), _c(available), F.lit(".")))
+
+
+def drought_answer(mean_spei, mean_temp) -> Column:
+    from .alerts import spei_mean_note
+    return _lines(F.lit("**Drought assessment**"),
+                  F.concat(F.lit("• Average SPEI (Standardised Precipitation-Evapotranspiration Index): **"),
+                           _c(mean_spei).cast("string"), F.lit("**")),
+                  F.concat(F.lit("  — Interpretation: "), spei_mean_note(mean_spei)),
+                  F.concat(F.lit("• Average recorded temperature: **"), _c(mean_temp).cast("string"), F.lit("°C**")))
+
+
+def population_answer(year, pop, birth, death, urban, available) -> Column:
+    two = lambda c: _c(c).cast("string")
+    found = _lines(F.concat(F.lit("**Population data for "), _c(year).cast("string"), F.lit("**")),
+                   F.concat(F.lit("• Population: **"), two(pop), F.lit(" million**")),
+                   F.concat(F.lit("• Birth rate: **"), F.coalesce(two(birth), F.lit("nan")), F.lit(" per 1,000**")),
+                   F.concat(F.lit("• Death rate: **"), two(death), F.lit(" per 1,000**")),
+                   F.concat(F.lit("• Urbanisation rate: **"), two(urban), F.lit("%**")))
+    return F.when(_c(pop).isNotNull(), found).otherwise(F.concat(
+        F.lit("No population data for **"), _c(year).cast("string"), F.lit("**. Available years: ["), _c(available), F.lit("].")))

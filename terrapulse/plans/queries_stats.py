@@ -135,6 +135,91 @@ def q_crop_lookup(spark, d):
                                       "state", "top_soil", "top_crop").alias("answer"))
 
 
+def _dataset_answers_sql() -> str:
+    from .queries_climate import DROUGHT_SQL, WEEKLY_SQL
+    from .queries_urban import urban_features_sql
+    note = ("CASE WHEN spei < -1.0 THEN 'Below -1.0 indicates drought conditions.' "
+            "ELSE 'Near-normal moisture conditions on average.' END")
+    first10 = "(SELECT string_agg(state, ', ' ORDER BY state) FROM (SELECT DISTINCT state FROM {t} ORDER BY state LIMIT 10))"
+    return urban_features_sql() + ", " + ",".join(x.strip() for x in (ov.STATE_PANEL, ov.CROP_ROWS, ov.OBS, WEEKLY_SQL, f"""
+asked AS (SELECT n_name AS q FROM nation UNION ALL SELECT r_name FROM region)""", """
+fo AS (SELECT q, arg_max(forest_cover, (state, year)) AS area, arg_max(forest_pct, (state, year)) AS pct
+       FROM asked LEFT JOIN state_panel ON contains(lower(state), lower(q)) GROUP BY q)""", """
+hits AS (SELECT q, crop, soil_type, crop_yield FROM asked JOIN crop_rows ON contains(lower(state), lower(q)))""", """
+top_crop AS (SELECT q, crop FROM (SELECT q, crop, ROW_NUMBER() OVER (PARTITION BY q ORDER BY COUNT(*) DESC, crop) AS r FROM hits GROUP BY q, crop) WHERE r = 1)""", """
+top_soil AS (SELECT q, soil_type FROM (SELECT q, soil_type, ROW_NUMBER() OVER (PARTITION BY q ORDER BY COUNT(*) DESC, soil_type) AS r FROM hits GROUP BY q, soil_type) WHERE r = 1)""", """
+yields AS (SELECT q, round(AVG(crop_yield), 2) AS y FROM hits GROUP BY q)""", f"""
+dr AS (SELECT round(s.spei, 3) AS spei, round(t.temp, 2) AS temp FROM (SELECT AVG(spei) AS spei FROM ({DROUGHT_SQL})) s
+       CROSS JOIN (SELECT AVG(avg_temp) AS temp FROM weekly_weather) t)""", """
+years AS (SELECT country, string_agg(CAST(year AS VARCHAR), ', ' ORDER BY year) AS ys, MAX(year) AS hi FROM national_series GROUP BY country)""", """
+po AS (SELECT y.country, y.ys, y.hi + d.i AS req, u.population_m, n.birth_rate, u.death_rate, u.urbanization_rate
+       FROM years y CROSS JOIN range(0, 2) d(i) LEFT JOIN urban_features u ON u.country = y.country AND u.year = y.hi + d.i
+       LEFT JOIN national_series n ON n.country = y.country AND n.year = y.hi + d.i)""")) + f"""
+SELECT 'forest' AS topic, q AS asked, CASE WHEN area IS NOT NULL THEN
+    '**Forest cover data for ' || q || '**' || chr(10) || '• Total recorded forest area: **' || round(area, 2)::VARCHAR || ' km²**' || chr(10)
+    || '• Forest as % of geographical area: **' || round(pct, 2)::VARCHAR || '%**'
+  ELSE 'No forest data found for **' || q || '**. Available states include: ' || {first10.format(t="state_panel")} || '.' END AS answer FROM fo
+UNION ALL SELECT 'crop', a.q, CASE WHEN crop IS NOT NULL THEN
+    '**Crop data for ' || a.q || '**' || chr(10) || '• Most common crop: **' || crop || '**' || chr(10)
+    || '• Predominant soil type: **' || soil_type || '**' || chr(10) || '• Average historical yield: **' || y::VARCHAR || ' kg/hectare**'
+  ELSE 'No crop data found for **' || a.q || '**. Available states: ' || {first10.format(t="crop_rows")} || '.' END
+FROM asked a LEFT JOIN top_crop USING (q) LEFT JOIN top_soil USING (q) LEFT JOIN yields USING (q)
+UNION ALL SELECT 'drought', '', '**Drought assessment**' || chr(10)
+    || '• Average SPEI (Standardised Precipitation-Evapotranspiration Index): **' || spei::VARCHAR || '**' || chr(10)
+    || '  — Interpretation: ' || {note} || chr(10) || '• Average recorded temperature: **' || temp::VARCHAR || '°C**' FROM dr
+UNION ALL SELECT 'population', country || ' ' || req::VARCHAR, CASE WHEN population_m IS NOT NULL THEN
+    '**Population data for ' || req::VARCHAR || '**' || chr(10) || '• Population: **' || round(population_m, 2)::VARCHAR || ' million**' || chr(10)
+    || '• Birth rate: **' || coalesce(round(birth_rate, 2)::VARCHAR, 'nan') || ' per 1,000**' || chr(10)
+    || '• Death rate: **' || round(death_rate, 2)::VARCHAR || ' per 1,000**' || chr(10)
+    || '• Urbanisation rate: **' || round(urbanization_rate, 2)::VARCHAR || '%**'
+  ELSE 'No population data for **' || req::VARCHAR || '**. Available years: [' || ys || '].' END FROM po"""
+
+
+@query("dataset_answers", "F53 F50 P7 A4 W10", sql=_dataset_answers_sql())
+def q_dataset_answers(spark, d):
+    """Forest, crop, drought and population answers, found or not, for every state and
+    region name asked and for the last year of each series and the one after it."""
+    from ..functions import text as ft
+    from .queries_climate import q_drought_indicators, weekly
+    from .queries_urban import urban_features
+    asked = table(spark, d, "nation", "n_name").select(F.col("n_name").alias("q")).unionByName(
+        table(spark, d, "region", "r_name").select(F.col("r_name").alias("q")))
+    panel = bindings.state_panel(spark, d).select("state", "year", "forest_cover", "forest_pct")
+    hit = F.contains(F.lower("state"), F.lower("q"))
+    ten = lambda rows: rows.select("state").distinct().orderBy("state").limit(10).agg(
+        F.array_join(F.array_sort(F.collect_list("state")), ", ").alias("available"))
+    last = F.max_by(F.struct("forest_cover", "forest_pct"), F.struct("state", "year")).alias("r")
+    found = asked.join(panel, hit).groupBy("q").agg(last)
+    forest = asked.join(found, "q", "left").crossJoin(ten(panel)).select(
+        F.lit("forest").alias("topic"), F.col("q").alias("asked"),
+        ft.forest_answer("q", F.round("r.forest_cover", 2), F.round("r.forest_pct", 2), "available").alias("answer"))
+    rows = bindings.crop_rows(spark, d)
+    pre = rows.groupBy("state", "soil_type", "crop").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("crop_yield").alias("_sy"), F.count("crop_yield").alias("_cy"))
+    hits = asked.join(pre, hit)
+    means = hits.groupBy("q").agg(F.round(F.sum("_sy") / F.sum("_cy"), 2).alias("y"))
+    crops = (asked.join(stats.mode_by(hits, "q", "crop", "top_crop", count_col="_n"), "q", "left")
+             .join(stats.mode_by(hits, "q", "soil_type", "top_soil", count_col="_n"), "q", "left").join(means, "q", "left"))
+    crop = crops.crossJoin(ten(pre)).select(F.lit("crop").alias("topic"), F.col("q").alias("asked"), ft.crop_answer(
+        "q", "top_crop", "top_soil", "y", "available").alias("answer"))
+    spei = q_drought_indicators(spark, d).agg(F.round(F.avg("spei"), 3).alias("spei"))
+    temp = weekly(spark, d).agg(F.round(F.avg("avg_temp"), 2).alias("temp"))
+    drought = spei.crossJoin(temp).select(F.lit("drought").alias("topic"), F.lit("").alias("asked"),
+                                          ft.drought_answer("spei", "temp").alias("answer"))
+    series = bindings.national_series(spark, d)
+    years = series.groupBy("country").agg(F.array_join(F.transform(F.array_sort(F.collect_set("year")), lambda y: y.cast("string")), ", ")
+                                          .alias("ys"), F.max("year").alias("hi"))
+    req = years.select("country", "ys", F.explode(F.array(F.col("hi"), F.col("hi") + 1)).alias("year"))
+    facts = urban_features(spark, d).select("country", "year", "population_m", "death_rate", "urbanization_rate")
+    births = series.select("country", "year", "birth_rate")
+    people = req.join(facts, ["country", "year"], "left").join(births, ["country", "year"], "left")
+    population = people.select(
+        F.lit("population").alias("topic"), F.concat_ws(" ", "country", F.col("year").cast("string")).alias("asked"),
+        ft.population_answer("year", F.round("population_m", 2), F.round("birth_rate", 2), F.round("death_rate", 2),
+                             F.round("urbanization_rate", 2), "ys").alias("answer"))
+    return forest.unionByName(crop).unionByName(drought).unionByName(population)
+
+
 def _year_lookup_sql() -> str:
     return ov.with_(ov.STATE_PANEL, """
 req AS (SELECT DISTINCT state, year + 3 AS req_year FROM state_panel)""", """

@@ -70,7 +70,7 @@ def vector_to_array_col(c: str) -> Column:
 
 
 def _vocab_idx(vocab: DataFrame, value: Column, name: str, df: DataFrame) -> DataFrame:
-    v = F.broadcast(vocab.select(F.col("value").alias(f"_{name}_v"), F.col("idx").alias(name)))
+    v = vocab.select(F.col("value").alias(f"_{name}_v"), F.col("idx").alias(name))
     j = df.join(v, value == F.col(f"_{name}_v"), "left").drop(f"_{name}_v")
     return j.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
@@ -137,11 +137,17 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
         df = _vocab_idx(matching.vocab_of(enc, "season"), F.col("_crop_season"), "season_enc", df)
         df = _vocab_idx(matching.vocab_of(enc, "soil_type"), F.lit("Neutral"), "soil_type_enc", df)
         df = _vocab_idx(matching.vocab_of(enc, "irrigation"), F.lit("Rainfed"), "irrigation_enc", df)
-        feats = {"n": F.lit(68.0), "p": F.lit(53.0), "k": F.lit(78.0), "rainfall": F.col(a + "rainfall_annualized"),
-                 "temperature": F.col(a + "avg_temp")}
-        df = _apply(df, cfit, feats, "crop", classifier=True)
+        df = _vocab_idx(matching.vocab_of(enc, "soil_texture"), F.lit("Loamy"), "soil_texture_enc", df)
+        # fixed values: the reference's defaults where nothing is measured
+        feats = {"n": F.lit(68.0), "p": F.lit(53.0), "k": F.lit(78.0), "fertilizer_kg": F.lit(120.0),
+                 "pesticide_kg": F.lit(10.0),
+                 "rainfall": F.col(a + "rainfall_annualized"), "humidity": F.col(a + "humidity"),
+                 "temperature": F.col(a + "avg_temp"), "sunshine_hours": F.col(a + "sunshine_hours"),
+                 "wind_kmh": F.col(a + "wind_kmh"), "ph": F.col("soil.ph"), "soil_moisture": F.col("soil.soil_moisture"),
+                 "organic_carbon": F.col("soil.organic_carbon"), "altitude_m": F.col("altitude")}
+        df = _apply(df, cfit, {k: v.cast("double") for k, v in feats.items()}, "crop", classifier=True)
         df = df.crossJoin(F.broadcast(_labels(matching.vocab_of(enc, "crop"), "_crop_labels")))
-        df = df.drop("state_enc", "season_enc", "soil_type_enc", "irrigation_enc")
+        df = df.drop("state_enc", "season_enc", "soil_type_enc", "irrigation_enc", "soil_texture_enc")
 
     # ---- drought (M6 scoring, F9, F17-F19) --------------------------------------
     if "drought" in run:
@@ -197,10 +203,11 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
         fdata = panels.forest_features(bindings.state_panel(spark, d))
         snap_cols = [c for c in domains.FOREST_FEATURES if c not in ("state_enc",)]
         snap = panels.latest_non_null(fdata.select("state", *[c for c in snap_cols]), "state", "year")
-        snap = snap.select(F.lower("state").alias("_fkey"), F.col("state").alias("matched_state"),
-                           *[F.col(c).alias("h_" + c) for c in snap_cols])
-        # Case-insensitive equality to the snapshot (one row per known state)
-        df = df.join(F.broadcast(snap), F.lower(F.col("state")) == F.col("_fkey"), "left").drop("_fkey")
+        snap = snap.select(F.col("state").alias("_fkey"), *[F.col(c).alias("h_" + c) for c in snap_cols])
+        # The name is resolved against the encoder's states (one row a state), then J1
+        known = sorted(r["value"] for r in matching.vocab_of(domains.encoders(spark, d, "forest"), "state").collect())
+        df = matching.with_state_match(df, "state", known).drop("match_method")
+        df = df.join(snap, F.col("matched_state") == F.col("_fkey"), "left").drop("_fkey")
         df = _vocab_idx(matching.vocab_of(domains.encoders(spark, d, "forest"), "state"), F.col("matched_state"),
                         "state_enc", df)
         ex = ff.extrapolate_forest("h_forest_cover", "h_forest_pct", "h_forest_change_yoy", "h_forest_pct_change_yoy",
@@ -445,17 +452,28 @@ def _summary(d: dict[str, Column]) -> Column:
 def report_lines(report: DataFrame) -> DataFrame:
     """Chat answer lines from a report (only parts that succeeded)."""
     p = F.col("predictions")
-    crop, dcat, wev = p["crop_yield_predictor"], p["drought_category_model"], p["weather_event_model"]
-    falert, uinfra = p["forest_alert_model"], p["urban_infra_model"]
+    text = lambda c: c.cast("string")
+
+    def line(model: str, *parts) -> Column:
+        """One line of a model's entry; none if the model failed."""
+        return F.when(p[model].isNotNull(), F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts]))
+
+    crop, status, wev = p["crop_yield_predictor"], p["drought_status_model"], p["weather_event_model"]
+    strength, alert = p["weather_intensity_model"], p["forest_alert_model"]
     lines = F.array_compact(F.array(
         F.concat(F.lit("Alert: "), F.col("ensemble.overall_alert_level")),
-        F.when(crop.isNotNull(), F.format_string("Crop model: %s (%s%%)", crop["recommended_crop"],
-                                                 crop["confidence"].cast("string"))),
-        F.when(dcat.isNotNull(), F.concat(F.lit("Drought category model: "), dcat["primary_category"])),
-        F.when(wev.isNotNull(), F.format_string("Weather event model: %s (%s%%)", wev["primary_event"],
-                                                wev["confidence"].cast("string"))),
-        F.when(falert.isNotNull(), F.concat(F.lit("Forest alert model: "), falert["deforestation_alert_label"])),
-        F.when(uinfra.isNotNull(), F.concat(F.lit("Urban infra model: score "),
-                                            uinfra["future_infrastructure_pressure_score"].cast("string"))),
+        line("crop_yield_predictor", "Crop model: ", crop["recommended_crop"], " (", text(crop["confidence"]), "%)"),
+        line("drought_category_model", "Drought category model: ", p["drought_category_model"]["primary_category"]),
+        line("drought_category_model", "Drought status model: ",
+             F.when(status["drought_active"], F.lit("active")).otherwise(F.lit("inactive"))),
+        line("weather_event_model", "Weather event model: ", wev["primary_event"], " (", text(wev["confidence"]), "%)"),
+        line("weather_intensity_model", "Weather intensity model: ", text(strength["intensity"]), "/10 (", strength["label"], ")"),
+        line("forest_alert_model", "Forest alert model: ", alert["deforestation_alert_label"], " (", text(alert["confidence"]), "%)"),
+        line("forest_ndvi_model", "Forest NDVI model: future NDVI ", text(p["forest_ndvi_model"]["future_ndvi"])),
+        line("urban_pop_model", "Urban population model: ", text(p["urban_pop_model"]["future_population_millions"]), "M"),
+        line("urban_urb_model", "Urbanization model: ", text(p["urban_urb_model"]["future_urbanization_rate"]), "%"),
+        line("urban_infra_model", "Urban infra model: score ",
+             text(p["urban_infra_model"]["future_infrastructure_pressure_score"])),
+        line("urban_grow_model", "Urban growth model: ", text(p["urban_grow_model"]["future_growth_rate"]), "%"),
         F.when(F.size("errors") > 0, F.concat(F.lit("Errors: "), F.array_join("errors", "; ")))))
     return report.select("aoi_id", F.array_join(lines, "\n").alias("answer"))
