@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _SPACE = re.compile(r"[\x20\x09-\x0d]")
+#: What ``str.split`` takes for white space beyond that.
+_WIDER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PART = 1 << 20
 
 
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text) if _WIDER.search(text) else text.split()
+
+
 def word_parts(text: str) -> Iterator[list[str]]:
     """The words of a text, about ``PART`` characters at a time, cut at white space."""
     at = 0
@@ -17,6 +23,38 @@ def word_parts(text: str) -> Iterator[list[str]]:
         stop = _SPACE.search(text, at + PART)
         if stop is None:
             break
-        yield WORD.findall(text, at, stop.start())
+        yield words_of(text[at:stop.start()])
         at = stop.start()
-    yield WORD.findall(text, at)
+    yield words_of(text[at:] if at else text)
+
+
+class Remembered(dict):
+    """What is known of words, for at most about twice ``limit`` of them: a full young
+    generation becomes the old one, and words met again are taken over from there.
+    ``make`` finds out about a word that is looked up and not known."""
+
+    def __init__(self, limit: int, make: Callable[[str], object] | None = None):
+        super().__init__()
+        self.limit, self.make, self.old = limit, make, {}
+
+    def _age(self) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self._age()
+        self[word] = value
+        return value
+
+    def missing(self, words: set[str]) -> set[str]:
+        """The words to be learnt; all others can be looked up until the next call."""
+        self._age()
+        new = words.difference(self)
+        known = [w for w in new if w in self.old]
+        self.update((w, self.old[w]) for w in known)
+        new.difference_update(known)
+        return new

@@ -12,8 +12,8 @@ Zipf's law on its rank in the vocabulary. A character outside the vocabulary cou
 its UTF-8 bytes, each with ``BYTE_PENALTY`` below the rarest piece. Equal scores go to
 fewer pieces.
 
-Tasks work on whole texts without any shuffle. Terminals are remembered between parts
-up to ``REMEMBERED`` pre-tokens, so memory is bounded; what is forgotten is computed again.
+Tasks work on whole texts without any shuffle. A worker remembers terminals between parts
+and tasks up to a bound (``REMEMBERED``); what is forgotten is computed again.
 
 Defined results: null and blank texts have no pre-tokens and count 0; rows that repeat
 count each; an empty table gives an empty result; other columns are ignored.
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.texts import word_parts
+from terrapulse.llm.texts import PART, Remembered, word_parts
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
 BYTE_PENALTY = 5.0
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters of text whose pre-tokens are inserted together.
 TOGETHER = 2_000_000
 
@@ -70,9 +70,14 @@ def terminal_counts(tokens: list[str], model: tuple[dict[str, float], float, int
             shared += 1
         del best[shared + 1:], count[shared + 1:]
         for end in range(shared + 1, len(word) + 1):
-            own = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            top, pieces = best[end - 1] + own * byte, count[end - 1] + own
-            for begin in range(max(0, end - longest), end):
+            char = word[end - 1]
+            p = find(char)
+            if p is None:  # no piece of its own: its bytes, which score below any piece
+                own = len(char.encode("utf-8", "surrogatepass"))
+                top, pieces = best[end - 1] + own * byte, count[end - 1] + own
+            else:
+                top, pieces = best[end - 1] + p, count[end - 1] + 1
+            for begin in range(end - longest if end > longest else 0, end - 1):
                 p = find(word[begin:end])
                 if p is not None:
                     s, n = best[begin] + p, count[begin] + 1
@@ -84,54 +89,54 @@ def terminal_counts(tokens: list[str], model: tuple[dict[str, float], float, int
         yield token, count[-1], best[-1]
 
 
-def _counter(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = unigram(path)
-        known: dict[str, int] = {}
-        scored: dict[str, float] = {}
+class Terminals:
+    """What the tries of a worker's parts have found: pieces and score of pre-tokens, kept as
+    one complex number (pieces + score i) so that a text's sums take one pass."""
+
+    def __init__(self, path: str):
+        self.model, self.known = unigram(path), Remembered(REMEMBERED)
+
+    def learn(self, tokens: set[str]) -> None:
+        for token, n, score in terminal_counts(sorted(self.known.missing(tokens)), self.model):
+            self.known[token] = complex(n, score)
+
+    def sums(self, part: list[str]) -> complex:
+        return sum(map(self.known.__getitem__, part), 0j)
 
-        def learn(tokens: set[str]) -> None:
-            for token, n, s in terminal_counts(sorted(tokens.difference(known)), model):
-                known[token], scored[token] = n, s
 
-        def sums(parts: list[list[str]]) -> tuple[int, int, float]:
-            return (sum(map(len, parts)), sum(sum(map(known.__getitem__, p)) for p in parts),
-                    sum(sum(map(scored.__getitem__, p)) for p in parts))
+@lru_cache(maxsize=1)
+def _terminals(path: str) -> Terminals:
+    """A worker's memory of terminals, which outlives its tasks."""
+    return Terminals(path)
 
+
+def _parts(texts: pa.Array) -> Iterator[list[tuple[int, list[str]]]]:
+    """Groups of (row, pre-tokens) of about TOGETHER characters; a long text spans several."""
+    group, size = [], 0
+    for row, value in enumerate(texts):
+        text = value.as_py()
+        for part in word_parts(text):
+            group.append((row, part))
+            size += min(len(text), PART)
+            if size > TOGETHER:
+                yield group
+                group, size = [], 0
+    yield group
+
+
+def _counter(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terminals = _terminals(path)
         for batch in batches:
-            texts, rows, waiting, size = batch.column("text"), [], [], 0
-
-            def flush() -> None:
-                nonlocal waiting, size
-                learn({t for parts in waiting for p in parts for t in p})
-                rows.extend(sums(parts) for parts in waiting)
-                waiting, size = [], 0
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    scored.clear()
-
-            for value in texts:
-                text = value.as_py()
-                if len(text) > TOGETHER:  # part by part
-                    flush()
-                    total = [0, 0, 0.0]
-                    for part in word_parts(text):
-                        learn(set(part))
-                        total = [a + b for a, b in zip(total, sums([part]))]
-                        if len(known) > REMEMBERED:
-                            known.clear()
-                            scored.clear()
-                    rows.append(tuple(total))
-                    continue
-                waiting.append(list(word_parts(text)))
-                size += len(text)
-                if size > TOGETHER:
-                    flush()
-            flush()
-            columns = list(zip(*rows)) or [(), (), ()]
+            words, found = [0] * batch.num_rows, [0j] * batch.num_rows
+            for group in _parts(batch.column("text")):
+                terminals.learn({t for _, part in group for t in part})
+                for row, part in group:
+                    words[row] += len(part)
+                    found[row] += terminals.sums(part)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                 pa.array(columns[2], pa.float64())], ["doc_id", "n_pretokens", "n_tokens", "score"])
+                [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array([int(x.real) for x in found], pa.int64()),
+                 pa.array([x.imag for x in found], pa.float64())], ["doc_id", "n_pretokens", "n_tokens", "score"])
     return run
 
 

@@ -329,3 +329,23 @@ def test_block_overlaps():
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     for columns in (1, 7, 4096):
         assert probminhash._overlaps(sets, sets, columns).tolist() == want
+
+
+def test_words_of_any_white_space():
+    from terrapulse.llm import texts
+    odd = "a b\tc\nd\x0be\x0cf\rg\x1ch\x85i\xa0j k　l  m "
+    assert texts.words_of(odd) == words(odd) and texts.words_of("plain  words\n here ") == ["plain", "words", "here"]
+    long = odd * 200_000
+    assert [w for p in texts.word_parts(long) for w in p] == words(long)
+
+
+def test_remembered_words_are_bounded():
+    from terrapulse.llm.texts import Remembered
+    made = []
+    r = Remembered(10, lambda w: made.append(w) or w.upper())
+    for _ in range(3):
+        for i in range(100):
+            assert r["common"] == "COMMON" and r[f"w{i}"] == f"W{i}"
+            assert len(r) + len(r.old) <= 20
+    assert made.count("common") == 1
+    assert r.missing({"common", "new"}) == {"new"} and "common" in r
