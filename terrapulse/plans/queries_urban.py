@@ -223,3 +223,46 @@ def q_urban_location_scoring(spark, d):
         ex["death_rate"].alias("death_rate"), ex["world_growth"].alias("world_growth"),
         feats["urban_pop_m"].alias("urban_pop_m"), feats["rural_pop_m"].alias("rural_pop_m"),
         feats["infra_pressure_score"].alias("infra_pressure_score"), feats["road_pressure"].alias("road_pressure"))
+
+
+AHEAD = 4  # years past the national row that an area is scored for
+
+
+def _national_row_sql() -> str:
+    return urban_features_sql() + """,
+nat AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY country ORDER BY year DESC) AS rn FROM urban_features) WHERE rn = 1),
+ind AS (SELECT country, arg_max(birth_rate, CASE WHEN birth_rate IS NOT NULL AND rn <= 3 THEN year END) AS birth_rate
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY country ORDER BY year DESC) AS rn FROM national_series) GROUP BY country),
+areas AS (SELECT c.c_custkey AS aoi_id, r.r_name AS country FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+          JOIN region r ON n.n_regionkey = r.r_regionkey)
+""" + f"""SELECT a.aoi_id, a.country, n.year + {AHEAD} AS year,
+  n.population_m * pow(1.0 + n.growth_rate / 100.0, {AHEAD}) AS pop_m,
+  LEAST(55.0, n.urbanization_rate + 0.4 * {AHEAD}) AS urb_rate,
+  GREATEST(12.0, COALESCE(i.birth_rate, n.birth_rate) - 0.2 * {AHEAD}) AS birth_rate,
+  GREATEST(6.0, n.death_rate - 0.05 * {AHEAD}) AS death_rate,
+  GREATEST(0.9, n.world_growth_rate - 0.01 * {AHEAD}) AS world_growth
+FROM areas a LEFT JOIN nat n ON a.country = n.country LEFT JOIN ind i ON a.country = i.country"""
+
+
+@query("national_row_scoring", "J8 S11 F28", sql=_national_row_sql())
+def q_national_row_scoring(spark, d):
+    """The latest national row, overridden by the indicator payload, joined to every area
+    of the country and carried forward."""
+    from ..sources.tables import table
+    from .queries_payloads import q_indicator_payloads
+    series = ["country", "year", "population_m", "growth_rate", "birth_rate", "death_rate", "world_growth_rate",
+              "urbanization_rate"]
+    nat = panels.latest_n(urban_features(spark, d).select(*series), "country", "year", 1).drop("rank")
+    live = q_indicator_payloads(spark, d).select("country", F.col("birth_rate").alias("live_birth_rate"))
+    nat = nat.join(live, "country", "left")
+    areas = (table(spark, d, "customer", "c_custkey", "c_nationkey")
+             .join(table(spark, d, "nation", "n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+             .join(table(spark, d, "region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
+             .select(F.col("c_custkey").alias("aoi_id"), F.col("r_name").alias("country")))
+    j = areas.join(nat, "country", "left")
+    ex = fu.extrapolate_demographics(
+        F.col("year") + AHEAD, pop_m="population_m", growth="growth_rate", urb="urbanization_rate",
+        birth=F.coalesce("live_birth_rate", "birth_rate"), death="death_rate", world_growth="world_growth_rate", base_year="year")
+    return j.select("aoi_id", "country", (F.col("year") + AHEAD).alias("year"), ex["pop_m"].alias("pop_m"),
+                    ex["urb_rate"].alias("urb_rate"), ex["birth_rate"].alias("birth_rate"),
+                    ex["death_rate"].alias("death_rate"), ex["world_growth"].alias("world_growth"))
