@@ -34,7 +34,7 @@ from terrapulse.llm.texts import PART, Remembered, word_parts
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
 BYTE_PENALTY = 5.0
-REMEMBERED = 200_000
+REMEMBERED = 75_000
 #: Characters of text whose pre-tokens are inserted together.
 TOGETHER = 2_000_000
 
