@@ -6,8 +6,6 @@ the data, so joining to them with ``broadcast`` is safe at any scale.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's values for identical results).
 # ---------------------------------------------------------------------------
@@ -139,62 +137,3 @@ DEFAULT_SUNSHINE_H = 7.0
 DEFAULT_ALTITUDE_M = 350.0
 DEFAULT_SOIL = {"ph": 6.8, "organic_carbon": 0.8, "soil_moisture": 38.0}
 DEFAULT_YEAR = 2017
-
-
-# ---------------------------------------------------------------------------
-# DataFrame forms (tiny, fixed size: safe to broadcast).
-# ---------------------------------------------------------------------------
-
-def _df(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema=schema)
-
-
-def known_states(spark: SparkSession) -> DataFrame:
-    return _df(spark, [(i, s) for i, s in enumerate(FOREST_STATES)], "ord INT, state STRING")
-
-
-def state_geo(spark: SparkSession) -> DataFrame:
-    names = sorted(set(COASTAL_STATES) | set(HILLY_STATES) | set(DRY_STATES) | set(FOREST_STATES))
-    rows = [(s, int(s in COASTAL_STATES), int(s in HILLY_STATES), int(s in DRY_STATES)) for s in names]
-    return _df(spark, rows, "state STRING, is_coastal INT, is_hilly INT, is_dry INT")
-
-
-def state_aliases(spark: SparkSession) -> DataFrame:
-    return _df(spark, [(i, a, c) for i, (a, c) in enumerate(STATE_ALIASES)],
-               "ord INT, alias STRING, canonical STRING")
-
-
-def urb_anchors(spark: SparkSession) -> DataFrame:
-    return _df(spark, URB_ANCHORS, "year INT, rate DOUBLE")
-
-
-def city_rates(spark: SparkSession) -> DataFrame:
-    return _df(spark, [(i, n, r) for i, (n, r) in enumerate(CITY_URB_RATES)],
-               "ord INT, name STRING, rate DOUBLE")
-
-
-def state_rates(spark: SparkSession) -> DataFrame:
-    return _df(spark, [(i, n, r) for i, (n, r) in enumerate(STATE_URB_RATES)],
-               "ord INT, name STRING, rate DOUBLE")
-
-
-def weather_codes(spark: SparkSession) -> DataFrame:
-    return _df(spark, WEATHER_CODES, "code INT, label STRING")
-
-
-def intent_keywords(spark: SparkSession) -> DataFrame:
-    rows = [(i, intent, kw) for i, (intent, kws) in enumerate(INTENT_KEYWORDS) for kw in kws]
-    return _df(spark, rows, "ord INT, intent STRING, keyword STRING")
-
-
-def gazetteer(spark: SparkSession) -> DataFrame:
-    return _df(spark, [(p,) for p in GAZETTEER], "place STRING")
-
-
-def alert_labels(spark: SparkSession) -> DataFrame:
-    return _df(spark, ALERT_LABELS, "code INT, label STRING")
-
-
-def event_classes(spark: SparkSession) -> DataFrame:
-    return _df(spark, [(i, e) for i, e in enumerate(EVENT_CLASSES)], "idx INT, event STRING")
-

@@ -169,9 +169,9 @@ def ensemble_level(base_level, drought_level=None, intensity_label=None, forest_
 def risk_notes(wind, temp, precip) -> Column:
     w, t, p = map(_c, (wind, temp, precip))
     return F.array_compact(F.array(
-        F.when(w > 60, F.lit("High wind speed - potential cyclonic or severe gale risk.")),
-        F.when(t > 42, F.lit("Heatwave threshold exceeded - health risk for vulnerable populations.")),
-        F.when(p > 50, F.lit("Heavy precipitation - localised flooding possible.")),
+        F.when(w > 60, F.lit("High wind speed — potential cyclonic or severe gale risk.")),
+        F.when(t > 42, F.lit("Heatwave threshold exceeded — health risk for vulnerable populations.")),
+        F.when(p > 50, F.lit("Heavy precipitation — localised flooding possible.")),
     ))
 
 
@@ -195,7 +195,7 @@ def card_status(value_text) -> Column:
 # F52 ------------------------------------------------------------------------
 def level_label(level) -> Column:
     lv = F.lower(_c(level))
-    return (F.when(lv == "green", F.lit("Normal - no significant change detected."))
-            .when(lv == "yellow", F.lit("Heads Up - early signs of change. Monitor regularly."))
-            .when(lv == "orange", F.lit("Warning - notable environmental stress. Action recommended."))
-            .when(lv == "red", F.lit("Critical - severe conditions. Immediate intervention needed.")))
+    return (F.when(lv == "green", F.lit("🟢 Normal — no significant change detected."))
+            .when(lv == "yellow", F.lit("🟡 Heads Up — early signs of change. Monitor regularly."))
+            .when(lv == "orange", F.lit("🟠 Warning — notable environmental stress. Action recommended."))
+            .when(lv == "red", F.lit("🔴 Critical — severe conditions. Immediate intervention needed.")))

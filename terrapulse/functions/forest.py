@@ -126,12 +126,12 @@ def forest_effects_full(alert_level, aqi, human, forest_pct, ndvi, future_cover,
         F.when(n < 0.35, F.lit("Increased dust and particulate matter")),
         F.when(a >= 2, F.lit("Higher vector-borne disease risk (malaria, dengue)")),
         F.when(a >= 3, F.lit("Mental health impact from degraded environment")),
-        F.when(fp < 20, F.lit("Inadequate natural carbon sink - CO2 rising")),
+        F.when(fp < 20, F.lit("Inadequate natural carbon sink — CO2 rising")),
     ], "No major health risks detected")
     water = _list_or([
-        F.when(a >= 2, F.lit("Reduced rainfall interception - flash flood risk")),
+        F.when(a >= 2, F.lit("Reduced rainfall interception → flash flood risk")),
         F.when(a >= 1, F.lit("Groundwater recharge declining")),
-        F.when(n < 0.3, F.lit("River siltation increasing - water quality declining")),
+        F.when(n < 0.3, F.lit("River siltation increasing — water quality declining")),
         F.when(ccp < -5, F.lit("Watershed degradation accelerating")),
     ], "Water security maintained")
     temp_rise = F.greatest(F.lit(0.0), (F.lit(0.3) - n) * F.lit(5.0))
@@ -146,7 +146,7 @@ def forest_effects_full(alert_level, aqi, human, forest_pct, ndvi, future_cover,
         F.struct(health.alias("risks"), _c(human).alias("score")).alias("health"),
         F.struct(water.alias("risks"), ccp.alias("cover_change_pct")).alias("water"),
         F.struct(
-            F.format_string("+%.1fC (estimated local warming)", temp_rise).alias("local_temp_rise_est"),
+            F.format_string("+%.1f°C (estimated local warming)", temp_rise).alias("local_temp_rise_est"),
             F.when(a >= 2, F.lit("High carbon release")).when(a == 1, F.lit("Moderate"))
              .otherwise(F.lit("Stable")).alias("carbon_impact"),
             F.when(a >= 2, F.lit("Disrupted rainfall patterns")).otherwise(F.lit("Stable patterns"))

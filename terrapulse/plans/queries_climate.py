@@ -107,13 +107,13 @@ def q_drought_indicators(spark, d):
 
 ALERT_SQL = """
 SELECT location_id, week, ndvi, points, level, points4, level4, ndwi, ndbi, nbr, risk_level, ndvi_band,
-       concat_ws('|', CASE WHEN wind_kmh > 60 THEN 'High wind speed - potential cyclonic or severe gale risk.' END,
-                      CASE WHEN max_temp > 42 THEN 'Heatwave threshold exceeded - health risk for vulnerable populations.' END,
-                      CASE WHEN precip_day > 50 THEN 'Heavy precipitation - localised flooding possible.' END) AS risk_notes,
-       CASE level4 WHEN 'green' THEN 'Normal - no significant change detected.'
-            WHEN 'yellow' THEN 'Heads Up - early signs of change. Monitor regularly.'
-            WHEN 'orange' THEN 'Warning - notable environmental stress. Action recommended.'
-            WHEN 'red' THEN 'Critical - severe conditions. Immediate intervention needed.' END AS level_label
+       concat_ws('|', CASE WHEN wind_kmh > 60 THEN 'High wind speed — potential cyclonic or severe gale risk.' END,
+                      CASE WHEN max_temp > 42 THEN 'Heatwave threshold exceeded — health risk for vulnerable populations.' END,
+                      CASE WHEN precip_day > 50 THEN 'Heavy precipitation — localised flooding possible.' END) AS risk_notes,
+       CASE level4 WHEN 'green' THEN '🟢 Normal — no significant change detected.'
+            WHEN 'yellow' THEN '🟡 Heads Up — early signs of change. Monitor regularly.'
+            WHEN 'orange' THEN '🟠 Warning — notable environmental stress. Action recommended.'
+            WHEN 'red' THEN '🔴 Critical — severe conditions. Immediate intervention needed.' END AS level_label
 FROM (
   SELECT *, CASE WHEN points >= 6 THEN 'RED' WHEN points >= 3 THEN 'YELLOW' ELSE 'GREEN' END AS level,
          CASE WHEN points4 >= 6 THEN 'red' WHEN points4 >= 4 THEN 'orange' WHEN points4 >= 2 THEN 'yellow' ELSE 'green' END AS level4,

@@ -96,11 +96,11 @@ SELECT state, year,
     CASE WHEN ndvi < 0.35 THEN 'Increased dust and particulate matter' END,
     CASE WHEN {a} >= 2 THEN 'Higher vector-borne disease risk (malaria, dengue)' END,
     CASE WHEN {a} >= 3 THEN 'Mental health impact from degraded environment' END,
-    CASE WHEN forest_pct < 20 THEN 'Inadequate natural carbon sink - CO2 rising' END), ''), 'No major health risks detected') AS health_risks,
+    CASE WHEN forest_pct < 20 THEN 'Inadequate natural carbon sink — CO2 rising' END), ''), 'No major health risks detected') AS health_risks,
   COALESCE(NULLIF(concat_ws('|',
-    CASE WHEN {a} >= 2 THEN 'Reduced rainfall interception - flash flood risk' END,
+    CASE WHEN {a} >= 2 THEN 'Reduced rainfall interception → flash flood risk' END,
     CASE WHEN {a} >= 1 THEN 'Groundwater recharge declining' END,
-    CASE WHEN ndvi < 0.3 THEN 'River siltation increasing - water quality declining' END,
+    CASE WHEN ndvi < 0.3 THEN 'River siltation increasing — water quality declining' END,
     CASE WHEN (future_forest_cover - forest_cover) / (forest_cover + 1.0) * 100.0 < -5 THEN 'Watershed degradation accelerating' END), ''),
     'Water security maintained') AS water_risks,
   (future_forest_cover - forest_cover) / (forest_cover + 1.0) * 100.0 AS cover_change_pct,
