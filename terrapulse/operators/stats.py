@@ -122,16 +122,14 @@ def classification_report(df: DataFrame, label: str, pred: str, count_col: str |
     """Per-class precision / recall / F1 / support, plus accuracy, macro and
     weighted averages as extra rows (class names 'accuracy', 'macro avg',
     'weighted avg').  ``df`` holds predictions, or counts of them in ``count_col``.
-    One aggregate gives the confusion matrix (classes^2 rows at most), one more the
-    counts of every class; the rest is tiny."""
-    n = F.sum(count_col) if count_col else F.count(F.lit(1))
-    conf = df.groupBy(F.col(label).alias("_y"), F.col(pred).alias("_p")).agg(n.alias("_n"))
-    zero = F.lit(0).cast("long")
+    Every row counts for its class and for its predicted class, so one aggregate gives
+    the counts of all classes; the averages are windows over that class table."""
+    n = F.col(count_col) if count_col else F.lit(1).cast("long")
+    y, p, zero = F.col(label), F.col(pred), F.lit(0).cast("long")
     shares = F.array(
-        F.struct(F.col("_y").alias("cls"), F.col("_n").alias("support"),
-                 F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(zero).alias("tp"), zero.alias("pred_n")),
-        F.struct(F.col("_p").alias("cls"), zero.alias("support"), zero.alias("tp"), F.col("_n").alias("pred_n")))
-    per = conf.select(F.inline(shares)).groupBy("cls").agg(
+        F.struct(y.alias("cls"), n.alias("support"), F.when(y == p, n).otherwise(zero).alias("tp"), zero.alias("pred_n")),
+        F.struct(p.alias("cls"), zero.alias("support"), zero.alias("tp"), n.alias("pred_n")))
+    per = df.select(F.inline(shares)).groupBy("cls").agg(
         F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"))
     per = per.select(
         F.col("cls").cast("string").alias("cls"), "support",
@@ -140,21 +138,21 @@ def classification_report(df: DataFrame, label: str, pred: str, count_col: str |
     per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                       F.lit(2.0) * F.col("precision") * F.col("recall")
                                       / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))
-    tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = tot.select(F.lit("accuracy").alias("cls"), F.col("n").alias("support"),
-                     (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("n")).alias("recall"),
-                     (F.col("tp") / F.col("n")).alias("f1"))
-    macro = tot.select(F.lit("macro avg").alias("cls"), F.col("n").alias("support"),
-                       F.col("mp").alias("precision"), F.col("mr").alias("recall"), F.col("mf").alias("f1"))
-    weighted = tot.select(F.lit("weighted avg").alias("cls"), F.col("n").alias("support"),
-                          (F.col("wp") / F.col("n")).alias("precision"), (F.col("wr") / F.col("n")).alias("recall"),
-                          (F.col("wf") / F.col("n")).alias("f1"))
-    cols = ["cls", "support", "precision", "recall", "f1"]
-    return per.select(*cols).unionByName(acc).unionByName(macro).unionByName(weighted)
+    every = Window.partitionBy()
+    scores = ["precision", "recall", "f1"]
+    total = F.sum("support").over(every)
+    row = lambda name, values: F.struct(name.alias("cls"), F.col("support_out").alias("support"),
+                                        *[v.alias(c) for c, v in zip(scores, values)])
+    wide = per.select(
+        "*", total.alias("support_out"), (F.sum("tp").over(every) / total).alias("accuracy"),
+        F.row_number().over(Window.orderBy("cls")).alias("nr"),
+        *[F.avg(c).over(every).alias(f"macro_{c}") for c in scores],
+        *[(F.sum(F.col(c) * F.col("support")).over(every) / total).alias(f"weighted_{c}") for c in scores])
+    own = F.struct("cls", "support", *scores)
+    averages = F.array(row(F.lit("accuracy"), [F.col("accuracy")] * 3),
+                       row(F.lit("macro avg"), [F.col(f"macro_{c}") for c in scores]),
+                       row(F.lit("weighted avg"), [F.col(f"weighted_{c}") for c in scores]))
+    return wide.select(F.inline(F.when(F.col("nr") == 1, F.concat(F.array(own), averages)).otherwise(F.array(own))))
 
 
 # A16 --------------------------------------------------------------------------------

@@ -67,3 +67,43 @@ def q_chat_answers(spark, d):
               .when(F.col("answer").isNull(), F.concat(F.lit("Cannot locate "), F.col("place"), F.lit(".")))
               .otherwise(F.col("answer")))
     return j.select("msg_id", "intent", "place", answer.alias("answer"))
+
+
+def _rules_sql() -> str:
+    from . import oracle_views as ov
+    from . import queries_payloads  # noqa: F401  (registers the SQL used below)
+    from .catalog import REGISTRY
+    views, _, body = REGISTRY["weather_payload_environment"].sql.rpartition("\nSELECT wa.location_id")
+    missing = "; ".join(report.ERROR_TEXTS[k] for k in report.DOMAINS)
+    points = ("(CASE WHEN t > 45 THEN 3 WHEN t > 40 THEN 2 WHEN t > 37 THEN 1 ELSE 0 END"
+              " + CASE WHEN w > 80 THEN 3 WHEN w > 55 THEN 2 WHEN w > 35 THEN 1 ELSE 0 END"
+              " + CASE WHEN p > 80 THEN 2 WHEN p > 50 THEN 1 ELSE 0 END)")
+    return views + "," + ov.aoi_sql() + f""",
+env AS (SELECT wa.location_id{body}),
+last AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id ORDER BY week DESC) AS r FROM env) WHERE r = 1),
+veg AS (SELECT location_id, LEAST(GREATEST(AVG(precip) * 0.04 + AVG(solar) * 0.005, 0.0), 1.0) AS ndvi FROM obs GROUP BY 1),
+a AS (SELECT aoi_id, aoi_id % 13 <> 0 AND aoi_id % 11 = 0 AS water, COALESCE(temperature, 28.0) AS t,
+             COALESCE(windspeed, 12.0) AS w, COALESCE(precipitation, 0.0) AS p, ndvi
+      FROM aoi LEFT JOIN last ON aoi_id = last.location_id LEFT JOIN veg ON aoi_id = veg.location_id),
+l AS (SELECT *, CASE WHEN water OR {points} < 3 THEN 'GREEN' WHEN {points} < 6 THEN 'YELLOW' ELSE 'RED' END AS alert_level FROM a)
+SELECT aoi_id, water AS is_water, alert_level,
+  CASE WHEN NOT water THEN round_even(LEAST(GREATEST(p / 200.0 - 0.3, -1.0), 1.0), 3) END AS ndwi,
+  CASE WHEN NOT water THEN round_even(LEAST(GREATEST(0.4 - COALESCE(NULLIF(ndvi, 0.0), 0.3), -1.0), 1.0), 3) END AS ndbi,
+  CASE WHEN NOT water THEN round_even({points} / 11.0, 2) END AS risk_level,
+  CASE WHEN water THEN 'Location identified as water or unrecognized territory.' ELSE '' END AS signals,
+  'AOI analyzed with limited ML coverage.' AS summary,
+  'Alert: ' || alert_level || CASE WHEN water THEN '' ELSE chr(10) || 'Errors: {missing}' END AS answer
+FROM l"""
+
+
+@query("report_rules", "M11 J12 P11 P12 P13 P14 F23 F38 F39 F48 S12", sql=_rules_sql())
+def q_report_rules(spark, d):
+    """The report without any model: inputs joined per area, indices, base and ensemble
+    level, water areas, an error entry a domain, fallback summary and answer lines."""
+    r = report.unified_report(spark, d, run=())
+    lines = report.report_lines(r).withColumnRenamed("aoi_id", "_id")
+    j = r.join(lines, F.col("aoi_id") == F.col("_id"))
+    return j.select("aoi_id", "is_water", F.col("ensemble.overall_alert_level").alias("alert_level"),
+                    F.col("indices.ndwi").alias("ndwi"), F.col("indices.ndbi").alias("ndbi"),
+                    F.col("indices.risk_level").alias("risk_level"),
+                    F.array_join("ensemble.signals", "|").alias("signals"), "summary", "answer")

@@ -32,6 +32,12 @@ REPORT_YEAR = 2025
 REPORT_MONTH = 1
 DOMAINS = ("crop", "drought", "weather", "forest", "urban")
 
+#: What a domain that failed reports, in report order.
+ERROR_TEXTS = {"crop": "crop_yield_predictor: model not available", "drought": "drought_models: model not available",
+               "weather": "weather_models: model not available",
+               "forest": "forest_models: state not found in forest history",
+               "urban": "urban_models: model not available"}
+
 # Typed stand-ins for the scoring outputs of a domain that is not run (model
 # missing): the report keeps one schema and the domain becomes a null struct.
 _ARR, _D, _S = "array<double>", "double", "string"
@@ -262,17 +268,12 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
 def _assemble(df: DataFrame, run) -> DataFrame:
     a, cur = "env.aggregate.", "env.current."
     land = F.col("is_land")
-    top5 = F.slice(F.array_sort(
-        F.arrays_zip(F.col("crop_probs").alias("p"), F.col("_crop_labels").alias("label")),
-        lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
-        .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 5)
+    top5 = topk.top_k(F.col("crop_probs"), F.col("_crop_labels"), 5)
     top5 = F.transform(top5, lambda s: F.struct(s["label"].alias("crop"), F.bround(s["p"] * 100, 1).alias("confidence")))
     crop = F.struct(F.element_at(top5, 1)["crop"].alias("recommended_crop"),
                     F.element_at(top5, 1)["confidence"].alias("confidence"), top5.alias("top_predictions"),
                     fc.crop_season("month").alias("season"), F.col("state").alias("state"))
-    top3 = F.slice(F.array_sort(F.arrays_zip(F.col("dcat_probs").alias("p"), F.col("_drought_labels").alias("label")),
-                                lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
-                                .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 3)
+    top3 = topk.top_k(F.col("dcat_probs"), F.col("_drought_labels"), 3)
     top3 = F.transform(top3, lambda s: F.struct(s["label"].alias("category"), F.bround(s["p"] * 100, 1).alias("confidence")))
     active = F.col("dstat_pred") >= 1
     primary = F.element_at(top3, 1)["category"]
@@ -281,10 +282,9 @@ def _assemble(df: DataFrame, run) -> DataFrame:
                        active.alias("drought_active"), F.col("dstat_pred").cast("int").alias("drought_status_code"),
                        F.bround(topk.confidence_of("dstat_probs", F.col("dstat_pred").cast("int")), 1).alias("status_confidence"))
     # boosts are keyed by class name, so the factors follow this model's label order
-    adj = _boost_by_labels("wev_probs", "_event_labels")
-    top3 = F.slice(F.array_sort(F.arrays_zip(adj.alias("p"), F.col("_event_labels").alias("label")),
-                                lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1)
-                                .when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)), 1, 3)
+    adj = topk.boost_event_probs("wev_probs", "state", "_wseason", "_precipitation_anomaly_mm", "_wind_anomaly_kmph",
+                                 "_temperature_anomaly_c", F.col("_event_labels"))
+    top3 = topk.top_k(adj, F.col("_event_labels"), 3)
     top3 = F.transform(top3, lambda s: F.struct(s["label"].alias("event"), F.bround(s["p"] * 100, 1).alias("confidence")))
     intensity = F.bround(fa.clip("wint_pred", 1.0, 10.0), 1)
     weather = F.struct(F.element_at(top3, 1)["event"].alias("primary_event"),
@@ -323,11 +323,7 @@ def _assemble(df: DataFrame, run) -> DataFrame:
                                "forest_human_model"],
                     "urban": ["urban_pop_model", "urban_urb_model", "urban_infra_model", "urban_upop_model",
                               "urban_grow_model"]}
-    err_text = {"crop": "crop_yield_predictor: model not available", "drought": "drought_models: model not available",
-                "weather": "weather_models: model not available",
-                "forest": "forest_models: state not found in forest history",
-                "urban": "urban_models: model not available"}
-    errors = F.array_compact(F.array(*[F.when(land & dcol[k].isNull(), F.lit(err_text[k])) for k in names]))
+    errors = F.array_compact(F.array(*[F.when(land & dcol[k].isNull(), F.lit(ERROR_TEXTS[k])) for k in names]))
     models_run = F.flatten(F.array(*[F.when(dcol[k].isNotNull(), F.array(*[F.lit(m) for m in model_groups[k]]))
                                      .otherwise(F.array().cast("array<string>")) for k in names]))
     ndvi = F.col("live_ndvi")
@@ -414,25 +410,6 @@ def domains_struct(p: Column) -> Column:
                  p["urban_grow_model"].alias("growth")).alias("urban_growth"))
 
 
-def _boost_by_labels(probs: str, labels: str) -> Column:
-    """F36 boosts where the class order comes from the model's label array."""
-    st, se = F.col("state"), F.col("_wseason")
-    p_a, w_a, t_a = F.col("_precipitation_anomaly_mm"), F.col("_wind_anomaly_kmph"), F.col("_temperature_anomaly_c")
-    coastal, hilly, dry = st.isin(dims.COASTAL_STATES), st.isin(dims.HILLY_STATES), st.isin(dims.DRY_STATES)
-
-    def factor(label: Column) -> Column:
-        return (F.when((label == "Cyclone") & coastal & se.isin("Monsoon", "Post-Monsoon") & (w_a > 10), 2.5)
-                .when((label == "Landslide") & hilly & (p_a > 50), 2.2)
-                .when((label == "Heatwave") & dry & (se == "Summer") & (t_a > 3), 2.0)
-                .when((label == "Drought") & dry & (se == "Summer") & (p_a < -30), 2.0)
-                .when((label == "Flood") & (se == "Monsoon") & (p_a > 80), 1.8)
-                .when((label == "Cloudburst") & (se == "Monsoon") & (p_a > 80), 1.6)
-                .when((label == "Thunderstorm") & (w_a > 15) & (p_a > 30), 1.7).otherwise(1.0))
-    adj = F.zip_with(F.col(probs), F.col(labels), lambda p, lab: p * factor(lab))
-    total = F.aggregate(adj, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(total > 0, F.transform(adj, lambda x: x / total)).otherwise(adj)
-
-
 def _summary(d: dict[str, Column]) -> Column:
     """sentence from the parts that succeeded, else a fallback."""
     s = F.concat_ws(" ",
