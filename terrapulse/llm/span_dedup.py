@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import bind, fresh, matches, text_key, words
+from terrapulse.llm.common import bind, checkpointed, fresh, matches, text_key, words
 
 SPAN = 2
 MIN_WORDS = 10
@@ -70,8 +70,9 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(r_id, r_key, removed): the piece numbers of a document that a non-first repeated span covers."""
     every = runs(docs, id_col, text_col, span, min_words)
     place = F.struct("doc_id", "text_key", "start")
-    first = (every.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .where(F.col("first") != F.col("last")).select("h", "g", "first"))
+    # Cut here, so that the join below shuffles both sides and a hot span can be split.
+    ends = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = checkpointed(ends.where(F.col("first") != F.col("last")).select("h", "g", "first"))
     later = every.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
     gathered = later.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["end"]))))
