@@ -45,7 +45,7 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 #: Words that one step of the signature code holds at a time (or one document, if longer).
-STEP_WORDS = 300_000
+STEP_WORDS = 100_000
 #: Pairs left in a region up to which they are listed, and nodes a block of a larger one.
 REGION_PAIRS = 1_000
 BLOCK = 256
