@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,18 +28,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapulse.llm.common import checkpointed
-from terrapulse.llm.texts import word_parts
+from terrapulse.llm.texts import Remembered, grouped
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Groups that the pieces of one length are numbered by.
 GROUPS = 64
-REMEMBERED = 300_000
+#: Words and their stems remembered, see ``Remembered``.
+REMEMBERED, STEMS = 200_000, 100_000
 #: Letters that lower-case and normalise one by one, then ASCII punctuation: both are
 #: pre-tokens of their own.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -67,74 +70,102 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tok, self.words, self.stems = _tokenizer(path), {}, {}
+        self.tok = _tokenizer(path)
+        self.words, self.stems = Remembered(REMEMBERED, self.word), Remembered(STEMS, self.stem)
+        self.tails = Remembered(STEMS, self.whole)
+        # how the tokenizer writes each letter beyond ASCII for its model
+        self.letters = {c: self.tok.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
     def stem(self, letters: str) -> bytes:
-        got = self.stems.get(letters)
-        if got is None:
-            if letters.isascii():
-                got = np.array([t.id for t in self.tok.model.tokenize(letters)], dtype="<u4").tobytes()
-            else:
-                mapped = self.tok.pre_tokenizer.pre_tokenize_str(letters)
-                got = np.array([t.id for m, _ in mapped for t in self.tok.model.tokenize(m)], dtype="<u4").tobytes()
-            self.stems[letters] = got
-        return got
+        written = letters if letters.isascii() else letters.translate(self.letters)
+        return _bytes([t.id for t in self.tok.model.tokenize(written)])
 
-    def learn(self, word: str) -> None:
+    def word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.stems[word.lower()]
         plain = _PLAIN.fullmatch(word)
         if plain is None:
-            self.words[word] = self.whole(word)
-            return
-        ids = self.stem(plain[1].lower())
-        if plain[2]:
-            tail = self.stems.get(plain[2])
-            if tail is None:
-                tail = self.stems[plain[2]] = self.whole(plain[2])
-            ids += tail
-        self.words[word] = ids
-
-    def __call__(self, text: str) -> Iterator[bytes]:
-        for part in word_parts(text):
-            if len(self.words) > REMEMBERED:
-                self.words, self.stems = {}, {}
-            for word in set(part).difference(self.words):
-                self.learn(word)
-            yield b"".join(map(self.words.__getitem__, part))
+            return self.whole(word)
+        letters, tail = plain.groups()
+        ids = self.stems[letters.lower()]
+        return ids + self.tails[tail] if tail else ids
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Each distinct word of the texts is looked up once."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        ids = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        table, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        word = coded.indices.to_numpy()
+        size = sizes[word]
+        ends = np.cumsum(size)
+        # token k of a word stands k places after the word's first one, here as in the table
+        shift = (np.cumsum(sizes) - sizes)[word] - (ends - size)
+        tokens = table[np.repeat(shift, size) + np.arange(size.sum())].tobytes()
+        cuts = 4 * np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [tokens[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """A worker's memory of words, which outlives its tasks."""
+    return WordIds(path)
+
+
+class _Cutter:
+    """Cuts the ids of one document after the other into pieces, as they come."""
+
+    def __init__(self, capacity: int, end_id: int):
+        self.full, self.end, self.rows = 4 * capacity, _bytes([end_id]), []
+        self.begin(None)
+
+    def begin(self, doc_id: int | None) -> None:
+        self.doc_id, self.rest, self.piece, self.start = doc_id, b"", 0, 0
+
+    def add(self, ids: bytes) -> None:
+        self.rest += ids
+        while len(self.rest) >= self.full:
+            self._cut()
+
+    def finish(self) -> None:
+        self.add(self.end)
+        if self.rest:
+            self._cut()
+
+    def _cut(self) -> None:
+        part, self.rest = self.rest[:self.full], self.rest[self.full:]
+        self.rows.append((self.doc_id, self.piece, self.start, len(part) // 4, zlib.crc32(part)))
+        self.piece, self.start = self.piece + 1, self.start + len(part) // 4
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-    full = 4 * capacity
-
-    def cut(ids: WordIds, text: str) -> Iterator[tuple[int, int]]:
-        """(tokens, crc32) of each piece."""
-        rest = b""
-        for part in ids(text):
-            rest += part
-            at = 0
-            while len(rest) - at >= full + 4:  # the end token still follows
-                yield capacity, zlib.crc32(rest[at:at + full])
-                at += full
-            rest = rest[at:]
-        rest += end
-        for at in range(0, len(rest), full):
-            piece = rest[at:at + full]
-            yield len(piece) // 4, zlib.crc32(piece)
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = _word_ids(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                start = 0
-                for n, (length, crc) in enumerate(cut(ids, text.as_py())):
-                    rows.append((doc_id, n, start, length, crc))
-                    start += length
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            docs, cutter, now = batch.column("doc_id").to_pylist(), _Cutter(capacity, end_id), None
+            for group in grouped(batch.column("text")):
+                for (row, _), part in zip(group, ids([text for _, text in group])):
+                    if row != now:
+                        if now is not None:
+                            cutter.finish()
+                        cutter.begin(docs[row])
+                        now = row
+                    cutter.add(part)
+            if now is not None:
+                cutter.finish()
+            columns = list(zip(*cutter.rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
     return run

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _SPACE = re.compile(r"[\x20\x09-\x0d]")
@@ -16,16 +16,35 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text) if _WIDER.search(text) else text.split()
 
 
-def word_parts(text: str) -> Iterator[list[str]]:
-    """The words of a text, about ``PART`` characters at a time, cut at white space."""
+def text_parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``PART`` characters, cut at white space."""
     at = 0
     while len(text) - at > 2 * PART:
         stop = _SPACE.search(text, at + PART)
         if stop is None:
             break
-        yield words_of(text[at:stop.start()])
+        yield text[at:stop.start()]
         at = stop.start()
-    yield words_of(text[at:] if at else text)
+    yield text[at:] if at else text
+
+
+def word_parts(text: str) -> Iterator[list[str]]:
+    """The words of a text, part by part."""
+    return map(words_of, text_parts(text))
+
+
+def grouped(texts: Iterable) -> Iterator[list[tuple[int, str]]]:
+    """(row, part of its text) of an Arrow column, in groups of about two parts' size."""
+    group, size = [], 0
+    for row, value in enumerate(texts):
+        for part in text_parts(value.as_py()):
+            group.append((row, part))
+            size += len(part)
+            if size >= 2 * PART:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
 class Remembered(dict):

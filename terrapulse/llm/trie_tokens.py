@@ -29,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.texts import PART, Remembered, word_parts
+from terrapulse.llm.texts import Remembered, grouped, words_of
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
 BYTE_PENALTY = 5.0
 REMEMBERED = 75_000
-#: Characters of text whose pre-tokens are inserted together.
-TOGETHER = 2_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -110,26 +108,13 @@ def _terminals(path: str) -> Terminals:
     return Terminals(path)
 
 
-def _parts(texts: pa.Array) -> Iterator[list[tuple[int, list[str]]]]:
-    """Groups of (row, pre-tokens) of about TOGETHER characters; a long text spans several."""
-    group, size = [], 0
-    for row, value in enumerate(texts):
-        text = value.as_py()
-        for part in word_parts(text):
-            group.append((row, part))
-            size += min(len(text), PART)
-            if size > TOGETHER:
-                yield group
-                group, size = [], 0
-    yield group
-
-
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terminals = _terminals(path)
         for batch in batches:
             words, found = [0] * batch.num_rows, [0j] * batch.num_rows
-            for group in _parts(batch.column("text")):
+            for parts in grouped(batch.column("text")):
+                group = [(row, words_of(text)) for row, text in parts]
                 terminals.learn({t for _, part in group for t in part})
                 for row, part in group:
                     words[row] += len(part)
