@@ -58,7 +58,7 @@ def _stamp_in_order(spark: SparkSession, path: str) -> None:
         fs.setTimes(f.getPath(), first + 1000 * n, -1)
 
 
-def observation_stream(spark: SparkSession, d: str, files_per_trigger: int = 5) -> DataFrame:
+def observation_stream(spark: SparkSession, d: str, files_per_trigger: int = 16) -> DataFrame:
     path = landing_folder(spark, d)
     schema = table(spark, d, "events").schema
     ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
