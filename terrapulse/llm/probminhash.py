@@ -42,6 +42,8 @@ from terrapulse.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: By how much a summed probability Jaccard may lie below the threshold by rounding.
+TOLERANCE = 1e-9
 BANDS = 25
 ROWS = 5
 #: Words that one step of the signature code holds at a time (or one document, if longer).
@@ -174,6 +176,15 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float(np.sum(1.0 / ((only_x + below) / u + (only_y + above) / v)))
 
 
+def similar(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two weighted sets are at least ``similarity`` alike: sets whose counts are all 1
+    by one division of whole numbers, others within ``TOLERANCE`` of the summed value."""
+    if x.max(initial=1) == 1 and y.max(initial=1) == 1:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return common / max(len(a) + len(b) - common, 1) >= similarity
+    return probability_jaccard(a, x, b, y) >= similarity - TOLERANCE
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +192,7 @@ def _verified(similarity: float):
             keep = []
             for n in range(batch.num_rows):
                 a, x, b, y = (v[o[n]:o[n + 1]] for v, o in cols)
-                keep.append(probability_jaccard(a, x, b, y) >= similarity)
+                keep.append(similar(a, x, b, y, similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -239,7 +250,7 @@ def _blocks_linked(similarity: float):
         for i, j in zip(*np.nonzero(apart & (common > 0) & (~sure | (jaccard >= similarity)))):
             a, b = xs[i], ys[j]
             key = (node[a], root[b])  # one link to a component is enough
-            if key not in out and (sure[i, j] or probability_jaccard(sets[a], weights[a], sets[b], weights[b]) >= similarity):
+            if key not in out and (sure[i, j] or similar(sets[a], weights[a], sets[b], weights[b], similarity)):
                 out[key] = (node[a], node[b])
         return pa.table({"a": pa.array([a for a, _ in out.values()], pa.int64()),
                          "b": pa.array([b for _, b in out.values()], pa.int64())})

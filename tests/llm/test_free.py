@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import SCHEMA, pieces_of, probability_jaccard, roots, rows, shingle_counts, words
 from pyspark.sql import functions as F
@@ -323,6 +324,29 @@ def test_classes_by_blocks(spark, odd, small_dir, monkeypatch):
     assert {r.doc_id: r.class_id for r in probminhash.classes(docs).collect()} == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("region_pairs", [0, probminhash.REGION_PAIRS])
+def test_classes_at_the_threshold(spark, monkeypatch, region_pairs):
+    """12 common shingles of 15 are 0.8 and a pair, whichever path compares them; 11 of 15 aren't."""
+    monkeypatch.setattr(probminhash, "REGION_PAIRS", region_pairs)
+    docs = [(10 * k + n, " ".join(f"k{k}w{i}" for i in range(words))) for k in range(6) for n, words in enumerate((16, 19))]
+    docs += [(100 + n, " ".join(f"z{i}" for i in range(words))) for n, words in enumerate((15, 19))]
+    got = {r.doc_id: r.class_id for r in probminhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs) and all(got[10 * k + 1] == 10 * k for k in range(6)) and got[101] == 101
+
+
+@pytest.mark.parametrize("count", [1, 2, 3])
+def test_threshold_is_the_same_in_both_paths(count):
+    for common, union, want in ((12, 15, True), (48, 60, True), (1200, 1500, True), (11, 15, False), (1199, 1500, False)):
+        sets = [list(range(common)), list(range(union))]
+        lists = lambda v: pa.array(v, pa.list_(pa.int64()))
+        counts = [[count] * len(s) for s in sets]
+        pair = pa.record_batch([pa.array([0], pa.int64()), pa.array([1], pa.int64()), *map(lists, ([sets[0]], [counts[0]], [sets[1]], [counts[1]]))],
+                               ["a", "b", "codes", "counts", "codes_b", "counts_b"])
+        region = pa.table({"node": [0, 1], "root": [0, 1], "left": [True, False], "codes": lists(sets), "counts": lists(counts)})
+        assert sum(x.num_rows for x in probminhash._verified(0.8)(iter([pair]))) == want
+        assert probminhash._blocks_linked(0.8)(region).num_rows == want
+
+
 def test_block_overlaps():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 5, 20, 60, 200)]
