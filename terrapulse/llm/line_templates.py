@@ -1,18 +1,23 @@
-"""Line dedup: a fixed-depth template tree over the lines of all documents.
+"""Line dedup: a template tree over the lines of all documents.
 
 Level 1 of the tree is a line's token count, the next levels are its ``DEPTH`` leading
-tokens; tokens with a digit count as the wildcard. Within a leaf, variable fields are
-generalised by majority: a position keeps the token that more than half of the leaf's
-distinct lines have there, else it is a wildcard. A line belongs to the leaf's template
-if at least ``similarity`` of its tokens equal the kept ones, else it is a template of
-its own. Templates found in ``min_docs`` documents or more are recurring: their lines
-are dropped from every document but the first (smallest doc_id).
+tokens; tokens with a digit count as the wildcard. Within a group of lines (a leaf first),
+variable fields are generalised by majority: a position keeps the token that more than
+half of the group's distinct lines have there, else it is a wildcard. A line belongs to
+the group's template if at least ``similarity`` of its tokens equal the kept ones. The other
+lines go on in smaller groups, each with the lines that share its most frequent token at a
+position, until no group is left that could hold a template; so a leaf has as many
+templates as its lines show. A line of no template is one of its own. Templates found in
+``min_docs`` documents or more are recurring: their lines are dropped from every document
+but the first (smallest doc_id).
 
 Lines of fewer than ``min_tokens`` tokens are never dropped. All lines are reduced to
 hashes first (one narrow row a line, cut by a checkpoint); tokens are read again only
 for leaves that hold several distinct lines and occur ``min_docs`` times. Supports are
-counts of counts, so a line in a third of the documents costs a row a task. Small key
-sets are broadcast after they are counted; larger ones are joined by a shuffle.
+counts of counts, so a line in a third of the documents costs a row a task. Every split
+makes a group smaller and fixes a position, so there are no more rounds than a line has
+tokens. Small key sets are broadcast after they are counted; larger ones are joined by
+a shuffle.
 
 Defined results: null text stays null; rows that repeat a doc_id and text are one
 document; an empty table gives an empty result; other columns pass through.
@@ -20,6 +25,8 @@ document; an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,24 +63,47 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> D
 
 
 def generalised(docs: DataFrame, keys: DataFrame, text_col: str, min_docs: int, similarity: float) -> DataFrame:
-    """(m_leaf, m_line): the distinct lines that belong to their leaf's template."""
+    """(m_line, m_template): the distinct lines that belong to a template of several lines."""
     varied = checkpointed(keys.groupBy("leaf").agg(F.count("*").alias("n"), F.min("line").alias("a"), F.max("line").alias("b"))
                           .where((F.col("a") != F.col("b")) & (F.col("n") >= min_docs)).select("leaf"))
     read = docs.select(F.explode(_lines(F.col(text_col))).alias("text")).select(tokens(F.col("text")).alias("tokens"))
     lines = (read.withColumn("leaf", _leaf(F.col("tokens"))).join(sized(varied), "leaf", "left_semi")
-             .withColumn("line", F.xxhash64("tokens")).dropDuplicates(["leaf", "line"]))
-    lines = checkpointed(lines.select("leaf", "line", "tokens"))
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"))
-    kept = (lines.select("leaf", F.posexplode("tokens").alias("pos", "token"))
-            .groupBy("leaf", "pos", "token").agg(F.count("*").alias("seen"))
-            .groupBy("leaf", "pos").agg(F.max(F.struct("seen", "token")).alias("top"))
-            .join(leaves, "leaf").where(2 * F.col("top.seen") > F.col("n"))
-            .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "top.token"))).alias("kept")))
+             .withColumn("line", F.xxhash64("tokens")).groupBy("leaf", "line")
+             .agg(F.count("*").alias("times"), F.any_value("tokens").alias("tokens")))
+    # Leaves of as many tokens as the leading ones hold one line.
+    left = checkpointed(lines.where(F.size("tokens") > DEPTH).withColumnRenamed("leaf", "group"))
+    found = []
+    while not left.isEmpty():
+        placed, left = _placed(left, min_docs, similarity)
+        found.append(placed)
+    none = docs.sparkSession.createDataFrame([], "m_line long, m_template long")
+    return reduce(DataFrame.unionByName, found, none)
+
+
+def _placed(lines: DataFrame, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The lines (group, line, times, tokens) that belong to their group's template, and the others in smaller groups."""
+    fields = lines.select("group", "line", "times", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
+    groups = lines.groupBy("group").agg(F.count("*").alias("n"))
+    seen = checkpointed(fields.groupBy("group", "pos", "token").agg(F.count("*").alias("seen"), F.sum("times").alias("all"))
+                        .where(F.col("seen") > 1).join(groups, "group"))
+    kept = seen.where(2 * F.col("seen") > F.col("n")).groupBy("group").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("kept"))
     # One entry a position at most, so the map is as long as a line.
-    template = F.transform("tokens", lambda _, i: F.col("kept")[i])
-    same = F.size(F.filter(F.zip_with("tokens", template, lambda a, b: a.eqNullSafe(b)), lambda x: x))
-    return (lines.join(kept, "leaf").where(same >= similarity * F.size("tokens"))
-            .select(F.col("leaf").alias("m_leaf"), F.col("line").alias("m_line")))
+    size = F.size("tokens")
+    same = F.filter("tokens", lambda t, i: (i < DEPTH) | F.col("kept")[i].eqNullSafe(t))
+    alike = F.size("same") >= similarity * size
+    judged = checkpointed(lines.join(kept, "group", "left").withColumn("same", same)
+                          .select("group", "line", "times", "tokens", alike.alias("member")))
+    members = judged.where("member").select(F.col("line").alias("m_line"), F.xxhash64("group", F.lit(1)).alias("m_template"))
+    others = judged.where("not member").drop("member")
+    # A token that the whole group has divides nothing, and one that occurs too seldom leads to no template that recurs.
+    parts = (others.select("group", "line", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
+             .join(seen.where((F.col("seen") < F.col("n")) & (F.col("all") >= min_docs)), ["group", "pos", "token"])
+             .groupBy("line").agg(F.max(F.struct("seen", -F.col("pos"), "token")).alias("top")))
+    smaller = others.join(parts, "line").withColumn("group", F.xxhash64("group", "top")).drop("top")
+    enough = smaller.groupBy("group").agg(F.count("*").alias("n"), F.sum("times").alias("all")).where(
+        (F.col("n") > 1) & (F.col("all") >= min_docs)).select("group")
+    return members, checkpointed(smaller.join(enough, "group", "left_semi").select("group", "line", "times", "tokens"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS,
@@ -81,8 +111,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(r_id, r_key, dropped): the numbers of the lines to drop, by document."""
     keys = checkpointed(line_keys(docs, id_col, text_col, min_tokens))
     members = checkpointed(generalised(docs, keys, text_col, min_docs, similarity))
-    joined = keys.join(sized(members), (F.col("leaf") == F.col("m_leaf")) & (F.col("line") == F.col("m_line")), "left")
-    template = F.when(F.col("m_leaf").isNull(), F.xxhash64("line", F.lit(0))).otherwise(F.xxhash64("leaf", F.lit(1)))
+    joined = keys.join(sized(members), F.col("line") == F.col("m_line"), "left")
+    template = F.coalesce("m_template", F.xxhash64("line", F.lit(0)))
     lines = joined.select("doc_id", "text_key", "line_no", template.alias("template"))
     doc = F.struct("doc_id", "text_key")
     recurring = checkpointed(

@@ -329,3 +329,17 @@ def test_lines_small_table(spark, small_dir):
     got = line_templates.drop_lines(docs).collect()
     check_lines([(r["doc_id"], r["source_text"]) for r in got], got)
     assert any(r["line_dedup"]["n_dropped"] for r in got)
+
+
+def dropped_lines(spark, docs):
+    got = line_templates.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    return {(r.doc_id, i) for r in got for i in r.line_dedup.dropped}
+
+
+def test_lines_several_templates_in_a_leaf(spark):
+    """Two templates with the same token count and leading tokens, amid lines of no template."""
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    docs = [(n, f"Click here to read more about {name(n)} today\nClick here to subscribe now for {name(n + 500)} free\n"
+                f"Click here to x{name(n)} y{name(n)} z{name(n)} u{name(n)} v{name(n)}") for n in range(50)]
+    docs += [(100 + n, f"Click here to p{name(n)} q{name(n)} about r{name(n)} s{name(n)}") for n in range(120)]
+    assert dropped_lines(spark, docs) == {(n, i) for n in range(1, 50) for i in (0, 1)}
