@@ -4,13 +4,18 @@ Level 1 of the tree is a line's token count, the next levels are its ``DEPTH`` l
 tokens; tokens with a digit count as the wildcard. Within a group of lines (a leaf first),
 variable fields are generalised by majority: a position keeps the token that more than
 half of the group's distinct lines have there, else it is a wildcard. A line belongs to
-the group's template if at least ``similarity`` of its tokens equal the kept ones. The other
+the group's template if at least ``similarity`` of its tokens after the leading ones equal
+the kept ones and enough constant tokens are among them (with the leading ones). The other
 lines go on in smaller groups, each with the lines that share its most frequent token at a
 position, until no group is left that could hold a template; so a leaf has as many
 templates as its lines show. A line of no template is one of its own. Templates found in
 ``min_docs`` documents or more are recurring: their lines are dropped from every document
 but the first (smallest doc_id).
 
+Constant tokens hold a letter and no digit. Enough of them are ``MIN_CONSTANT`` and half of
+the line; a line with fewer, such as a row of numbers, isn't masked and counts by its own
+words, so that it recurs only verbatim.
+
 Lines of fewer than ``min_tokens`` tokens are never dropped. All lines are reduced to
 hashes first (one narrow row a line, cut by a checkpoint); tokens are read again only
 for leaves that hold several distinct lines and occur ``min_docs`` times. Supports are
@@ -37,13 +42,24 @@ MIN_TOKENS = 3
 MIN_DOCS = 4
 SIMILARITY = 0.7
 WILDCARD = "<*>"
+#: Constant tokens that a template has at least, besides half of its tokens.
+MIN_CONSTANT = 2
 #: A token with a digit in it.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 
 
+def _constant(token: Column) -> Column:
+    return (token != WILDCARD) & token.rlike(r"\p{L}")
+
+
+def _enough(constants: Column, size: Column) -> Column:
+    return (constants >= MIN_CONSTANT) & (2 * constants >= size)
+
+
 def tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, WILDCARD)).otherwise(line)
-    return words(masked)
+    masked = lambda: words(F.regexp_replace(line, VARIABLE, WILDCARD))
+    return F.when(line.rlike("[0-9]"), bind(masked(), lambda t: F.when(
+        _enough(F.size(F.filter(t, _constant)), F.size(t)), t).otherwise(words(line)))).otherwise(words(line))
 
 
 def _leaf(t: Column) -> Column:
@@ -91,7 +107,7 @@ def _placed(lines: DataFrame, min_docs: int, similarity: float) -> tuple[DataFra
     # One entry a position at most, so the map is as long as a line.
     size = F.size("tokens")
     same = F.filter("tokens", lambda t, i: (i < DEPTH) | F.col("kept")[i].eqNullSafe(t))
-    alike = F.size("same") >= similarity * size
+    alike = (F.size("same") - DEPTH >= F.round(similarity * (size - DEPTH), 9)) & _enough(F.size(F.filter("same", _constant)), size)
     judged = checkpointed(lines.join(kept, "group", "left").withColumn("same", same)
                           .select("group", "line", "times", "tokens", alike.alias("member")))
     members = judged.where("member").select(F.col("line").alias("m_line"), F.xxhash64("group", F.lit(1)).alias("m_template"))

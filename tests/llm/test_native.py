@@ -343,3 +343,10 @@ def test_lines_several_templates_in_a_leaf(spark):
                 f"Click here to x{name(n)} y{name(n)} z{name(n)} u{name(n)} v{name(n)}") for n in range(50)]
     docs += [(100 + n, f"Click here to p{name(n)} q{name(n)} about r{name(n)} s{name(n)}") for n in range(120)]
     assert dropped_lines(spark, docs) == {(n, i) for n in range(1, 50) for i in (0, 1)}
+
+
+def test_lines_short_and_numeric_ones_stay(spark):
+    """Differing short lines and rows of numbers stay; equal ones and long notices with numbers go."""
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    docs = [(n, f"It was a {name(n)}\n{n} {7 * n} {n + 93}\n| {n} | {n * n} |\n12 7 93\nPage {n} of the report") for n in range(20)]
+    assert dropped_lines(spark, docs) == {(n, i) for n in range(1, 20) for i in (3, 4)}
