@@ -1,7 +1,9 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, as sets of words. A template is found in every block
-that holds at least ``threshold`` of its words (containment). Words are ordered by
+Blocks are the lines of a text, as sets of words, and for notices wrapped over lines also
+the words around every line end, as many on either side as the template has: a notice
+wrapped at any width lies in the block of each line end inside it. A template is found in
+every block that holds at least ``threshold`` of its words (containment). Words are ordered by
 their frequency over all blocks, rarest first; a template is indexed only under its
 prefix of ``size - need + 1`` words, because a block that holds ``need`` of its words
 must hold one of those. The join is an equi-join on that word; the length filter drops
@@ -9,8 +11,9 @@ blocks with fewer than ``need`` template words, and the positional filter drops
 whose remaining words can't reach ``need`` any more. Survivors are verified exactly.
 
 The templates are a fixed, short list, so their words (counted in one aggregate, at
-most one row a word) and the prefix index are bounded; the index is broadcast. Texts
-are never shuffled: only matches and narrow rows are.
+most one row a word) and the prefix index are bounded; the index is broadcast. Line ends
+are looked at only in texts that hold a prefix word. Texts are never shuffled: only
+matches and narrow rows are.
 
 Phrases (the base labels) are searched as runs of consecutive words in whole texts.
 
@@ -50,6 +53,8 @@ THRESHOLD = 0.9
 
 #: Separators of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` words in a text that is not lower-cased yet.
 SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same without the line end.
+_NO_LINE_SEP = SEP.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F")
 _EDGE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
@@ -89,10 +94,38 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str],
     return lines.select("doc_id", "text_key", F.array_distinct(known).alias("found")).where(F.size("found") >= need)
 
 
+def _line_ends(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], prefix: list[str], need: int,
+               side: int) -> DataFrame:
+    """(doc_id, text_key, before, after, found): the words around every line end that hold a ``prefix`` word."""
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    some = rf"(?<!{_EDGE})(?:{'|'.join(prefix)})(?!{_EDGE})"
+    # A line end (with the blank lines that follow it) is an item of its own between the words.
+    items = F.array_remove(F.split(F.regexp_replace(text, rf"(?:{SEP})?\n(?:{SEP})?", " \n "), _NO_LINE_SEP), "")
+    is_word = lambda w: w != "\n"
+
+    def around(w: Column) -> Column:
+        ends = F.filter(F.transform(w, lambda x, i: F.when(x == "\n", i)), lambda i: i.isNotNull())
+        # Words and line ends alternate at worst, so twice as many items hold ``side`` words.
+        before = lambda i: F.filter(F.slice(w, F.greatest(i + 1 - 2 * side, F.lit(1)), F.least(i, F.lit(2 * side))), is_word)
+        after = lambda i: F.filter(F.slice(w, i + 2, 2 * side), is_word)
+        return F.transform(ends, lambda i: F.struct(F.reverse(before(i)).alias("before"), after(i).alias("after")))
+
+    texts = docs.where(text.contains("\n") & text.rlike(some)).select(
+        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.inline(bind(items, around)))
+    near = F.concat(F.slice("before", 1, side), F.slice("after", 1, side))
+    found = F.array_distinct(F.filter(near, lambda w: w.isin(vocabulary)))
+    return texts.select("*", found.alias("found")).where(F.size("found") >= need)
+
+
 def find_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(l_id, l_key, template, label, overlap, size): every block and template that meet the threshold."""
+                   templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+                   wrapped: bool = False) -> DataFrame:
+    """(l_id, l_key, template, label, overlap, size): every block and template that meet the threshold.
+
+    Blocks are lines, and with ``wrapped`` the words around line ends too.
+    """
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    lengths = [len(text.split()) for _, text in templates]
     need = {n: ceil(round(threshold * len(s), 9)) for n, (_, s) in enumerate(sets)}
     vocabulary = sorted({w for _, s in sets for w in s})
     spark = docs.sparkSession
@@ -105,26 +138,37 @@ def find_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = []
     for n, (label, s) in enumerate(sets):
         by_rank = sorted(s, key=place.__getitem__)
-        index += [(w, n, label, by_rank, i, need[n]) for i, w in enumerate(by_rank[: len(s) - need[n] + 1])]
+        index += [(w, n, label, by_rank, i, need[n], lengths[n]) for i, w in enumerate(by_rank[: len(s) - need[n] + 1])]
     prefixes = spark.createDataFrame(index, "word string, template int, label string, words array<string>, "
-                                            "t_pos int, need int")
-    ranked = blocks.withColumn("found", F.array_intersect(F.array(*map(F.lit, order)), F.col("found")))
-    pairs = (ranked.select("*", F.posexplode("found").alias("b_pos", "word"))
-             .join(F.broadcast(prefixes), "word")
-             .where(F.size("found") >= F.col("need")))
-    earlier = F.size(F.array_intersect(F.slice("found", F.lit(1), F.col("b_pos")), F.col("words")))
-    left = F.least(F.size("words") - F.col("t_pos"), F.size("found") - F.col("b_pos"))
-    overlap = F.size(F.array_intersect("found", "words"))
-    return (pairs.where((earlier == 0) & (left >= F.col("need")))  # from the first shared word on
-            .select(F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key"), "template", "label", "need",
-                    overlap.alias("overlap"), F.size("words").alias("size"))
-            .where(F.col("overlap") >= F.col("need")).drop("need"))
+                                            "t_pos int, need int, length int")
+
+    def joined(held: DataFrame) -> DataFrame:
+        ranked = held.withColumn("found", F.array_intersect(F.array(*map(F.lit, order)), F.col("found")))
+        pairs = (ranked.select("*", F.posexplode("found").alias("b_pos", "word"))
+                 .join(F.broadcast(prefixes), "word")
+                 .where(F.size("found") >= F.col("need")))
+        earlier = F.size(F.array_intersect(F.slice("found", F.lit(1), F.col("b_pos")), F.col("words")))
+        left = F.least(F.size("words") - F.col("t_pos"), F.size("found") - F.col("b_pos"))
+        return pairs.where((earlier == 0) & (left >= F.col("need")))  # from the first shared word on
+
+    def matched(pairs: DataFrame, held: Column) -> DataFrame:
+        return (pairs.select(F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key"), "template", "label", "need",
+                             F.size(F.array_intersect(held, F.col("words"))).alias("overlap"), F.size("words").alias("size"))
+                .where(F.col("overlap") >= F.col("need")).drop("need"))
+
+    out = matched(joined(blocks), F.col("found"))
+    if wrapped:
+        ends = _line_ends(docs, id_col, text_col, vocabulary, sorted({x[0] for x in index}), min(need.values()), max(lengths))
+        # As many words on either side as this template has, not the longest.
+        near = F.concat(F.slice(F.col("before"), F.lit(1), F.col("length")), F.slice(F.col("after"), F.lit(1), F.col("length")))
+        out = out.unionByName(matched(joined(ends), near))
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: phrase places, base labels, all labels and the best containment as score."""
-    found = (find_templates(docs, id_col, text_col, templates, threshold)
+    found = (find_templates(docs, id_col, text_col, templates, threshold, wrapped=True)
              .groupBy("l_id", "l_key").agg(F.collect_set("label").alias("more"),
                                            F.max(F.col("overlap") / F.col("size")).alias("best")))
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),

@@ -171,6 +171,27 @@ def test_license_join_is_exact(spark):
     assert got == want and want
 
 
+def test_license_wrapped_notices(spark):
+    """Notices wrapped at any width, with comment marks, are found as on one line; other words around aren't."""
+    import textwrap
+    heads = [("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"),
+             ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
+             ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU GPL "
+                     "General Public License as published")]
+    docs, want = [], {}
+    for label, head in heads:
+        for width in (1, 12, 25, 40, 80, 400):
+            for mark in ("", " * ", "# "):
+                lines = ["plain words before", *textwrap.wrap(head, width, break_long_words=False), "and after them"]
+                want[len(docs)] = label
+                docs.append((len(docs), ("\r\n" if mark else "\n").join(mark + x for x in lines)))
+    scattered = "\n".join(f"{w} " + " ".join(f"x{i}" for i in range(40)) for w in heads[0][1].split())
+    docs += [(1000, scattered), (1001, "redistribution and use in source\nand binary forms"), (1002, "\n\n\n"), (1003, None)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: label in got[d].labels.split(",") for d, label in want.items()} == dict.fromkeys(want, True)
+    assert all(got[d].score >= 0.9 for d in want) and all(got[d].labels == "" and got[d].score == 0 for d in range(1000, 1004))
+
+
 # personal data
 
 def check_private(pairs, got):
