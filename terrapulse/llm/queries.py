@@ -18,7 +18,7 @@ def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return span_dedup.dedup_spans(docs).select("doc_id", "text", "span_dedup.*")
+    return span_dedup.dedup_spans(docs, whole=True).select("doc_id", "text", "span_dedup.*")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

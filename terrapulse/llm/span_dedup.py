@@ -3,6 +3,12 @@
 A text is cut after sentence ends and line ends; the pieces concatenate to the text.
 From every sentence on, the shortest run of at least ``span`` sentences and ``min_words``
 words is hashed (128 bits, over the words), so that short sentences don't meet by chance.
+With ``whole``, as in the registered query, every repeated passage of over 50 words loses its
+later copies, but for some words at its edges: runs that end at each sentence are hashed too (shortest
+backwards, where no run from a sentence on ends there); sentences of over ``LONG`` words are cut further at
+content-defined places (the largest word hash of every ``WINDOW`` words), and so are texts
+without blanks, whose characters count as words; runs of at least ``span`` such pieces
+and ``LONG_RUN`` words, one of them of a cut sentence, are hashed as well.
 The occurrence with the smallest (doc_id, position) is the first one; sentences covered
 by any other occurrence are removed.
 
@@ -27,48 +33,120 @@ SPAN = 2
 MIN_WORDS = 10
 #: Zero-width places after a sentence end and its blank, or after a line end.
 BREAK = r"(?<=[.!?][\x20\x09\r])|(?<=\n)"
+#: Words up to which a sentence isn't cut, words a cut looks over, and words of a run of cut sentences:
+#: 51 common words hold such a run, or one of two sentences, wherever they begin.
+LONG = 16
+WINDOW = 16
+LONG_RUN = 20
+#: Characters of scripts without blanks, and their sentence ends.
+_DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_DENSE_END = "(?<=[\u3002\uff01\uff1f])"
+_BLANK = r"\x20\x09-\x0D"
 
 
 def pieces(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK, -1), "")
 
 
+def _words(text: Column) -> Column:
+    """Words, and with scripts without blanks their characters."""
+    return F.when(text.rlike(f"[{_DENSE}]"), F.regexp_extract_all(text, F.lit(f"[{_DENSE}]|[^{_BLANK}{_DENSE}]+"), 0)).otherwise(words(text))
+
+
+def _cut(sentence: Column) -> Column:
+    """The parts of a long sentence: each ends at the last of the largest word hashes of some ``WINDOW`` words."""
+    parts = F.split(sentence, f"(?<=[{_BLANK}])(?=[^{_BLANK}])|(?<=[{_DENSE}])(?=[^{_BLANK}])|(?<=[^{_BLANK}])(?=[{_DENSE}])", -1)
+
+    def at(p: Column) -> Column:
+        ranked = F.transform(p, lambda x, i: F.struct(F.xxhash64(F.regexp_replace(x, f"[{_BLANK}]+", "")).alias("h"), i.alias("i")))
+        ends = bind(ranked, lambda r: F.array_distinct(F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(r) - WINDOW, F.lit(0))), lambda j: F.array_max(F.slice(r, j + 1, WINDOW))["i"])))
+        last = F.size(p) - 1
+        return bind(ends, lambda e: bind(F.array_union(e, F.array(last)), lambda e: F.transform(
+            e, lambda x, k: bind(F.when(k > 0, F.get(e, k - 1)).otherwise(-1), lambda before: F.array_join(F.slice(p, before + 2, x - before), "")))))
+
+    return bind(parts, at)
+
+
+def _parts(text: Column) -> Column:
+    """Pieces of ``whole``: array of (text, number in its sentence, parts of the sentence, sentence at its first part)."""
+    every = F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{BREAK}|{_DENSE_END}", -1), "")
+
+    def of(p: Column) -> Column:
+        cut = F.when(F.size(_words(p)) > LONG, _cut(p)).otherwise(F.array(p))
+        return bind(cut, lambda a: F.transform(a, lambda x, k: F.struct(
+            x.alias("text"), k.alias("k"), F.size(a).alias("m"), F.when(k == 0, p).alias("all"))))
+
+    return F.flatten(F.transform(every, of))
+
+
+def _hashed(text: Column, of, first: Column, last: Column, cut: Column) -> Column:
+    return bind(of(text), lambda w: F.struct(
+        first.alias("i"), last.alias("e"), F.size(w).alias("n"), cut.alias("cut"),
+        F.struct(F.xxhash64(w).alias("h"), F.xxhash64(F.lit(1), w).alias("g")).alias("u")))
+
+
 def sentences(text: Column) -> Column:
-    """Pieces that hold a word: array of (piece number, words, two hashes of them)."""
-    hashed = F.transform(pieces(text), lambda p, i: bind(
-        words(p), lambda w: F.struct(i.alias("i"), F.size(w).alias("n"),
-                                     F.struct(F.xxhash64(w).alias("h"), F.xxhash64(F.lit(1), w).alias("g")).alias("u"))))
-    return F.filter(hashed, lambda s: s["n"] > 0)
+    """Pieces that hold a word: array of (piece number twice, words, not cut, two hashes of them)."""
+    return F.filter(F.transform(pieces(text), lambda p, i: _hashed(p, words, i, i, F.lit(False))), lambda s: s["n"] > 0)
 
 
-def runs(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int) -> DataFrame:
+def runs(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int, whole: bool = False) -> DataFrame:
     """(doc_id, text_key, start, end, h, g): runs by the piece numbers they begin and end with."""
-    enough = lambda a: (a["k"] >= span) & (a["n"] >= min_words)
-
-    def longer(acc: Column, x: Column) -> Column:
-        more = F.struct((acc["k"] + 1).alias("k"), (acc["n"] + x["n"]).alias("n"))
-        return F.when(enough(acc), acc).otherwise(more)
 
-    def run(s: Column, u: Column, i: Column) -> Column:
+    def windows(s: Column, at_least: int, both: bool, only_cut: bool) -> Column:
+        enough = lambda a: (a["k"] >= span) & (a["n"] >= at_least)
         # A sentence has a word at least, so no run needs more sentences than this.
-        ahead = F.slice(s, i + 1, F.lit(max(span, min_words)))
-        size = F.aggregate(ahead, F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")), longer)
-        return bind(size, lambda z: bind(F.slice(u, i + 1, z["k"]), lambda part: F.when(enough(z), F.struct(
-            F.get(s, i)["i"].alias("start"), F.get(s, i + z["k"] - 1)["i"].alias("end"),
-            F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g")))))
+        most = max(span, at_least)
+
+        def longer(acc: Column, x: Column) -> Column:
+            more = F.struct((acc["k"] + 1).alias("k"), (acc["n"] + x["n"]).alias("n"))
+            return F.when(enough(acc), acc).otherwise(more)
+
+        def size(part: Column) -> Column:
+            return F.aggregate(part, F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")), longer)
+
+        def hashed(u: Column, i: Column, k: Column) -> Column:
+            return bind(F.slice(u, i + 1, k), lambda part: F.struct(
+                F.get(s, i)["i"].alias("start"), F.get(s, i + k - 1)["e"].alias("end"),
+                F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g")))
+
+        def wanted(i: Column, k: Column) -> Column:
+            return F.exists(F.slice(s, i + 1, k), lambda x: x["cut"]) if only_cut else F.lit(True)
+
+        def run(u: Column, i: Column) -> Column:
+            return bind(size(F.slice(s, i + 1, F.lit(most))), lambda z: F.when(enough(z) & wanted(i, z["k"]), hashed(u, i, z["k"])))
+
+        def run_back(u: Column, j: Column) -> Column:
+            begin = F.greatest(j + 2 - most, F.lit(1))
+            z = size(F.reverse(F.slice(s, begin, j + 2 - begin)))
+            # Without its last sentence it is still a run: else the run from its first sentence on is the same.
+            more = lambda z: (z["k"] > span) & (z["n"] - F.get(s, j)["n"] >= at_least)
+            return bind(z, lambda z: F.when(enough(z) & more(z) & wanted(j + 1 - z["k"], z["k"]), hashed(u, j + 1 - z["k"], z["k"])))
+
+        def found(u: Column) -> Column:
+            forth = F.transform(s, lambda _, i: run(u, i))
+            return F.filter(F.concat(forth, F.transform(s, lambda _, j: run_back(u, j))) if both else forth, lambda x: x.isNotNull())
+
+        return bind(F.transform(s, lambda x: x["u"]), found)
 
-    def windows(s: Column) -> Column:
-        return bind(F.transform(s, lambda x: x["u"]), lambda u: F.filter(
-            F.transform(s, lambda _, i: run(s, u, i)), lambda x: x.isNotNull()))
+    def every(parts: Column) -> Column:
+        held = lambda a: F.filter(a, lambda s: s["n"] > 0)
+        plain = F.transform(parts, lambda x, i: F.when(x["k"] == 0, _hashed(x["all"], _words, i, i + x["m"] - 1, F.lit(False))))
+        small = F.transform(parts, lambda x, i: _hashed(x["text"], _words, i, i, x["m"] > 1))
+        of_long = F.when(F.exists(parts, lambda x: x["m"] > 1), bind(held(small), lambda s: windows(s, max(LONG_RUN, min_words), True, True)))
+        of_all = bind(held(plain), lambda s: windows(s, min_words, True, False))
+        return F.when(of_long.isNull(), of_all).otherwise(F.concat(of_all, of_long))
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
-                       F.inline(bind(sentences(F.col(text_col)), windows)))
+    text = F.col(text_col)
+    found = bind(_parts(text), every) if whole else bind(sentences(text), lambda s: windows(s, min_words, False, False))
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), F.inline(found))
 
 
 def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
-                    min_words: int = MIN_WORDS) -> DataFrame:
+                    min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """(r_id, r_key, removed): the piece numbers of a document that a non-first repeated span covers."""
-    every = runs(docs, id_col, text_col, span, min_words)
+    every = runs(docs, id_col, text_col, span, min_words, whole)
     place = F.struct("doc_id", "text_key", "start")
     # Cut here, so that the join below shuffles both sides and a hot span can be split.
     ends = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -81,19 +159,20 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
-                min_words: int = MIN_WORDS) -> DataFrame:
+                min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """``docs`` with the text cleaned, and a struct column ``span_dedup`` (n_pieces, n_removed, removed)."""
     key, info = fresh(docs, "text_key"), fresh(docs, "span_dedup")
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
-    gone = repeated_pieces(docs, id_col, text_col, span, min_words)
+    gone = repeated_pieces(docs, id_col, text_col, span, min_words, whole)
+    split = lambda t: F.transform(_parts(t), lambda x: x["text"]) if whole else pieces(t)
     joined = keyed.join(gone, matches(keyed, gone, {id_col: "r_id", key: "r_key"}), "left")
 
     def rest(p: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("removed"))
         return F.array_join(F.transform(kept, lambda i: F.get(p, i)), "")
 
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(bind(pieces(F.col(text_col)), rest))
+    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(bind(split(F.col(text_col)), rest))
     removed = F.coalesce(F.col("removed"), F.array().cast("array<int>"))
-    stats = F.struct(F.size(pieces(F.col(text_col))).alias("n_pieces"), F.size(removed).alias("n_removed"),
+    stats = F.struct(F.size(split(F.col(text_col))).alias("n_pieces"), F.size(removed).alias("n_removed"),
                      removed.alias("removed"))
     return joined.select(*[text.alias(c) if c == text_col else keyed[c] for c in docs.columns], stats.alias(info))

@@ -145,6 +145,47 @@ def test_spans_empty(odd):
     assert span_dedup.dedup_spans(odd.where("false")).count() == 0
 
 
+def test_spans_whole(spark, odd):
+    """One long sentence, unpunctuated text, text without blanks and last short sentences lose their later copies."""
+    own = lambda d, n: " ".join(f"h{d}w{i}" for i in range(n))
+    passage = " ".join(f"p{i % 37}q{i}" for i in range(80))
+    dense = "".join(chr(0x4E00 + (i * i * 7 + i) % 900) for i in range(200))
+    a, b, c = " ".join(f"a{i}" for i in range(11)) + " end.", "b one two.", "c one two."
+    docs = [(0, f"{own(0, 30)}. {passage}. {own(100, 25)}."), (1, f"{own(1, 30)}. {passage}. {own(101, 25)}."),
+            (2, f"{own(2, 40)} {passage} {own(102, 33)}"), (3, passage + "."), (4, own(4, 20)), (5, own(4, 20)),
+            (6, f"{dense}"), (7, f"x{chr(0x5F00)}{dense}"), (8, f"{own(8, 12)}. {a} {b} {c} {own(108, 12)}."),
+            (9, f"{own(9, 12)}. {a} {b} {c} {own(109, 12)}."), (10, None), (11, "")]
+    got = {r.doc_id: r for r in span_dedup.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string"), whole=True).collect()}
+    text = {d: r.text for d, r in got.items()}
+    assert all(text[d] == t for d, t in docs if d in (0, 4, 6, 8, 10, 11))
+    assert text[1] == f"{own(1, 30)}. {own(101, 25)}." and text[3] == "" and text[5] == ""
+    assert own(2, 40) in text[2] and own(102, 33) in text[2] and sum(w in text[2].split() for w in passage.split()) <= 2 * span_dedup.WINDOW
+    assert len(text[7]) <= 2 * span_dedup.WINDOW and text[9] == f"{own(9, 12)}. {own(109, 12)}."
+    old = {(r.doc_id, r.n): r.text for r in span_dedup.dedup_spans(odd.withColumnRenamed("n_words", "n")).collect()}
+    for r in span_dedup.dedup_spans(odd.withColumnRenamed("n_words", "n"), whole=True).collect():
+        assert r.text is None and old[r.doc_id, r.n] is None or len(r.text) <= len(old[r.doc_id, r.n])
+    assert span_dedup.dedup_spans(odd.where("false"), whole=True).count() == 0
+
+
+def test_spans_whole_leave_no_common_window(spark):
+    """No later document keeps 51 words in a row that an earlier one has, wherever they begin."""
+    import random
+    rng = random.Random(7)
+    hosts = [[f"h{d}w{i}" + rng.choice(["", "", "", "", "", "", "", "", ".", ""]) for i in range(150)] for d in range(40)]
+    shared = [f"s{i}" + ("." if rng.random() < 0.07 else "") for i in range(400)]
+    docs = []
+    for d, h in enumerate(hosts):
+        at, size, cut = rng.randrange(300), rng.randrange(51, 100), rng.randrange(150)
+        docs.append((d, " ".join([*h[:cut], *shared[at:at + size], *h[cut:]])))
+    got = {r.doc_id: r.text for r in span_dedup.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string"), whole=True).collect()}
+    seen = set()
+    for d, text in docs:
+        w, kept = words(text), words(got[d])
+        assert not seen & {tuple(kept[i:i + 51]) for i in range(len(kept) - 50)}
+        assert [x for x in w if x in hosts[d]] == [x for x in kept if x in hosts[d]]
+        seen |= {tuple(w[i:i + 51]) for i in range(len(w) - 50)}
+
+
 # licence scan
 
 def test_license_base(odd):
