@@ -24,6 +24,8 @@ an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,8 @@ LONG = 16
 WINDOW = 16
 LONG_RUN = 20
 #: Characters of scripts without blanks, and their sentence ends.
-_DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_DENSE = (r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+          r"\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}")
 _DENSE_END = "(?<=[\u3002\uff01\uff1f])"
 _BLANK = r"\x20\x09-\x0D"
 
@@ -48,32 +51,46 @@ def pieces(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK, -1), "")
 
 
-def _words(text: Column) -> Column:
+def _words(text: Column, dense: bool) -> Column:
     """Words, and with scripts without blanks their characters."""
-    return F.when(text.rlike(f"[{_DENSE}]"), F.regexp_extract_all(text, F.lit(f"[{_DENSE}]|[^{_BLANK}{_DENSE}]+"), 0)).otherwise(words(text))
+    return F.regexp_extract_all(text, F.lit(f"[{_DENSE}]|[^{_BLANK}{_DENSE}]+"), 0) if dense else words(text)
+
+
+def _by_script(text: Column, of) -> Column:
+    """``of(dense)`` by whether a text holds a script without blanks."""
+    return F.when(F.coalesce(text.rlike(f"[{_DENSE}]"), F.lit(False)), of(True)).otherwise(of(False))
+
 
+def _between(a: Column, first: Column, last: Column) -> Column:
+    """Items by number; ``slice`` would copy the whole array each time."""
+    return F.transform(F.sequence(first, last), lambda j: F.get(a, j))
 
-def _cut(sentence: Column) -> Column:
+
+def _cut(sentence: Column, dense: bool) -> Column:
     """The parts of a long sentence: each ends at the last of the largest word hashes of some ``WINDOW`` words."""
-    parts = F.split(sentence, f"(?<=[{_BLANK}])(?=[^{_BLANK}])|(?<=[{_DENSE}])(?=[^{_BLANK}])|(?<=[^{_BLANK}])(?=[{_DENSE}])", -1)
+    borders = f"(?<=[{_BLANK}])(?=[^{_BLANK}])"
+    if dense:
+        borders += f"|(?<=[{_DENSE}])(?=[^{_BLANK}])|(?<=[^{_BLANK}])(?=[{_DENSE}])"
+    parts = F.split(sentence, borders, -1)
 
     def at(p: Column) -> Column:
-        ranked = F.transform(p, lambda x, i: F.struct(F.xxhash64(F.regexp_replace(x, f"[{_BLANK}]+", "")).alias("h"), i.alias("i")))
+        # A hash with the place in its last 32 bits.
+        ranked = F.transform(p, lambda x, i: F.shiftleft(F.xxhash64(F.translate(x, " \t\n\x0b\x0c\r", "")), 32) + i)
         ends = bind(ranked, lambda r: F.array_distinct(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(r) - WINDOW, F.lit(0))), lambda j: F.array_max(F.slice(r, j + 1, WINDOW))["i"])))
+            F.sequence(F.lit(0), F.greatest(F.size(r) - WINDOW, F.lit(0))), lambda j: F.greatest(*[F.get(r, j + d) for d in range(WINDOW)]).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))))
         last = F.size(p) - 1
         return bind(ends, lambda e: bind(F.array_union(e, F.array(last)), lambda e: F.transform(
-            e, lambda x, k: bind(F.when(k > 0, F.get(e, k - 1)).otherwise(-1), lambda before: F.array_join(F.slice(p, before + 2, x - before), "")))))
+            e, lambda x, k: bind(F.when(k > 0, F.get(e, k - 1)).otherwise(-1), lambda before: F.array_join(_between(p, before + 1, x), "")))))
 
     return bind(parts, at)
 
 
-def _parts(text: Column) -> Column:
+def _parts(text: Column, dense: bool) -> Column:
     """Pieces of ``whole``: array of (text, number in its sentence, parts of the sentence, sentence at its first part)."""
-    every = F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{BREAK}|{_DENSE_END}", -1), "")
+    every = F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{BREAK}|{_DENSE_END}" if dense else BREAK, -1), "")
 
     def of(p: Column) -> Column:
-        cut = F.when(F.size(_words(p)) > LONG, _cut(p)).otherwise(F.array(p))
+        cut = F.when(F.size(_words(p, dense)) > LONG, _cut(p, dense)).otherwise(F.array(p))
         return bind(cut, lambda a: F.transform(a, lambda x, k: F.struct(
             x.alias("text"), k.alias("k"), F.size(a).alias("m"), F.when(k == 0, p).alias("all"))))
 
@@ -95,51 +112,45 @@ def runs(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int,
     """(doc_id, text_key, start, end, h, g): runs by the piece numbers they begin and end with."""
 
     def windows(s: Column, at_least: int, both: bool, only_cut: bool) -> Column:
-        enough = lambda a: (a["k"] >= span) & (a["n"] >= at_least)
         # A sentence has a word at least, so no run needs more sentences than this.
         most = max(span, at_least)
 
-        def longer(acc: Column, x: Column) -> Column:
-            more = F.struct((acc["k"] + 1).alias("k"), (acc["n"] + x["n"]).alias("n"))
-            return F.when(enough(acc), acc).otherwise(more)
-
-        def size(part: Column) -> Column:
-            return F.aggregate(part, F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")), longer)
+        def shortest(i: Column, step: int) -> Column:
+            """Sentences of the shortest run from ``i`` on, or backwards; null if there is none."""
+            # Numbers before 0 or after the last have no item, and the sum is null.
+            sizes = [F.get(s, i + step * d)["n"] for d in range(most)]
+            return F.coalesce(*[F.when(reduce(Column.__add__, sizes[:k]) >= at_least, k) for k in range(span, most + 1)])
 
-        def hashed(u: Column, i: Column, k: Column) -> Column:
-            return bind(F.slice(u, i + 1, k), lambda part: F.struct(
+        def run(u: Column, i: Column, k: Column) -> Column:
+            wanted = F.exists(F.sequence(i, i + k - 1), lambda j: F.get(s, j)["cut"]) if only_cut else F.lit(True)
+            return F.when(k.isNotNull() & wanted, bind(_between(u, i, i + k - 1), lambda part: F.struct(
                 F.get(s, i)["i"].alias("start"), F.get(s, i + k - 1)["e"].alias("end"),
-                F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g")))
-
-        def wanted(i: Column, k: Column) -> Column:
-            return F.exists(F.slice(s, i + 1, k), lambda x: x["cut"]) if only_cut else F.lit(True)
-
-        def run(u: Column, i: Column) -> Column:
-            return bind(size(F.slice(s, i + 1, F.lit(most))), lambda z: F.when(enough(z) & wanted(i, z["k"]), hashed(u, i, z["k"])))
+                F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g"))))
 
         def run_back(u: Column, j: Column) -> Column:
-            begin = F.greatest(j + 2 - most, F.lit(1))
-            z = size(F.reverse(F.slice(s, begin, j + 2 - begin)))
-            # Without its last sentence it is still a run: else the run from its first sentence on is the same.
-            more = lambda z: (z["k"] > span) & (z["n"] - F.get(s, j)["n"] >= at_least)
-            return bind(z, lambda z: F.when(enough(z) & more(z) & wanted(j + 1 - z["k"], z["k"]), hashed(u, j + 1 - z["k"], z["k"])))
+            # If the run needs its last sentence, the run from its first sentence on is the same.
+            size = lambda k: F.aggregate(F.sequence(j - k + 1, j), F.lit(0), lambda a, x: a + F.get(s, x)["n"])
+            return bind(shortest(j, -1), lambda k: F.when(
+                (k > span) & (size(k) - F.get(s, j)["n"] >= at_least), run(u, j + 1 - k, k)))
 
         def found(u: Column) -> Column:
-            forth = F.transform(s, lambda _, i: run(u, i))
+            forth = F.transform(s, lambda _, i: bind(shortest(i, 1), lambda k: run(u, i, k)))
             return F.filter(F.concat(forth, F.transform(s, lambda _, j: run_back(u, j))) if both else forth, lambda x: x.isNotNull())
 
         return bind(F.transform(s, lambda x: x["u"]), found)
 
-    def every(parts: Column) -> Column:
+    def every(parts: Column, dense: bool) -> Column:
+        of = lambda x: _words(x, dense)
         held = lambda a: F.filter(a, lambda s: s["n"] > 0)
-        plain = F.transform(parts, lambda x, i: F.when(x["k"] == 0, _hashed(x["all"], _words, i, i + x["m"] - 1, F.lit(False))))
-        small = F.transform(parts, lambda x, i: _hashed(x["text"], _words, i, i, x["m"] > 1))
+        plain = F.transform(parts, lambda x, i: F.when(x["k"] == 0, _hashed(x["all"], of, i, i + x["m"] - 1, F.lit(False))))
+        small = F.transform(parts, lambda x, i: _hashed(x["text"], of, i, i, x["m"] > 1))
         of_long = F.when(F.exists(parts, lambda x: x["m"] > 1), bind(held(small), lambda s: windows(s, max(LONG_RUN, min_words), True, True)))
         of_all = bind(held(plain), lambda s: windows(s, min_words, True, False))
         return F.when(of_long.isNull(), of_all).otherwise(F.concat(of_all, of_long))
 
     text = F.col(text_col)
-    found = bind(_parts(text), every) if whole else bind(sentences(text), lambda s: windows(s, min_words, False, False))
+    by_script = lambda dense: bind(_parts(text, dense), lambda parts: every(parts, dense))
+    found = _by_script(text, by_script) if whole else bind(sentences(text), lambda s: windows(s, min_words, False, False))
     return docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), F.inline(found))
 
 
@@ -164,7 +175,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, info = fresh(docs, "text_key"), fresh(docs, "span_dedup")
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
     gone = repeated_pieces(docs, id_col, text_col, span, min_words, whole)
-    split = lambda t: F.transform(_parts(t), lambda x: x["text"]) if whole else pieces(t)
+    split = lambda t: F.transform(_by_script(t, lambda d: _parts(t, d)), lambda x: x["text"]) if whole else pieces(t)
     joined = keyed.join(gone, matches(keyed, gone, {id_col: "r_id", key: "r_key"}), "left")
 
     def rest(p: Column) -> Column:
