@@ -137,5 +137,79 @@ SELECT doc_id, source, size, source_size, target,
 FROM r
 """
 
+
+#: Checksums by the polynomial's 256-entry table, which the query itself derives; the draw by one sort.
+RESAMPLE = rf"""
+WITH RECURSIVE bits(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE k = 8),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SQL_WORD}') AS w,
+         row_number() OVER () AS r FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SQL_WORD}') AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(w) AS word FROM b),
+hashed AS (
+  SELECT word, xor(list_reduce(
+           list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i::BIGINT + 1, 2))::BIGINT),
+           lambda c, x: xor(c >> 8, tab[xor(c, x) % 256 + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)), crc),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS all_s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS all_t),
+g AS (
+  SELECT bucket, floor(ln((coalesce(t, 0)::DOUBLE + 1) * (all_s + 10000) / ((s::DOUBLE + 1) * (all_t + 10000))) * 1000)::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), n),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN hashed USING (word) JOIN g USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+ranked AS (
+  SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place
+  FROM scored)
+SELECT doc_id, n::BIGINT AS n_features, weight, score,
+       CASE WHEN place <= 10 * (SELECT count(*) FROM scored WHERE n >= 20) // 100 THEN place END::BIGINT AS rank
+FROM ranked
+"""
+
+#: Every document through every order, step by step.
+AUDIT = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT row_number() OVER () AS r, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+          'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+          'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS f
+  FROM w LEFT JOIN l USING (doc_id)),
+fails AS (
+  SELECT r, part, good, toxic, letter, CASE letter WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D
+         ELSE f.E END AS fails, f.A::INT + f.B::INT + f.C::INT + f.D::INT + f.E::INT AS n_fails
+  FROM d, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+gone AS (  -- the step at which an order removes a document, 6 if it stays
+  SELECT r, filter_order, min(CASE WHEN fails THEN instr(filter_order, letter) ELSE 6 END) AS place
+  FROM fails, orders GROUP BY ALL),
+rows_ AS (
+  SELECT part, filter_order, instr(filter_order, letter) AS step, letter,
+         count(*) FILTER (place > instr(filter_order, letter)) AS kept,
+         count(*) FILTER (place = instr(filter_order, letter)) AS removed,
+         count(*) FILTER (fails AND place < instr(filter_order, letter)) AS redundant,
+         count(*) FILTER (fails AND n_fails = 1) AS unique_fails,
+         count(*) FILTER (good AND place = instr(filter_order, letter)) AS good_lost,
+         count(*) FILTER (toxic AND place = instr(filter_order, letter)) AS toxic_lost
+  FROM fails JOIN gone USING (r) GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM rows_
+"""
+
 LICENSE = _license()
 PII = _pii()

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrapulse.llm import (hilbert_ann, license_scan, line_templates, mixing, oracles, packing, pii, probminhash,
-                            quality_llr, span_dedup, trie_tokens)
+from terrapulse.llm import (filter_audit, hilbert_ann, language_id, license_scan, line_templates, mixing, oracles,
+                            packing, pii, probminhash, quality_llr, resampling, span_dedup, trie_tokens)
 from terrapulse.llm.common import read
 
 
@@ -55,14 +55,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, read(spark, sf_dir, "labels"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "language.*")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_llr, op2_span_dedup, op3_license_scan, op4_pii, op5_hilbert_ann, op6_source_mix, op7_line_templates,
-    op8_trie_tokens, op9_probminhash, op10_packing, pipeline)}
+    op8_trie_tokens, op9_probminhash, op10_packing, op11_resample, op12_filter_audit, op13_language_id, pipeline)}
 
-ORACLES = {"op3_license_scan": oracles.LICENSE, "op4_pii": oracles.PII, "op6_source_mix": oracles.MIX}
+ORACLES = {"op3_license_scan": oracles.LICENSE, "op4_pii": oracles.PII, "op6_source_mix": oracles.MIX,
+           "op11_resample": oracles.RESAMPLE, "op12_filter_audit": oracles.AUDIT}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
