@@ -11,6 +11,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
+
 
 @dataclass
 class Entry:
@@ -22,6 +24,21 @@ class Entry:
 
 REGISTRY: dict[str, Entry] = {}
 
+#: Stands in an oracle's SQL for the folder of published node tables.
+PUBLISHED = "@published@"
+
+
+def oracles(spark: SparkSession | None) -> dict[str, str]:
+    """Oracle SQL by query. What needs a published table is left out where its folder can't be known or read."""
+    folder = None
+    if spark is not None:
+        path = scratch_path(spark, "published")
+        folder = path.removeprefix("file://").removeprefix("file:")
+    known = {name: e.sql for name, e in load_all().items() if e.sql and (folder is not None or PUBLISHED not in e.sql)}
+    if folder is not None and "://" in folder:
+        known = {name: sql for name, sql in known.items() if PUBLISHED not in sql}
+    return {name: sql.replace(PUBLISHED, folder or "") for name, sql in known.items()}
+
 
 def query(name: str, ids: str, sql: str | None = None):
     def deco(fn):
@@ -33,7 +50,7 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 MODULES = ["queries_forest", "queries_urban", "queries_climate", "queries_matching",
-           "queries_stats", "queries_text", "queries_payloads", "queries_report", "queries_ml",
+           "queries_stats", "queries_text", "queries_payloads", "queries_ml", "queries_report",
            "queries_stream"]
 
 

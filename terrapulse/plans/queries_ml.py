@@ -1,7 +1,9 @@
 """Model queries.
 
-A tree's outputs aren't SQL; what SQL can state is checked: which models there are,
-how many rows each was tested on, and that every metric lies in its range.
+Growing trees isn't SQL; what SQL can state of a training run is checked: which models there
+are, how many rows each was tested on, and that every metric lies in its range. What
+a fitted model says is: its node table is published to the shared folder (``catalog.PUBLISHED``
+in the SQL below), and SQL walks the trees on its own features.
 """
 
 from __future__ import annotations
@@ -9,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..ml import domains, models
+from ..ml import domains, models, nodes
 from ..ml.split import stratified_split
 from . import oracle_views as ov
-from .catalog import query
+from .catalog import PUBLISHED, query
 from .queries_climate import DROUGHT_SQL, WEEKLY_SQL
 from .queries_urban import urban_features_sql
 
@@ -77,18 +79,22 @@ def q_urban_model_eval(spark, d):
     return _eval(spark, d, "urban")
 
 
-@query("crop_feature_importances", "A12", sql="""
-SELECT CAST(r AS INTEGER) AS rank, TRUE AS known_feature, TRUE AS in_range, TRUE AS sorted FROM range(1, %d) t(r)"""
-       % (min(10, len(domains.CROP_FEATURES)) + 1))
+def _nodes_sql(domain: str, model: str) -> str:
+    return f"nodes AS (SELECT * FROM read_parquet('{PUBLISHED}/{domain}/*.parquet') WHERE model = '{model}')"
+
+
+@query("crop_feature_importances", "A12", sql="WITH " + _nodes_sql("crop", "crop_yield_predictor") + f""",
+g AS (SELECT tree, feature, SUM(gain * n) AS g FROM nodes WHERE "left" >= 0 GROUP BY ALL),
+s AS (SELECT feature, g / SUM(g) OVER (PARTITION BY tree) AS s FROM g),
+f AS (SELECT feature, SUM(s) AS s FROM s GROUP BY feature),
+i AS (SELECT feature, COALESCE(s, 0) / SUM(s) OVER () AS importance FROM (SELECT unnest({domains.CROP_FEATURES}) AS feature) LEFT JOIN f USING (feature))
+SELECT feature, ROUND(importance, 9) AS importance FROM i ORDER BY i.importance DESC, feature LIMIT 10""")
 def q_crop_feature_importances(spark, d):
-    """Ranks of the ten largest importances, and whether each is a share of a known feature in order."""
-    f = domains.models_of(spark, d, "crop")["crop_yield_predictor"]
-    top = models.top_importances(spark, f["model"], domains.CROP_FEATURES, 10)
-    rows = [(r["feature"], r["importance"]) for r in top.collect()]  # at most ten
-    falling = [v for _, v in rows] == sorted((v for _, v in rows), reverse=True)
-    return spark.createDataFrame([(n + 1, name in domains.CROP_FEATURES, 0.0 <= v <= 1.0, falling)
-                                  for n, (name, v) in enumerate(rows)],
-                                 "rank INT, known_feature BOOLEAN, in_range BOOLEAN, sorted BOOLEAN")
+    """The ten features that the crop model's trees gain most by."""
+    f = domains.trained(spark, d, "crop")
+    domains.publish(spark, f, "crop")
+    top = nodes.importances(f["_nodes"].where("model = 'crop_yield_predictor'"), domains.CROP_FEATURES)
+    return top.orderBy(F.desc("importance"), "feature").limit(10).select("feature", F.round("importance", 9).alias("importance"))
 
 
 @query("model_readiness", "S18", sql="SELECT model, TRUE AS ready FROM "
@@ -111,16 +117,37 @@ def q_stratified_split_sizes(spark, d):
                                  F.sum("n").alias("sum_n"))
 
 
-@query("forest_batch_scoring", "M9 M10", sql=ov.with_(ov.STATE_PANEL) + """
-SELECT state, CAST(MAX(year) AS DOUBLE) AS year, TRUE AS code_ok, TRUE AS confidence_ok FROM state_panel GROUP BY state""")
+def _forest_scores_sql() -> str:
+    names = domains.FOREST_FEATURES
+    values = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0)" for c in names)
+    return "WITH RECURSIVE " + ov.FOREST_FEATURES + f""",
+{_nodes_sql("forest", "forest_alert_model")},
+enc AS (SELECT state, ROW_NUMBER() OVER (ORDER BY state) - 1 AS state_enc FROM (SELECT DISTINCT state FROM forest_features)),
+latest AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY state ORDER BY year DESC) AS rn FROM forest_features) WHERE rn = 1),
+vals AS (SELECT state, unnest({names}) AS feature, unnest([{values}]) AS v FROM latest JOIN enc USING (state)),
+walk(state, tree, node) AS (
+  SELECT state, tree, 0 FROM latest, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL
+  SELECT w.state, w.tree, CASE WHEN v.v <= n.threshold THEN n."left" ELSE n."right" END
+  FROM walk w JOIN nodes n ON w.tree = n.tree AND w.node = n.node JOIN vals v ON v.state = w.state AND v.feature = n.feature
+  WHERE n."left" >= 0),
+leaves AS (SELECT w.state, n.counts FROM walk w JOIN nodes n ON w.tree = n.tree AND w.node = n.node WHERE n."left" < 0),
+votes AS (SELECT state, unnest(range(len(counts))) AS code, unnest(counts) / list_sum(counts) AS p FROM leaves),
+probs AS (SELECT state, code, SUM(p) / (SELECT COUNT(DISTINCT tree) FROM nodes) AS p FROM votes GROUP BY 1, 2)
+SELECT state, CAST(year AS DOUBLE) AS year, CAST(code AS INTEGER) AS alert_code, ROUND(100 * p, 6) AS confidence
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY state ORDER BY ROUND(p, 12) DESC, code) AS r FROM probs) JOIN latest USING (state) WHERE r = 1"""
+
+
+@query("forest_batch_scoring", "M9 M10", sql=_forest_scores_sql())
 def q_forest_batch_scoring(spark, d):
-    """Score the latest year of every state with the fitted alert model; the predicted
-    class is one of the four levels and its confidence a percentage."""
+    """The alert level of every state's latest year and its confidence, by the alert model's node table."""
     from ..operators import panels, topk
-    fitted = domains.models_of(spark, d, "forest")
-    data = domains.forest_rows(spark, d, domains.encoders(spark, d, "forest"))
+    fitted = domains.trained(spark, d, "forest")
+    domains.publish(spark, fitted, "forest")
+    data = domains.forest_rows(spark, d, fitted["_encoders"])
     latest = domains.forest_features_of(panels.latest_n(data, "state", "year", 1).drop("rank"))
-    scored = models.score(fitted["forest_alert_model"]["model"], latest, "alert", classifier=True)
-    code = F.col("alert_pred").cast("int")
-    return scored.select("state", "year", code.between(0, 3).alias("code_ok"),
-                         topk.confidence_of("alert_probs", code).between(0, 100).alias("confidence_ok"))
+    alert = fitted["_nodes"].where("model = 'forest_alert_model'")
+    scored = nodes.score(latest, alert, domains.FOREST_FEATURES, "alert", classifier=True)
+    code = topk.argmax(F.transform("alert_probs", lambda p: F.round(p, 12)))
+    return scored.select("state", "year", code.alias("alert_code"),
+                         F.round(topk.confidence_of("alert_probs", code), 6).alias("confidence"))

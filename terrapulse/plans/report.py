@@ -11,10 +11,17 @@ Every join is keyed by the area id or is a broadcast of a bounded table (the
 ENSO scalar, the per-state forest snapshot - one row per known state - and
 the per-class vocabularies).  A domain whose model or inputs are missing
 yields a null struct plus an entry in ``errors`` instead of failing the job.
+
+The report never trains: it loads the last committed run of every domain.  ``refresh``
+keeps reports as versions of one table.  A hash of everything an area's row depends on
+(landed inputs, report month, model runs) goes with it; areas whose hash is that of the
+version before are carried over and only the others are scored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +32,7 @@ from ..functions import forest as ff
 from ..functions import urban as fu
 from ..ml import domains
 from ..operators import matching, panels, topk
-from ..sources import bindings, payloads
+from ..sources import bindings, payloads, versions
 from ..sources.tables import table
 
 REPORT_YEAR = 2025
@@ -114,29 +121,75 @@ def stats_avg(c: str) -> Column:
     return F.avg(c)
 
 
-def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
-                   year: int = REPORT_YEAR, month: int = REPORT_MONTH) -> DataFrame:
+def hashed_inputs(inputs: DataFrame, versions_used: dict[str, str], year: int = REPORT_YEAR,
+                  month: int = REPORT_MONTH) -> DataFrame:
+    """``inputs`` with ``inputs_hash``, of all that an area's report depends on."""
+    fixed = [F.lit(year), F.lit(month), F.lit(repr(sorted(versions_used.items())))]
+    # Nulls add nothing to a hash, so every column's presence goes in as well.
+    cols = [x for c in sorted(inputs.columns) for x in (F.col(c), F.col(c).isNull())]
+    return inputs.withColumn("inputs_hash", F.xxhash64(*fixed, *cols))
+
+
+def model_runs(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS) -> dict[str, str]:
+    """The committed model run of every domain that has one."""
+    found = {k: domains.available(spark, d, k) for k in run}
+    return {k: v["_run"] for k, v in found.items() if v}
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def refresh(spark: SparkSession, d: str, base: str, inputs: DataFrame | None = None, run: tuple[str, ...] = DOMAINS,
+            year: int = REPORT_YEAR, month: int = REPORT_MONTH) -> DataFrame:
+    """Brings the versioned report table at ``base`` up to date and returns its last version.
+    ``scored_in`` names the version that scored a row: rows of earlier ones were carried over."""
+    used = model_runs(spark, d, run)
+    inputs = _checkpointed(hashed_inputs(report_inputs(spark, d) if inputs is None else inputs, used, year, month))
+    last, version = versions.latest(spark, base), uuid.uuid4().hex
+    changed, kept = inputs, None
+    if last is not None:
+        keys = ["aoi_id", "inputs_hash"]
+        changed = inputs.join(last.select(*keys), keys, "left_anti")
+        kept = last.join(inputs.select(*keys), keys, "left_semi")
+    scored = unified_report(spark, d, run, year, month, changed).withColumn("scored_in", F.lit(version))
+    versions.write(scored if kept is None else scored.unionByName(kept), base, version)
+    return versions.latest(spark, base)
+
+
+def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS, year: int = REPORT_YEAR,
+                   month: int = REPORT_MONTH, inputs: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
+    """The report of all areas, or of those in ``inputs``.  ``outputs`` are given model outputs by area
+    (columns of ``PLACEHOLDERS``) that stand in for scoring."""
     # Cut the lineage after the input joins: a reliable checkpoint in the shared
     # folder (spark.checkpoint.dir) keeps the scoring plan small and lets a lost
     # executor's work restart from the written inputs instead of the raw scans.
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    base = report_inputs(spark, d).checkpoint(eager=True)
+    given, used = outputs is not None, {}
+    if not given:
+        used = {k: domains.available(spark, d, k) for k in run}
+        run = tuple(k for k in run if used[k])
+    if inputs is None:
+        inputs = hashed_inputs(report_inputs(spark, d), {k: used[k]["_run"] for k in run if not given}, year, month)
+    base = _checkpointed(inputs)
     addr = payloads.reverse_address("addr", fallback=F.col("geo_state"))
     env = payloads.weather_environment("weather_payload")
     df = base.select(
         "aoi_id", "aoi_name", "lat", "lng", "user_email", "geo_state", "mei_index", "live_ndvi",
         addr["city"].alias("city"), F.coalesce(F.col("geo_state"), addr["state"]).alias("state"),
         payloads.is_land("soil").alias("is_land"), payloads.soil_properties("soil").alias("soil"),
-        payloads.elevation("elev").alias("altitude"), env.alias("env"),
+        payloads.elevation("elev").alias("altitude"), env.alias("env"), "inputs_hash",
         F.lit(month).alias("month"), F.lit(year).alias("year"))
     a = "env.aggregate."
-    cur = "env.current."
+    if given:
+        absent = [F.lit(None).cast(t).alias(c) for dom in DOMAINS for c, t in PLACEHOLDERS[dom].items() if c not in outputs.columns]
+        return _assemble(df.join(outputs, "aoi_id", "left").select("*", *absent), run)
 
     # ---- crop (M4 scoring, T2) -------------------------------------------------
     if "crop" in run:
-        cfit = domains.trained(spark, d, "crop")["crop_yield_predictor"]["model"]
-        enc = domains.encoders(spark, d, "crop")
+        cfit = used["crop"]["crop_yield_predictor"]["model"]
+        enc = used["crop"]["_encoders"]
         season = fc.crop_season(F.col("month"))
         df = df.withColumn("_crop_season", season)
         df = _vocab_idx(matching.vocab_of(enc, "state"), F.col("state"), "state_enc", df)
@@ -157,7 +210,7 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
 
     # ---- drought (M6 scoring, F9, F17-F19) --------------------------------------
     if "drought" in run:
-        dfit = domains.trained(spark, d, "drought")
+        dfit = used["drought"]
         enc = fc.cyclic_encode("lat", "lng", "month", digits=6)
         spei = fc.estimate_spei(F.col(a + "precip_week"), F.col(a + "avg_temp"), F.col(a + "humidity"), digits=4)
         df = df.withColumn("_spei", spei)
@@ -176,13 +229,13 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
         df = _score(df, dfit["drought_category_model"]["model"], "dcat", True)
         df = _score(df, dfit["drought_status_model"]["model"], "dstat", True)
         df = df.select(*base_cols, "dcat_pred", "dcat_probs", "dstat_pred", "dstat_probs")
-        dvocab = matching.vocab_of(domains.encoders(spark, d, "drought"), "category")
+        dvocab = matching.vocab_of(used["drought"]["_encoders"], "category")
         df = df.crossJoin(F.broadcast(_labels(dvocab, "_drought_labels")))
 
     # ---- weather (M5 scoring, F11, F36, F37, F20) ----------------------------------
     if "weather" in run:
-        wfit = domains.trained(spark, d, "weather")
-        wenc = domains.encoders(spark, d, "weather")
+        wfit = used["weather"]
+        wenc = used["weather"]["_encoders"]
         an = fc.anomalies(F.col(a + "avg_temp"), F.col(a + "precip_week"), F.col(a + "wind_kmh"))
         df = df.select("*", *[v.alias("_" + k) for k, v in an.items()], fc.weather_season("month").alias("_wseason"))
         df = _vocab_idx(matching.vocab_of(wenc, "state"), F.col("state"), "state_enc", df)
@@ -205,16 +258,16 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
 
     # ---- forest (J1, F27, M7 scoring, F34) ------------------------------------------
     if "forest" in run:
-        ffit = domains.trained(spark, d, "forest")
+        ffit = used["forest"]
         fdata = panels.forest_features(bindings.state_panel(spark, d))
         snap_cols = [c for c in domains.FOREST_FEATURES if c not in ("state_enc",)]
         snap = panels.latest_non_null(fdata.select("state", *[c for c in snap_cols]), "state", "year")
         snap = snap.select(F.col("state").alias("_fkey"), *[F.col(c).alias("h_" + c) for c in snap_cols])
         # The name is resolved against the encoder's states (one row a state), then J1
-        known = sorted(r["value"] for r in matching.vocab_of(domains.encoders(spark, d, "forest"), "state").collect())
+        known = sorted(r["value"] for r in matching.vocab_of(used["forest"]["_encoders"], "state").collect())
         df = matching.with_state_match(df, "state", known).drop("match_method")
         df = df.join(snap, F.col("matched_state") == F.col("_fkey"), "left").drop("_fkey")
-        df = _vocab_idx(matching.vocab_of(domains.encoders(spark, d, "forest"), "state"), F.col("matched_state"),
+        df = _vocab_idx(matching.vocab_of(used["forest"]["_encoders"], "state"), F.col("matched_state"),
                         "state_enc", df)
         ex = ff.extrapolate_forest("h_forest_cover", "h_forest_pct", "h_forest_change_yoy", "h_forest_pct_change_yoy",
                                    "h_year", F.col("year"), "h_ndvi", F.col("live_ndvi"), "h_ndvi_change_yoy")
@@ -244,7 +297,7 @@ def unified_report(spark: SparkSession, d: str, run: tuple[str, ...] = DOMAINS,
 
     # ---- urban (F28, J7, F29, F31, M8 scoring, F32, F33) ----------------------------
     if "urban" in run:
-        ufit = domains.trained(spark, d, "urban")
+        ufit = used["urban"]
         exd = fu.extrapolate_demographics(F.col("year"))
         rates = matching.effective_urb_rate("city", "state", exd["urb_rate"])
         df = df.select("*", *[v.alias("_u_" + k) for k, v in rates.items()])
@@ -360,7 +413,7 @@ def _assemble(df: DataFrame, run) -> DataFrame:
         F.struct(F.lit(0).alias("manual_input_required"), models_run.alias("models_run")).alias("automation"),
         F.col("env.current").alias("weather_snapshot"),
         summary.alias("summary"),
-        errors.alias("errors"))
+        errors.alias("errors"), "inputs_hash")
 
 
 def _sub(domain: Column, **fields: str) -> Column:

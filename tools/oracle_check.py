@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 import numpy as np  # noqa: E402
 
-from terrapulse.plans.catalog import load_all  # noqa: E402
+from terrapulse.plans.catalog import load_all, oracles  # noqa: E402
 from terrapulse.session import build_session  # noqa: E402
 from terrapulse.sources.tables import TABLES  # noqa: E402
 
@@ -63,7 +63,7 @@ def main():
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
     spark = build_session("local[8]", 8)
-    reg = load_all()
+    reg, sql = load_all(), oracles(spark)
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
@@ -81,12 +81,12 @@ def main():
             print(name, summary[name], flush=True)
             continue
         ts = time.time() - t0
-        if not e.sql:
+        if name not in sql:
             summary[name] = f"rows-only: {len(srows)} rows ({ts:.1f}s)"
             print(name, summary[name], flush=True)
             continue
         try:
-            rel = con.sql(e.sql)
+            rel = con.sql(sql[name])
             dcols = rel.columns
             drows = [dict(zip(dcols, r)) for r in rel.fetchall()]
         except Exception as exc:  # noqa: BLE001
