@@ -1,16 +1,19 @@
 """Line dedup: a template tree over the lines of all documents.
 
 Level 1 of the tree is a line's token count, the next levels are its ``DEPTH`` leading
-tokens; tokens with a digit count as the wildcard. Within a group of lines (a leaf first),
-variable fields are generalised by majority: a position keeps the token that more than
-half of the group's distinct lines have there, else it is a wildcard. A line belongs to
-the group's template if at least ``similarity`` of its tokens after the leading ones equal
-the kept ones and enough constant tokens are among them (with the leading ones). The other
-lines go on in smaller groups, each with the lines that share its most frequent token at a
-position, until no group is left that could hold a template; so a leaf has as many
-templates as its lines show. A line of no template is one of its own. Templates found in
-``min_docs`` documents or more are recurring: their lines are dropped from every document
-but the first (smallest doc_id).
+tokens; tokens with a digit count as the wildcard. Within a leaf, variable
+fields are generalised by majority: a position keeps the token that more than
+half of the leaf's distinct lines have there, else it is a wildcard. A line belongs to
+the leaf's template if at least ``similarity`` of its tokens after the leading ones equal
+the kept ones and enough constant tokens are among them (with the leading ones).
+
+The other lines of a leaf form one more, fixed level. Their (position, token) pairs are ordered by how
+many of them have each, most frequent first; lines with the same first pairs share a
+prefix, and a line goes with the longest prefix that several lines share and that occurs
+``min_docs`` times. Each such group is generalised by majority once more, so a leaf has as many
+templates as its lines show, in two passes whatever the corpus. A line of no template is one
+of its own. Templates found in ``min_docs`` documents or more are recurring: their lines are
+dropped from every document but the first (smallest doc_id).
 
 Constant tokens hold a letter and no digit. Enough of them are ``MIN_CONSTANT`` and half of
 the line; a line with fewer, such as a row of numbers, isn't masked and counts by its own
@@ -19,9 +22,9 @@ words, so that it recurs only verbatim.
 Lines of fewer than ``min_tokens`` tokens are never dropped. All lines are reduced to
 hashes first (one narrow row a line, cut by a checkpoint); tokens are read again only
 for leaves that hold several distinct lines and occur ``min_docs`` times. Supports are
-counts of counts, so a line in a third of the documents costs a row a task. Every split
-makes a group smaller and fixes a position, so there are no more rounds than a line has
-tokens. Small key sets are broadcast after they are counted; larger ones are joined by
+counts of counts, so a line in a third of the documents costs a row a task. All prefixes
+of a line come from one running combination of the hashes of its pairs and are counted in one
+aggregate. Small key sets are broadcast after they are counted; larger ones are joined by
 a shuffle.
 
 Defined results: null text stays null; rows that repeat a doc_id and text are one
@@ -30,9 +33,7 @@ document; an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapulse.llm.common import bind, checkpointed, fresh, matches, sized, text_key, words
@@ -87,39 +88,47 @@ def generalised(docs: DataFrame, keys: DataFrame, text_col: str, min_docs: int,
              .withColumn("line", F.xxhash64("tokens")).groupBy("leaf", "line")
              .agg(F.count("*").alias("times"), F.any_value("tokens").alias("tokens")))
     # Leaves of as many tokens as the leading ones hold one line.
-    left = checkpointed(lines.where(F.size("tokens") > DEPTH).withColumnRenamed("leaf", "group"))
-    found = []
-    while not left.isEmpty():
-        placed, left = _placed(left, min_docs, similarity)
-        found.append(placed)
-    none = docs.sparkSession.createDataFrame([], "m_line long, m_template long")
-    return reduce(DataFrame.unionByName, found, none)
-
-
-def _placed(lines: DataFrame, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The lines (group, line, times, tokens) that belong to their group's template, and the others in smaller groups."""
-    fields = lines.select("group", "line", "times", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
+    lines = checkpointed(lines.where(F.size("tokens") > DEPTH).withColumnRenamed("leaf", "group"))
+    first = checkpointed(_judged(lines, similarity))
+    others = first.where("not member").drop("member")
+    second = _judged(checkpointed(_regrouped(others, min_docs)), similarity)
+    members = lambda judged, level: judged.where("member").select(
+        F.col("line").alias("m_line"), F.xxhash64("group", F.lit(level)).alias("m_template"))
+    return members(first, 1).unionByName(members(second, 2))
+
+
+def _fields(lines: DataFrame) -> DataFrame:
+    """The (position, token) pairs of lines after the leading tokens."""
+    return lines.select("group", "line", "times", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
+
+
+def _judged(lines: DataFrame, similarity: float) -> DataFrame:
+    """Lines (group, line, times, tokens), and whether each belongs to the template of its group's majority."""
     groups = lines.groupBy("group").agg(F.count("*").alias("n"))
-    seen = checkpointed(fields.groupBy("group", "pos", "token").agg(F.count("*").alias("seen"), F.sum("times").alias("all"))
-                        .where(F.col("seen") > 1).join(groups, "group"))
-    kept = seen.where(2 * F.col("seen") > F.col("n")).groupBy("group").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("kept"))
-    # One entry a position at most, so the map is as long as a line.
+    seen = _fields(lines).groupBy("group", "pos", "token").agg(F.count("*").alias("seen")).where(F.col("seen") > 1)
+    kept = (seen.join(groups, "group").where(2 * F.col("seen") > F.col("n")).groupBy("group")
+            # One entry a position at most, so the map is as long as a line.
+            .agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("kept")))
     size = F.size("tokens")
     same = F.filter("tokens", lambda t, i: (i < DEPTH) | F.col("kept")[i].eqNullSafe(t))
     alike = (F.size("same") - DEPTH >= F.round(similarity * (size - DEPTH), 9)) & _enough(F.size(F.filter("same", _constant)), size)
-    judged = checkpointed(lines.join(kept, "group", "left").withColumn("same", same)
-                          .select("group", "line", "times", "tokens", alike.alias("member")))
-    members = judged.where("member").select(F.col("line").alias("m_line"), F.xxhash64("group", F.lit(1)).alias("m_template"))
-    others = judged.where("not member").drop("member")
-    # A token that the whole group has divides nothing, and one that occurs too seldom leads to no template that recurs.
-    parts = (others.select("group", "line", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
-             .join(seen.where((F.col("seen") < F.col("n")) & (F.col("all") >= min_docs)), ["group", "pos", "token"])
-             .groupBy("line").agg(F.max(F.struct("seen", -F.col("pos"), "token")).alias("top")))
-    smaller = others.join(parts, "line").withColumn("group", F.xxhash64("group", "top")).drop("top")
-    enough = smaller.groupBy("group").agg(F.count("*").alias("n"), F.sum("times").alias("all")).where(
-        (F.col("n") > 1) & (F.col("all") >= min_docs)).select("group")
-    return members, checkpointed(smaller.join(enough, "group", "left_semi").select("group", "line", "times", "tokens"))
+    return lines.join(kept, "group", "left").withColumn("same", same).select(
+        "group", "line", "times", "tokens", alike.alias("member"))
+
+
+def _regrouped(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Lines by their longest shared prefix of pairs; those without one are left out."""
+    fields = _fields(lines)
+    seen = fields.groupBy("group", "pos", "token").agg(F.count("*").alias("seen")).where(F.col("seen") > 1)
+    of_line = Window.partitionBy("line").orderBy(F.desc("seen"), "pos")  # the pairs of one line
+    prefixes = fields.join(seen, ["group", "pos", "token"]).select(
+        "group", "line", "times", F.row_number().over(of_line).alias("k"),
+        F.bit_xor(F.xxhash64("pos", "token")).over(of_line.rowsBetween(Window.unboundedPreceding, 0)).alias("pairs"))
+    prefixes = checkpointed(prefixes)
+    held = prefixes.groupBy("group", "k", "pairs").agg(F.count("*").alias("n"), F.sum("times").alias("all"))
+    held = held.where((F.col("n") > 1) & (F.col("all") >= min_docs)).select("group", "k", "pairs")
+    longest = prefixes.join(held, ["group", "k", "pairs"]).groupBy("line").agg(F.max(F.struct("k", "pairs")).alias("top"))
+    return lines.join(longest, "line").select(F.xxhash64("group", "top").alias("group"), "line", "times", "tokens")
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS,
