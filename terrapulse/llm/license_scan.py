@@ -1,14 +1,17 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, as sets of words, and for notices wrapped over lines also
-the words around every line end, as many on either side as the template has: a notice
+Blocks are pieces of lines, as sets of words: a line is cut at every multiple of the template's
+number of words, and two neighbouring pieces are a block, so a block has at most twice as many
+words as the template and words scattered over a long line don't meet. For notices wrapped over lines
+the words around every line end are blocks too, as many on either side as the template has: a notice
 wrapped at any width lies in the block of each line end inside it. A template is found in
 every block that holds at least ``threshold`` of its words (containment). Words are ordered by
 their frequency over all blocks, rarest first; a template is indexed only under its
 prefix of ``size - need + 1`` words, because a block that holds ``need`` of its words
 must hold one of those. The join is an equi-join on that word; the length filter drops
 blocks with fewer than ``need`` template words, and the positional filter drops pairs
-whose remaining words can't reach ``need`` any more. Survivors are verified exactly.
+whose remaining words can't reach ``need`` any more. Both filters see whole lines; survivors are
+verified exactly, block by block.
 
 The templates are a fixed, short list, so their words (counted in one aggregate, at
 most one row a word) and the prefix index are bounded; the index is broadcast. Line ends
@@ -87,11 +90,25 @@ def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> dict[str,
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], need: int) -> DataFrame:
-    """(doc_id, text_key, found): the template words of every line that has ``need`` of them."""
+    """(doc_id, text_key, block, found): every line that has ``need`` template words, and these."""
     lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
                         F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "\n", -1)).alias("block"))
     known = F.filter(F.split("block", SEP), lambda w: w.isin(vocabulary))
-    return lines.select("doc_id", "text_key", F.array_distinct(known).alias("found")).where(F.size("found") >= need)
+    return lines.select("*", F.array_distinct(known).alias("found")).where(F.size("found") >= need)
+
+
+def _in_pieces(line: Column, words: Column, length: Column) -> Column:
+    """The most of ``words`` that two neighbouring pieces of ``length`` words of a line hold."""
+    every = F.array_remove(F.split(line, SEP), "")
+    spots = F.filter(F.transform(every, lambda w, i: F.struct(F.floor(i / length).alias("piece"), w.alias("w"))),
+                     lambda x: F.array_contains(words, x["w"]))
+
+    def most(s: Column) -> Column:
+        held = lambda p: F.size(F.array_distinct(F.transform(
+            F.filter(s, lambda x: (x["piece"] == p) | (x["piece"] == p + 1)), lambda x: x["w"])))
+        return F.array_max(F.transform(F.array_distinct(F.transform(s, lambda x: x["piece"])), held))
+
+    return F.coalesce(bind(spots, most), F.lit(0))
 
 
 def _line_ends(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], prefix: list[str], need: int,
@@ -122,7 +139,7 @@ def find_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    wrapped: bool = False) -> DataFrame:
     """(l_id, l_key, template, label, overlap, size): every block and template that meet the threshold.
 
-    Blocks are lines, and with ``wrapped`` the words around line ends too.
+    Blocks are pieces of lines, and with ``wrapped`` the words around line ends too.
     """
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
     lengths = [len(text.split()) for _, text in templates]
@@ -142,26 +159,29 @@ def find_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prefixes = spark.createDataFrame(index, "word string, template int, label string, words array<string>, "
                                             "t_pos int, need int, length int")
 
+    starts = sorted({x[0] for x in index})
+
     def joined(held: DataFrame) -> DataFrame:
         ranked = held.withColumn("found", F.array_intersect(F.array(*map(F.lit, order)), F.col("found")))
-        pairs = (ranked.select("*", F.posexplode("found").alias("b_pos", "word"))
-                 .join(F.broadcast(prefixes), "word")
+        spots = F.filter(F.transform("found", lambda w, i: F.struct(i.alias("b_pos"), w.alias("word"))),
+                         lambda x: x["word"].isin(starts))
+        pairs = (ranked.select("*", F.inline(spots)).join(F.broadcast(prefixes), "word")
                  .where(F.size("found") >= F.col("need")))
         earlier = F.size(F.array_intersect(F.slice("found", F.lit(1), F.col("b_pos")), F.col("words")))
         left = F.least(F.size("words") - F.col("t_pos"), F.size("found") - F.col("b_pos"))
         return pairs.where((earlier == 0) & (left >= F.col("need")))  # from the first shared word on
 
-    def matched(pairs: DataFrame, held: Column) -> DataFrame:
+    def matched(pairs: DataFrame, overlap: Column) -> DataFrame:
         return (pairs.select(F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key"), "template", "label", "need",
-                             F.size(F.array_intersect(held, F.col("words"))).alias("overlap"), F.size("words").alias("size"))
+                             overlap.alias("overlap"), F.size("words").alias("size"))
                 .where(F.col("overlap") >= F.col("need")).drop("need"))
 
-    out = matched(joined(blocks), F.col("found"))
+    out = matched(joined(blocks), _in_pieces(F.col("block"), F.col("words"), F.col("length")))
     if wrapped:
-        ends = _line_ends(docs, id_col, text_col, vocabulary, sorted({x[0] for x in index}), min(need.values()), max(lengths))
+        ends = _line_ends(docs, id_col, text_col, vocabulary, starts, min(need.values()), max(lengths))
         # As many words on either side as this template has, not the longest.
         near = F.concat(F.slice(F.col("before"), F.lit(1), F.col("length")), F.slice(F.col("after"), F.lit(1), F.col("length")))
-        out = out.unionByName(matched(joined(ends), near))
+        out = out.unionByName(matched(joined(ends), F.size(F.array_intersect(near, F.col("words")))))
     return out
 
 

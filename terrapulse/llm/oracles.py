@@ -18,7 +18,7 @@ def _license() -> str:
     phrases = list(license_scan.PHRASES.items())
     every = " || ".join(f"p{n}" for n in range(len(phrases)))
     base = " || ".join(f"CASE WHEN len(p{n}) > 0 THEN ['{label}'] ELSE [] END" for n, (_, label) in enumerate(phrases))
-    templates = ", ".join(f"({n}, '{label}', {sorted(set(text.split()))})"
+    templates = ", ".join(f"({n}, '{label}', {sorted(set(text.split()))}, {len(text.split())})"
                           for n, (label, text) in enumerate(license_scan.TEMPLATES))
     return rf"""
 WITH d AS (
@@ -26,12 +26,15 @@ WITH d AS (
          regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SQL_WORD}') AS w FROM documents),
 places AS (
   SELECT doc_id, len(w) AS n, {", ".join(f"{_places(p)} AS p{n}" for n, (p, _) in enumerate(phrases))} FROM d),
-templates(k, label, words) AS (VALUES {templates}),
+templates(k, label, words, size) AS (VALUES {templates}),
 lines AS (SELECT doc_id, unnest(string_split(lower(t), chr(10))) AS line FROM d),
-sets AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_SQL_WORD}')) AS s FROM lines),
+sets AS (SELECT doc_id, regexp_extract_all(line, '{_SQL_WORD}') AS s FROM lines),
+near AS (
+  SELECT doc_id, label, words, list_max(list_transform(range(len(s) // size + 1),
+           lambda c: len(list_intersect(list_distinct(s[c * size + 1:(c + 2) * size]), words)))) AS held
+  FROM sets, templates WHERE len(list_intersect(list_distinct(s), words)) >= ceil(round({license_scan.THRESHOLD} * len(words), 9))),
 found AS (
-  SELECT doc_id, label, len(list_intersect(s, words)) / len(words) AS part FROM sets, templates
-  WHERE len(list_intersect(s, words)) >= ceil(round({license_scan.THRESHOLD} * len(words), 9))),
+  SELECT doc_id, label, held / len(words) AS part FROM near WHERE held >= ceil(round({license_scan.THRESHOLD} * len(words), 9))),
 best AS (SELECT doc_id, list(DISTINCT label) AS more, max(part) AS part FROM found GROUP BY doc_id)
 SELECT doc_id, n::BIGINT AS n_words, len({every})::BIGINT AS n_base, list_min({every})::BIGINT AS first_word,
        list_max({every})::BIGINT AS last_word,
