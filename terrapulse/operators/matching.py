@@ -4,7 +4,7 @@ All reference dimensions here are fixed tables of at most a few dozen rows,
 so each lookup compiles to one CASE chain over the fixed values inside a
 projection: map-only, codegen'd, no join and no shuffle, and the "first
 known entry in table order" rule is just the CASE order.  The fuzzy step
-scores every fixed state and keeps the first best one.
+(``closest``) compares names that the others missed with every fixed state.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.climate import _c, null_d, null_s
+from .closest import closest_known
 
 
 
@@ -57,34 +58,11 @@ def match_alias(name, known: list[str] = dims.FOREST_STATES,
 
 
 # J5 ------------------------------------------------------------------------------
-def similarity(a, b: str) -> Column:
-    """1 - edit distance / longer length (0..1)."""
-    longer = F.greatest(F.length(_c(a)), F.lit(len(b)))
-    return F.lit(1.0) - F.levenshtein(_c(a), F.lit(b)).cast("double") / longer.cast("double")
-
-
-def fuzzy_scores(name, known: list[str] = dims.FOREST_STATES) -> Column:
-    """Similarity of ``name`` to every known entry, in table order."""
-    return F.array(*[similarity(name, s) for s in known])
-
-
-def best_of_scores(scores, known: list[str] = dims.FOREST_STATES, cutoff: float = 0.4) -> Column:
-    """Known entry with the highest score >= cutoff; ties go to the earlier entry
-    (``array_position`` finds the first maximum)."""
-    best = F.array_max(_c(scores))
-    pos = F.array_position(_c(scores), best).cast("int")
-    return F.when(best >= F.lit(cutoff), F.element_at(F.array(*[F.lit(s) for s in known]), pos))
-
-
 def match_fuzzy(df: DataFrame, name_col: str, out: str, known: list[str] = dims.FOREST_STATES,
                 cutoff: float = 0.4, only_if=None) -> DataFrame:
-    """Adds ``out``: closest known entry by similarity (scores kept in their own
-    column so the projection stays small enough for whole-stage codegen)."""
-    sc = fuzzy_scores(_c(name_col), known)
-    if only_if is not None:
-        sc = F.when(only_if, sc)
-    df = df.select("*", sc.alias("_fz_scores"))
-    return df.select("*", best_of_scores("_fz_scores", known, cutoff).alias(out)).drop("_fz_scores")
+    """Adds ``out``: closest known entry by common blocks; rows that aren't ``only_if`` aren't compared."""
+    name = _c(name_col) if only_if is None else F.when(only_if, _c(name_col))
+    return df.select("*", closest_known(name, known, cutoff).alias(out))
 
 
 # J6 / cascade -----------------------------------------------------------------------
@@ -92,8 +70,8 @@ def with_state_match(df: DataFrame, name_col: str, known: list[str] = dims.FORES
                      cutoff: float = 0.4, out: str = "matched_state", method: str = "match_method") -> DataFrame:
     """Exact (case-insensitive), substring, alias, fuzzy, then the first known state.
 
-    Each step is its own column so generated code stays small; the fuzzy
-    scores are only computed for names the earlier steps missed."""
+    Each step is its own column so generated code stays small; only names that the
+    earlier steps missed are compared block by block."""
     n = _blank_to_null(name_col)
     df = df.select("*", match_exact_ci(n, known).alias("_m_exact"),
                    match_substring(n, known).alias("_m_sub"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.climate import _c, kmh_to_ms, seconds_to_hours, wind_bin
+from .quantiles import distribution_by_key, exact_quantile  # noqa: F401  (A16)
 
 
 def exact_sum(col, scale: int = 2) -> Column:
@@ -155,46 +156,6 @@ def classification_report(df: DataFrame, label: str, pred: str, count_col: str |
     return wide.select(F.inline(F.when(F.col("nr") == 1, F.concat(F.array(own), averages)).otherwise(F.array(own))))
 
 
-# A16 --------------------------------------------------------------------------------
-def distribution_by_key(df: DataFrame, key: str, cols: list[str], q: float = 0.5) -> DataFrame:
-    """Per key and measure: mean, sample standard deviation and the exact
-    linear-interpolated ``q`` quantile, all from one value histogram.
-
-    The measures are stacked to (key, metric, value) and reduced to counts per
-    distinct value by a partial + final aggregate, so no group's raw rows are
-    ever gathered in one task and the input is scanned once.  The moments are
-    two-pass over the histogram (mean first, then squared deviations), which
-    avoids the cancellation of a sum-of-squares formula."""
-    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v"))
-                                              for c in cols])).alias("m"))
-    hist = (long.where(F.col("m.v").isNotNull())
-            .groupBy(key, F.col("m.metric").alias("metric"), F.col("m.v").alias("v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    grp = Window.partitionBy(key, "metric")
-    w = grp.orderBy("v")
-    h = hist.select(key, "metric", "v", "_c",
-                    (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_lo"),
-                    F.sum("_c").over(grp).alias("_n"),
-                    (F.sum(F.col("v") * F.col("_c")).over(grp) / F.sum("_c").over(grp)).alias("_mean"))
-    pos = F.lit(q) * (F.col("_n") - F.lit(1)).cast("double")
-    lo_i, hi_i = F.floor(pos), F.ceil(pos)
-    has = lambda i: (F.col("_lo") <= i) & (i < F.col("_lo") + F.col("_c"))
-    agg = h.groupBy(key, "metric").agg(
-        F.first("_mean").alias("mean"),
-        F.sqrt(F.sum(F.col("_c") * (F.col("v") - F.col("_mean")) * (F.col("v") - F.col("_mean")))
-               / (F.first("_n") - F.lit(1))).alias("std"),
-        F.max(F.when(has(lo_i), F.col("v"))).alias("_a"), F.max(F.when(has(hi_i), F.col("v"))).alias("_b"),
-        F.first(pos).alias("_p"))
-    frac = F.col("_p") - F.floor(F.col("_p"))
-    return agg.select(key, "metric", "mean", "std", (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("quantile"))
-
-
-def exact_quantile(df: DataFrame, key: str, col: str, q: float, out: str) -> DataFrame:
-    """Exact linear-interpolated quantile of one measure per key (see
-    ``distribution_by_key``)."""
-    return distribution_by_key(df, key, [col], q).select(key, F.col("quantile").alias(out))
-
-
 # A17 --------------------------------------------------------------------------------
 def share_breakdown(df: DataFrame, col: str, out: str = "share") -> DataFrame:
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))

@@ -198,4 +198,6 @@ messages AS (
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",".join(c.strip() for c in ctes) + "\n"
+    """A WITH clause; the place-name views walk down pairs of names."""
+    recursive = any("m_parts" in c for c in ctes)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(c.strip() for c in ctes) + "\n"

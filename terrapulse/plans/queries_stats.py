@@ -375,6 +375,17 @@ def q_npk_by_state(spark, d):
                        F.col("k_median").alias("median_k"))
 
 
+@query("yield_by_state", "A16", sql=ov.with_(ov.CROP_ROWS) + """
+SELECT state, ROUND(AVG(crop_yield), 6) AS avg_yield, ROUND(stddev_samp(crop_yield), 6) AS std_yield,
+       ROUND(quantile_cont(crop_yield, 0.9), 6) AS yield_p90
+FROM crop_rows GROUP BY state""")
+def q_yield_by_state(spark, d):
+    """A measure of almost as many values as rows."""
+    dist = stats.distribution_by_key(bindings.crop_rows(spark, d), "state", ["crop_yield"], 0.9)
+    return dist.select("state", F.round("mean", 6).alias("avg_yield"), F.round("std", 6).alias("std_yield"),
+                       F.round("quantile", 6).alias("yield_p90"))
+
+
 @query("irrigation_breakdown", "A17", sql=ov.with_(ov.CROP_ROWS) + """
 SELECT irrigation, COUNT(*) AS n, COUNT(*) / SUM(COUNT(*)) OVER () AS share FROM crop_rows GROUP BY irrigation""")
 def q_irrigation_breakdown(spark, d):

@@ -187,11 +187,22 @@ m_sub AS (SELECT a.aoi_id, arg_min(k.state, k.ord) AS st FROM aoi a JOIN {known}
           ON contains(lower(a.aoi_name), lower(k.state)) OR contains(lower(k.state), lower(a.aoi_name)) GROUP BY a.aoi_id),
 m_alias AS (SELECT a.aoi_id, arg_min(l.canonical, l.ord) AS st FROM aoi a JOIN {alias} l
           ON contains(lower(a.aoi_name), l.alias) GROUP BY a.aoi_id),
-m_fz_all AS (SELECT a.aoi_id, k.state, k.ord,
-          1.0 - CAST(levenshtein(a.aoi_name, k.state) AS DOUBLE) / CAST(GREATEST(length(a.aoi_name), length(k.state)) AS DOUBLE) AS score
-          FROM aoi a CROSS JOIN {known} k),
-m_fuzzy AS (SELECT aoi_id, state AS st FROM (
-          SELECT *, ROW_NUMBER() OVER (PARTITION BY aoi_id ORDER BY score DESC, ord) AS rn FROM m_fz_all) WHERE rn = 1 AND score >= 0.4),
+m_pairs AS (SELECT DISTINCT a.aoi_name AS b, k.state AS a FROM aoi a ANTI JOIN m_exact USING (aoi_id) ANTI JOIN m_sub USING (aoi_id)
+          ANTI JOIN m_alias USING (aoi_id) CROSS JOIN {known} k),
+m_parts AS (  -- the longest common block of every part of a pair of names, then what lies on its sides
+  SELECT a, b, 0::BIGINT AS alo, length(a)::BIGINT AS ahi, 0::BIGINT AS blo, length(b)::BIGINT AS bhi, 0::BIGINT AS held FROM m_pairs
+  UNION ALL
+  SELECT a, b, CASE side WHEN 0 THEN alo ELSE i + l END, CASE side WHEN 0 THEN i ELSE ahi END,
+         CASE side WHEN 0 THEN blo ELSE j + l END, CASE side WHEN 0 THEN j ELSE bhi END, CASE side WHEN 0 THEN l ELSE 0 END
+  FROM (SELECT *, best.l AS l, -best.i AS i, -best.j AS j FROM (
+    SELECT *, list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: {{
+      'l': list_max(list_filter(range(0, least(ahi - i, bhi - j) + 1), lambda l: substr(a, i + 1, l) = substr(b, j + 1, l))),
+      'i': -i, 'j': -j}})))) AS best FROM m_parts WHERE ahi > alo AND bhi > blo)) p, (SELECT unnest([0, 1]) AS side) s
+  WHERE l > 0),
+m_ratio AS (SELECT a, b, 2.0::DOUBLE * SUM(held) / (length(a) + length(b)) AS score FROM m_parts GROUP BY a, b),
+m_fuzzy AS (SELECT x.aoi_id, r.st FROM aoi x JOIN (
+          SELECT b, a AS st, ROW_NUMBER() OVER (PARTITION BY b ORDER BY score DESC, a DESC) AS rn FROM m_ratio WHERE score >= 0.4) r
+          ON x.aoi_name = r.b AND r.rn = 1),
 state_match AS (
   SELECT a.aoi_id, a.aoi_name,
     COALESCE(e.st, s.st, l.st, f.st, {ov.sql_str(dims.FOREST_STATES[0])}) AS matched_state,

@@ -1,152 +1,207 @@
 """Structured Streaming jobs.
 
 Observations arrive as files in a landing folder (``readStream`` file source,
-``maxFilesPerTrigger`` micro-batches).  Event time is the reading timestamp
-with a watermark.  Windowed aggregates run in *update* mode and every
-micro-batch's changed rows are appended, with their batch id, to an upsert
-log through ``foreachBatch``; the current table is the latest version of each
-key.  That keeps results exact when a run ends before the watermark has
-passed the last window (``availableNow``), and a restarted query resumes from
-its checkpoint in the shared folder.
+``maxFilesPerTrigger`` micro-batches), in any order of event time. Nothing is dropped for being late:
+
+* Windowed aggregates are mergeable sums and counts. Every micro-batch writes those of its
+  own rows, by batch id, through ``foreachBatch``; a window is the sum of what all
+  batches say of it. There is no state to hold and none to outlive, so rows of a
+  window that was complete long ago are merged like any others.
+* A window counts as complete when a reading ``DELAY`` past its end has come in an earlier batch;
+  rows that come after that are marked late, so that readers of complete windows know
+  which were changed.
+* De-duplication emits a key in the first batch that has it; later batches compare with what
+  was emitted for their days, which the emitted table is partitioned by.
+
+A batch that is run again replaces what it wrote and looks only at batches before it, and a
+restarted query resumes from its checkpoint in the shared folder.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import alerts as fa
-from ..operators.stats import exact_avg, exact_sum
 from ..session import scratch_path
 from ..sources import bindings
 from ..sources.tables import table
 
-WATERMARK = "1 day"
+#: How long after a window's end readings of it are expected.
+DELAY = "1 day"
 MONDAY_OFFSET = "4 days"  # 1970-01-01 is a Thursday: shift windows to start on Monday
 
-#: Files of the landing folder: this many time ranges, each cut further at so many rows.
-LANDING_RANGES = 32
+#: Files of the landing folder, each cut further at so many rows.
+LANDING_FILES = 32
 LANDING_ROWS = 100_000
 
 _LANDED: dict[tuple[str, str, int], str] = {}
 
 
-def landing_folder(spark: SparkSession, d: str, ranges: int = LANDING_RANGES) -> str:
-    """Land the events table in arrival order: files are ranges of event time, a day
-    spans as many as it needs, and each file is stamped later than the one before it
-    (the file source reads by modification time)."""
-    key = (spark.sparkContext.applicationId, d, ranges)
+def landing_folder(spark: SparkSession, d: str, files: int = LANDING_FILES) -> str:
+    """Land the events table as files: days are dealt to files by a hash, so files come in no order of event time."""
+    key = (spark.sparkContext.applicationId, d, files)
     if key not in _LANDED:
         path = scratch_path(spark, "landing", f"events-{uuid.uuid4().hex[:10]}")
         ev = table(spark, d, "events")
-        (ev.repartitionByRange(ranges, "ts").sortWithinPartitions("ts").write.mode("overwrite")
+        (ev.repartition(files, F.xxhash64(F.to_date("ts"))).write.mode("overwrite")
          .option("maxRecordsPerFile", LANDING_ROWS).parquet(path))
-        _stamp_in_order(spark, path)
         _LANDED[key] = path
     return _LANDED[key]
 
 
-def _stamp_in_order(spark: SparkSession, path: str) -> None:
-    """Set the files' times to their order by name, which is their order by event time."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = sorted((f.getPath().getName(), f) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
-    first = min((f.getModificationTime() for _, f in files), default=0) - 1000 * len(files)
-    for n, (_, f) in enumerate(files):
-        fs.setTimes(f.getPath(), first + 1000 * n, -1)
-
-
-def observation_stream(spark: SparkSession, d: str, files_per_trigger: int = 16) -> DataFrame:
-    path = landing_folder(spark, d)
-    schema = table(spark, d, "events").schema
-    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def readings(events: DataFrame) -> DataFrame:
+    """Observations from a stream (or table) of raw events."""
     k = bindings.props_k(F.col("props"))
     tmax = F.lit(10.0) + F.col("value") % F.lit(40.0)
-    return ev.select(
+    return events.select(
         F.col("user_id").alias("location_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
         tmax.alias("temp_max"), (tmax - k / F.lit(10.0)).alias("temp_min"), F.col("value").alias("precip"),
         (F.lit(0.9) * k).alias("wind_kmh"), k.cast("double").alias("humidity"),
         (F.lit(10.0) + k / F.lit(10.0)).alias("solar"), (F.lit(360.0) * k).alias("sunshine_s"))
 
 
-def _upsert_log(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Run ``stream`` to completion (availableNow) into an upsert log and return
-    the latest version of every key as a batch DataFrame."""
-    spark = stream.sparkSession
-    run = uuid.uuid4().hex[:10]
-    out = scratch_path(spark, "stream", name, run, "log")
-    ckpt = scratch_path(spark, "stream", name, run, "checkpoint")
+def event_stream(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
+    """The events that lie, or arrive, in any folder of Parquet files of that schema."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # a batch that is run again replaces what it wrote before
-        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(write_batch)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    log = spark.read.parquet(out)
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_batch")
+def observation_stream(spark: SparkSession, d: str, files_per_trigger: int = 16) -> DataFrame:
+    """The supplied events, landed and read as a stream."""
+    return readings(event_stream(spark, landing_folder(spark, d), table(spark, d, "events").schema, files_per_trigger))
 
 
-def _append(stream: DataFrame, name: str) -> DataFrame:
-    spark = stream.sparkSession
-    run = uuid.uuid4().hex[:10]
-    out = scratch_path(spark, "stream", name, run, "out")
-    ckpt = scratch_path(spark, "stream", name, run, "checkpoint")
-    q = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
+def _run(stream: DataFrame, name: str, write_batch) -> None:
+    """Runs ``stream`` to completion through ``write_batch``."""
+    ckpt = scratch_path(stream.sparkSession, "stream", name, uuid.uuid4().hex[:10], "checkpoint")
+    q = (stream.writeStream.outputMode("append").foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+
+
+# Windows of mergeable parts ----------------------------------------------------------
+def _parts(measures: dict[str, tuple[Column, int]]) -> list[Column]:
+    """Exact sum (at a number of decimals) and count of every measure, and the number of rows."""
+    each = [x for name, (c, scale) in measures.items()
+            for x in (F.sum(c.cast(f"decimal(20,{scale})")).alias(f"{name}_sum"), F.count(c).alias(f"{name}_n"))]
+    return [*each, F.count(F.lit(1)).alias("n_readings")]
+
+
+def window_writer(base: str, window: Column, measures: dict[str, tuple[Column, int]], keys: list[str], delay: str = DELAY):
+    """Writes each micro-batch's parts of its windows, and how far event time had come."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            parts = batch.groupBy(*keys, window.alias("w")).agg(*_parts(measures))
+            late = F.lit(False)
+            if batch_id > 0:
+                seen = spark.read.schema("upto timestamp").parquet(*[f"{base}/progress/batch={b}" for b in range(batch_id)])
+                parts = parts.join(F.broadcast(seen.agg(F.max("upto").alias("upto"))))  # one row
+                late = F.coalesce(F.col("w.end") <= F.col("upto") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+            parts.withColumn("late", late).drop("upto").write.mode("overwrite").parquet(f"{base}/log/batch={batch_id}")
+            batch.agg(F.max("ts").alias("upto")).write.mode("overwrite").parquet(f"{base}/progress/batch={batch_id}")
+        finally:
+            batch.unpersist()
+    return write_batch
+
+
+def merged_windows(spark: SparkSession, base: str, measures: dict[str, tuple[Column, int]], keys: list[str]) -> DataFrame:
+    """The windows of all batches so far: sums and counts of the measures, ``n_readings`` and ``n_late`` of them."""
+    log = spark.read.parquet(f"{base}/log")
+    sums = [F.sum(f"{name}_{part}").alias(f"{name}_{part}") for name in measures for part in ("sum", "n")]
+    return log.groupBy(*keys, "w").agg(*sums, F.sum("n_readings").alias("n_readings"),
+                                       F.coalesce(F.sum(F.when(F.col("late"), F.col("n_readings"))), F.lit(0)).alias("n_late"))
+
+
+def _windows(stream: DataFrame, name: str, window: Column, measures: dict[str, tuple[Column, int]]) -> DataFrame:
+    base = scratch_path(stream.sparkSession, "stream", name, uuid.uuid4().hex[:10])
+    _run(stream, name, window_writer(base, window, measures, ["location_id"]))
+    return merged_windows(stream.sparkSession, base, measures, ["location_id"])
+
+
+def _mean(name: str) -> Column:
+    return F.col(f"{name}_sum").cast("double") / F.col(f"{name}_n").cast("double")
 
 
 # R1 ------------------------------------------------------------------------------
-def weekly_weather_stream(spark: SparkSession, d: str) -> DataFrame:
-    o = observation_stream(spark, d).withWatermark("ts", WATERMARK)
+def weekly_windows(observations: DataFrame) -> DataFrame:
+    """Weekly weather of every location of a stream of readings, with the readings that came late."""
     both = F.col("temp_max").isNotNull() & F.col("temp_min").isNotNull()
-    mid = F.when(both, (F.col("temp_max") + F.col("temp_min")) / F.lit(2.0))
-    agg = (o.groupBy("location_id", F.window("ts", "7 days", "7 days", MONDAY_OFFSET).alias("w"))
-           .agg(exact_avg(mid, 3).alias("avg_temp"), exact_avg(F.when(both, F.col("temp_max")), 2).alias("max_temp"),
-                exact_sum("precip", 2).cast("double").alias("precip_week"),
-                exact_avg("wind_kmh", 1).alias("wind_kmh"), F.count(F.lit(1)).alias("n_readings")))
-    res = _upsert_log(agg, "weekly", ["location_id", "w"])
-    return res.select("location_id", F.col("w.start").cast("date").alias("week"), "avg_temp", "max_temp",
-                      "precip_week", "wind_kmh", "n_readings")
+    measures = {"mid": (F.when(both, (F.col("temp_max") + F.col("temp_min")) / F.lit(2.0)), 3),
+                "max": (F.when(both, F.col("temp_max")), 2), "precip": (F.col("precip"), 2), "wind": (F.col("wind_kmh"), 1)}
+    res = _windows(observations, "weekly", F.window("ts", "7 days", "7 days", MONDAY_OFFSET), measures)
+    return res.select("location_id", F.col("w.start").cast("date").alias("week"), _mean("mid").alias("avg_temp"),
+                      _mean("max").alias("max_temp"), F.col("precip_sum").cast("double").alias("precip_week"),
+                      _mean("wind").alias("wind_kmh"), "n_readings", "n_late")
+
+
+def weekly_weather_stream(spark: SparkSession, d: str) -> DataFrame:
+    return weekly_windows(observation_stream(spark, d)).drop("n_late")
 
 
 # R2 ------------------------------------------------------------------------------
-def vegetation_stream(spark: SparkSession, d: str) -> DataFrame:
+def vegetation_windows(observations: DataFrame) -> DataFrame:
     """16-day windows sliding by one day: vegetation proxy per location."""
-    o = observation_stream(spark, d).withWatermark("ts", WATERMARK)
-    agg = (o.groupBy("location_id", F.window("ts", "16 days", "1 day").alias("w"))
-           .agg(exact_avg("precip", 2).alias("mean_precip"), exact_avg("solar", 1).alias("mean_radiation"),
-                F.count(F.lit(1)).alias("n_readings")))
-    res = _upsert_log(agg, "vegetation", ["location_id", "w"])
-    return res.select("location_id", F.col("w.start").alias("window_start"), "mean_precip", "mean_radiation",
-                      fa.ndvi_proxy_a("mean_precip", "mean_radiation").alias("ndvi"), "n_readings")
+    measures = {"precip": (F.col("precip"), 2), "solar": (F.col("solar"), 1)}
+    res = _windows(observations, "vegetation", F.window("ts", "16 days", "1 day"), measures)
+    return res.select("location_id", F.col("w.start").alias("window_start"), _mean("precip").alias("mean_precip"),
+                      _mean("solar").alias("mean_radiation"), "n_readings", "n_late").withColumn(
+        "ndvi", fa.ndvi_proxy_a("mean_precip", "mean_radiation"))
+
+
+def vegetation_stream(spark: SparkSession, d: str) -> DataFrame:
+    return vegetation_windows(observation_stream(spark, d)).select(
+        "location_id", "window_start", "mean_precip", "mean_radiation", "ndvi", "n_readings")
 
 
 # R3 ------------------------------------------------------------------------------
-def alert_stream(spark: SparkSession, d: str) -> DataFrame:
-    o = observation_stream(spark, d)
+def alerts_of(observations: DataFrame) -> DataFrame:
+    """Readings that raise an alert; stateless."""
     pts = fa.alert_points(F.lit(None), "temp_max", "wind_kmh", "precip")
-    scored = o.select("location_id", "event_id", "ts", pts.alias("points"), fa.level_from_points(pts).alias("level"))
+    scored = observations.select("location_id", "event_id", "ts", pts.alias("points"), fa.level_from_points(pts).alias("level"))
     return scored.where(F.col("level") != "GREEN")
 
 
+def alert_stream(spark: SparkSession, d: str) -> DataFrame:
+    return alerts_of(observation_stream(spark, d))
+
+
 def alert_feed(spark: SparkSession, d: str) -> DataFrame:
-    return _append(alert_stream(spark, d), "alert_feed")
+    base = scratch_path(spark, "stream", "alert_feed", uuid.uuid4().hex[:10])
+    q = (alert_stream(spark, d).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
 
 
 # R4 ------------------------------------------------------------------------------
+def first_writer(out: str, keys: list[str], day: str, schema: StructType):
+    """Writes each micro-batch's rows whose keys no batch before has emitted, one a key (its earliest reading)."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        cols = batch.columns
+        new = batch.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct("ts", "event_id")).alias("r")).select("r.*")
+        if batch_id > 0:
+            span = batch.agg(F.min(day), F.max(day)).first()
+            earlier = batch.sparkSession.read.schema(schema).option("basePath", out).parquet(
+                *[f"{out}/batch={b}" for b in range(batch_id)])
+            earlier = earlier.where(F.col(day).between(F.lit(span[0]), F.lit(span[1])))
+            same = reduce(lambda a, b: a & b, [new[k].eqNullSafe(earlier[k]) for k in keys])
+            new = new.join(earlier, same, "left_anti")
+        new.write.mode("overwrite").partitionBy(day).parquet(f"{out}/batch={batch_id}")
+    return write_batch
+
+
 def deduplicated_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """One alert per (location, day) while the watermark holds the key."""
-    a = (alert_stream(spark, d).withWatermark("ts", WATERMARK)
-         .withColumn("alert_day", F.to_date("ts"))
-         .dropDuplicatesWithinWatermark(["location_id", "alert_day"]))
-    return _append(a, "dedup_alerts")
+    """One alert per (location, day), whenever its readings arrive."""
+    alerts = alert_stream(spark, d).withColumn("alert_day", F.to_date("ts"))
+    out = scratch_path(spark, "stream", "dedup_alerts", uuid.uuid4().hex[:10], "out")
+    _run(alerts, "dedup_alerts", first_writer(out, ["location_id", "alert_day"], "alert_day", alerts.schema))
+    return spark.read.schema(alerts.schema).option("basePath", out).parquet(f"{out}/batch=*")
 
 
 # R5 ------------------------------------------------------------------------------
@@ -158,13 +213,8 @@ def alert_outbox(spark: SparkSession, d: str) -> DataFrame:
     mail = a.select(F.col("user_email").alias("to_email"), "aoi_name", "level",
                     F.concat(F.lit("Environmental alert: "), F.col("level"), F.lit(" - "), F.col("aoi_name")).alias("subject"),
                     "lat", "lng", "event_id")
-    run = uuid.uuid4().hex[:10]
-    out = scratch_path(spark, "stream", "outbox", run, "out")
-    ckpt = scratch_path(spark, "stream", "outbox", run, "checkpoint")
-
-    q = (mail.writeStream.outputMode("append").foreachBatch(outbox_writer(out))
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    out = scratch_path(spark, "stream", "outbox", uuid.uuid4().hex[:10], "out")
+    _run(mail, "outbox", outbox_writer(out))
     return spark.read.parquet(out).drop("batch_id")
 
 

@@ -59,7 +59,7 @@ def test_streams_lose_nothing_over_many_files(spark, small_dir, monkeypatch):
     """Thirty and more files of event time, one to five a batch: every reading arrives in time."""
     from terrapulse.sources.tables import table
     monkeypatch.setattr(jobs, "LANDING_ROWS", 25)
-    path = jobs.landing_folder(spark, small_dir, ranges=33)
+    path = jobs.landing_folder(spark, small_dir, files=33)
     assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() >= 30
     monkeypatch.setattr(jobs, "landing_folder", lambda *_: path)
     n = table(spark, small_dir, "events").count()
