@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 LONG = " ".join(f"word{i % 977} tail{i % 31}." for i in range(6000))
@@ -84,6 +87,61 @@ def removed_pieces(docs, span, min_words):
     return out
 
 
+DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+
+def whole_parts(text, long=16, window=16):
+    """[(number of the sentence, words, cut)] of the pieces that ``whole`` removes, by the rule itself."""
+    text, out = text or "", []
+    dense = bool(re.search(f"[{DENSE}]", text))
+    token = f"[{DENSE}]|[^\\x20\\x09-\\x0D{DENSE}]+" if dense else r"[^\x20\x09-\x0D]+"
+    places = r"(?<=[.!?][\x20\x09\r])|(?<=\n)" + ("|(?<=[\u3002\uff01\uff1f])" if dense else "")
+    for n, s in enumerate(p for p in re.split(places, text) if p):
+        w = re.findall(token, s)
+        if len(w) <= long:
+            out.append((n, s, w, False))
+            continue
+        # Words with their blanks; a blank before the first one is an item too.
+        at = [m.start() for m in re.finditer(token, s)]
+        at = at if at[0] == 0 else [0, *at]
+        items = [s[a:b] for a, b in zip(at, [*at[1:], len(s)])]
+        h = [xxhash.xxh64_intdigest(x.strip(" \t\n\x0b\x0c\r"), 42) & 0xFFFFFFFF for x in items]
+        h = [x - (1 << 32) if x >> 31 else x for x in h]
+        ends = {max(range(j, j + window), key=lambda i: (h[i], i)) for j in range(len(items) - window + 1)} | {len(items) - 1}
+        begin = 0
+        for e in sorted(ends):
+            part = "".join(items[begin:e + 1])
+            out.append((n, part, re.findall(token, part), len(ends) > 1))
+            begin = e + 1
+    return out
+
+
+def whole_removed(docs, span=2, min_words=10, long_run=20):
+    """{(doc_id, text): (pieces, removed piece numbers)}: runs forth and back over sentences and over their parts, in dictionaries."""
+    places, found, out = defaultdict(set), [], {}
+    for doc_id, text in docs:
+        parts = whole_parts(text)
+        out[doc_id, text] = ([p[1] for p in parts], set())
+        sentences = [(list(g), n) for n, g in itertools.groupby(range(len(parts)), key=lambda i: parts[i][0])]
+        plain = [(g[0], g[-1], tuple(x for i in g for x in parts[i][2]), False) for g, _ in sentences]
+        small = [(i, i, tuple(p[2]), p[3]) for i, p in enumerate(parts)]
+        for units, least, need in ((plain, min_words, False), (small, max(long_run, min_words), True)):
+            u = [x for x in units if x[2]]
+            size = lambda a, b: sum(len(x[2]) for x in u[a:b])  # noqa: E731, B023
+            forth = [next(((a, b) for b in range(a + span, len(u) + 1) if size(a, b) >= least), None) for a in range(len(u))]
+            back = [next(((a, b) for a in range(b - span, -1, -1) if size(a, b) >= least), None) for b in range(1, len(u) + 1)]
+            for a, b in {r for r in forth + back if r}:
+                if not need or any(x[3] for x in u[a:b]):
+                    run, place = tuple(x[2] for x in u[a:b]), ((doc_id is not None, doc_id or 0), text, u[a][0])
+                    places[run].add(place)
+                    found.append((run, place, u[a][0], u[b - 1][1], (doc_id, text)))
+    first = {r: min(p, key=lambda x: (x[0], x[2])) for r, p in places.items()}
+    for run, place, a, b, doc in found:
+        if place != first[run]:
+            out[doc][1].update(range(a, b + 1))
+    return out
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

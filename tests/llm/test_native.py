@@ -5,9 +5,11 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
-from cases import (PASSAGE, SCHEMA, base_measures, base_spans, cut, phrase_places, removed_pieces, rows, words)
+from cases import (PASSAGE, SCHEMA, base_measures, base_spans, cut, phrase_places, removed_pieces, rows,
+                   whole_removed, words)
 from pyspark.sql import functions as F
 
 from terrapulse.llm import license_scan, line_templates, mixing, pii, quality_llr, span_dedup
@@ -146,6 +148,63 @@ def test_spans_empty(odd):
     assert span_dedup.dedup_spans(odd.where("false")).count() == 0
 
 
+def hard_texts():
+    """Copies, passages inside long sentences, short sentences, line ends, blanks, scripts without blanks, null and empty."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(["a", "of", "the"]) if rng.random() < 0.3 else f"w{rng.randrange(4000)}"
+    gap = lambda: rng.choices(["  ", ".  ", ". ", " \n", "! ", "\t", " "], [1, 1, 4, 2, 1, 1, 40])[0]
+    passage = [word() + gap() for _ in range(150)]
+    dense = "".join(chr(0x4E00 + rng.randrange(900)) + ("\u3002" if rng.random() < 0.03 else "") for _ in range(300))
+    out = []
+    for d in range(60):
+        at, n = rng.randrange(100), rng.randrange(20, 90)
+        text = "".join([*(word() + gap() for _ in range(60)), *passage[at:at + n], *(word() + gap() for _ in range(60))])
+        if d % 10 == 3:
+            text = dense[rng.randrange(100):] + text[:200]
+        out.append((d, text))
+    return out + [(70 + i, t) for i, (_, t) in enumerate(out[:8])] + [out[5], (None, out[6][1]), (81, None), (82, ""), (83, " \n \n")]
+
+
+def check_whole(docs, got):
+    want = whole_removed(docs)
+    for r in got:
+        pieces, gone = want[r["doc_id"], r["source_text"]]
+        assert "".join(pieces) == (r["source_text"] or "")
+        assert r["span_dedup"]["removed"] == sorted(gone) and r["span_dedup"]["n_pieces"] == len(pieces)
+        assert r["text"] == (None if r["source_text"] is None else "".join(p for i, p in enumerate(pieces) if i not in gone))
+
+
+@pytest.mark.parametrize("block", [1, 4000, span_dedup.BLOCK_BYTES])
+def test_spans_whole_as_brute_force(block):
+    """All runs of a block and the first of equal ones, whatever the blocks."""
+    docs = sorted({(-1 if d is None else d, t) for d, t in hard_texts()}, key=lambda x: (x[0], x[1] or ""))
+    want = whole_removed(docs)
+    seen, gone = {}, {d: set() for d in docs}
+    for part in span_dedup._blocks(np.array([len(t or "") for _, t in docs]) * (span_dedup.BLOCK_BYTES // block)):
+        found = span_dedup.block_runs([t for _, t in docs[part]], span_dedup.SPAN, span_dedup.MIN_WORDS, True)
+        firsts, later = span_dedup._first_and_later(*found)
+        for doc, a, b in zip(*later):
+            gone[docs[part][doc]].update(range(a, b + 1))
+        for i in firsts:
+            doc, a, b, h, g = (int(c[i]) for c in found)
+            if seen.setdefault((h, g), (docs[part][doc], a)) != (docs[part][doc], a):
+                gone[docs[part][doc]].update(range(a, b + 1))
+    assert {d: want[d][1] for d in docs} == gone and sum(map(bool, gone.values())) > 20
+
+
+def test_spans_whole_as_registered(spark):
+    docs = hard_texts()
+    df = spark.createDataFrame([(d, t, t) for d, t in docs], "doc_id long, text string, source_text string").repartition(5)
+    got = span_dedup.dedup_spans(df, whole=True).collect()
+    assert len(got) == len(docs)
+    check_whole(docs, got)
+
+
+def test_spans_whole_small_table(spark, small_dir):
+    got = span_dedup.dedup_spans(read(spark, small_dir, "documents").select("doc_id", "text", F.col("text").alias("source_text")), whole=True).collect()
+    check_whole([(r["doc_id"], r["source_text"]) for r in got], got)
+
+
 def test_spans_whole(spark, odd):
     """One long sentence, unpunctuated text, text without blanks and last short sentences lose their later copies."""
     own = lambda d, n: " ".join(f"h{d}w{i}" for i in range(n))
@@ -170,7 +229,6 @@ def test_spans_whole(spark, odd):
 
 def test_spans_whole_leave_no_common_window(spark):
     """No later document keeps 51 words in a row that an earlier one has, wherever they begin."""
-    import random
     rng = random.Random(7)
     hosts = [[f"h{d}w{i}" + rng.choice(["", "", "", "", "", "", "", "", ".", ""]) for i in range(150)] for d in range(40)]
     shared = [f"s{i}" + ("." if rng.random() < 0.07 else "") for i in range(400)]
