@@ -241,22 +241,21 @@ def _blocks(lengths: np.ndarray) -> Iterator[slice]:
 
 
 def runs(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int, whole: bool = False) -> DataFrame:
-    """(doc_id, text_key, start, end, h, g, later): the first of equal runs in a block of texts by the piece
-    numbers it begins and ends with, and (``later``) the pieces of a document that runs other than the first cover."""
+    """(doc_id, text_key, pieces, h, g): the first of equal runs in a block of texts by the piece numbers it begins
+    and ends with (in one long, as every run is shuffled); and, with null ``g``, the pieces of a document
+    that runs other than the first cover."""
     text = F.col(text_col)
     # Later rows have no run hash; they are spread by document.
     source = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
     source = source.withColumn("spread", F.xxhash64("doc_id", "text_key"))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("start", T.IntegerType()),
-                           T.StructField("end", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType()),
-                           T.StructField("later", T.BooleanType())])
+    schema = T.StructType([source.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("pieces", T.LongType()),
+                           T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])
     names = [f.name for f in schema]
 
-    def rows(batch: pa.RecordBatch, which: np.ndarray, start, end, h, g, later: bool) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, which: np.ndarray, start, end, h, g: pa.Array) -> pa.RecordBatch:
         rows = pa.array(which)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
-             pa.array(h), pa.array(g), pa.array(np.full(len(which), later))], names=names)
+            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start << 32) | end), pa.array(h), g], names=names)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -268,10 +267,10 @@ def runs(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int,
                 order = np.array([once[k] for k in sorted(once, key=lambda k: (k[0] is not None, 0 if k[0] is None else k[0], k[1]))], np.int64)
                 found = block_runs(batch.column(2).take(pa.array(order)).to_pylist(), span, min_words, whole)
                 firsts, (doc, start, end) = _first_and_later(*found)
-                yield rows(batch, order[found[0][firsts]], found[1][firsts], found[2][firsts], found[3][firsts], found[4][firsts], False)
+                yield rows(batch, order[found[0][firsts]], found[1][firsts], found[2][firsts], found[3][firsts], pa.array(found[4][firsts]))
                 if len(doc):
                     spread = batch.column(3).take(pa.array(order[doc])).to_numpy(zero_copy_only=False)
-                    yield rows(batch, order[doc], start, end, spread, np.zeros(len(doc), np.int32), True)
+                    yield rows(batch, order[doc], start, end, spread, pa.nulls(len(doc), pa.int32()))
 
     return source.mapInArrow(hashed, schema)
 
@@ -280,12 +279,13 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """(r_id, r_key, removed): the piece numbers of a document that a non-first repeated span covers."""
     every = runs(docs, id_col, text_col, span, min_words, whole)
-    place = F.struct("doc_id", "text_key", "start")
+    place = F.struct("doc_id", "text_key", "pieces")
     # A run has one row a block of texts at most, and a document's later rows are few.
-    first = F.min(place).over(Window.partitionBy("h", "g", "later"))
-    later = every.withColumn("first", first).where(F.col("later") | ~place.eqNullSafe(F.col("first")))
-    gathered = later.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["end"]))))
+    first = F.min(place).over(Window.partitionBy("h", "g"))
+    later = every.withColumn("first", first).where(F.col("g").isNull() | ~place.eqNullSafe(F.col("first")))
+    gathered = later.groupBy("doc_id", "text_key").agg(F.collect_set("pieces").alias("spans"))
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(
+        F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))))
     return gathered.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"),
                            F.sort_array(covered).alias("removed"))
 
