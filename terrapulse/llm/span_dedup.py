@@ -65,8 +65,9 @@ _BREAK = re.compile(BREAK.encode())
 _DENSE_BREAK = re.compile(BREAK + "|(?<=[\u3002\uff01\uff1f])")
 _HAS_DENSE = re.compile(f"[{_DENSE}]")
 _DENSE_WORD = re.compile(f"[{_DENSE}]|[^{_BLANK}{_DENSE}]+")
-_BORDER = re.compile(f"(?<=[{_BLANK}])(?=[^{_BLANK}])".encode())
-_DENSE_BORDER = re.compile(f"(?<=[{_BLANK}])(?=[^{_BLANK}])|(?<=[{_DENSE}])(?=[^{_BLANK}])|(?<=[^{_BLANK}])(?=[{_DENSE}])")
+#: Items: words with the blanks after them, and blanks that begin a sentence.
+_ITEM = re.compile(f"[^{_BLANK}]+[{_BLANK}]*|[{_BLANK}]+".encode())
+_DENSE_ITEM = re.compile(f"(?:[{_DENSE}]|[^{_BLANK}{_DENSE}]+)[{_BLANK}]*|[{_BLANK}]+")
 
 
 class _Hashes(dict):
@@ -300,7 +301,7 @@ def _pieces(text: str | None, whole: bool, ends: np.ndarray) -> list[str]:
         if len(cuts) < 2:
             parts = [s]
         else:
-            items = (_BORDER if isinstance(s, bytes) else _DENSE_BORDER).split(s)
+            items = (_ITEM if isinstance(s, bytes) else _DENSE_ITEM).findall(s)
             parts = [s[:0].join(items[a:b]) for a, b in zip([0, *cuts[:-1]], cuts)]
         out += [p.decode() if isinstance(p, bytes) else p for p in parts]
     return out
@@ -311,8 +312,9 @@ def _rest(texts: list[str | None], removed: list, whole: bool) -> Iterator[tuple
     at = layout(texts, whole)
     for i, (text, gone) in enumerate(zip(texts, removed)):
         if gone is not None:
-            gone = set(gone.tolist())
-            text = "".join(p for n, p in enumerate(_pieces(text, whole, at.ends[at.text_items[i]:at.text_items[i + 1]])) if n not in gone)
+            ends, gone = at.ends[at.text_items[i]:at.text_items[i + 1]], set(gone.tolist())
+            # Copies lose all pieces.
+            text = "" if len(gone) == at.n_pieces[i] else "".join(p for n, p in enumerate(_pieces(text, whole, ends)) if n not in gone)
         yield text, at.n_pieces[i]
 
 
@@ -325,7 +327,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("text string, n_pieces int")
     def rest(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
-        texts = [None if t is None else t for t in text]
+        texts = text.tolist()
         out = []
         for part in _blocks(np.array([len(t or "") for t in texts], np.int64)):
             out += _rest(texts[part], removed.iloc[part].tolist(), whole)
