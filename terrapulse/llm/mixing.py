@@ -40,7 +40,7 @@ def quality(text: Column) -> Column:
 
 def uniform(doc_id: Column, text: Column) -> Column:
     """A number in (0, 1) from the id and the text, the same on every run."""
-    seed = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.length(F.coalesce(text, F.lit(""))))
+    seed = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit("")))
     return (F.conv(F.substring(F.md5(seed), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 

@@ -109,7 +109,7 @@ WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':' || length(t)), 1, 12))::BIGINT::DOUBLE + 0.5)
+  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':' || t), 1, 12))::BIGINT::DOUBLE + 0.5)
                 / 281474976710656.0)
          / greatest(0.05, 1 - length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::DOUBLE
                           / greatest(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')), 1)) AS draw FROM d),

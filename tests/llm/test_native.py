@@ -393,6 +393,9 @@ def test_mix(spark, odd, small_dir):
     again = mixing.mix(docs.repartition(7)).collect()
     assert {(r.doc_id, r.mix.copies) for r in first} == {(r.doc_id, r.mix.copies) for r in again}
     assert mixing.mix(odd.where("false")).count() == 0
+    # Rows of one id and length draw by their texts.
+    alike = docs.sparkSession.createDataFrame([(None, f"word{i} and two", "s") for i in range(8)], "doc_id long, text string, source string")
+    assert alike.select(mixing.uniform(F.col("doc_id"), F.col("text"))).distinct().count() == 8
 
 
 def test_mix_prefers_quality(spark):
