@@ -10,7 +10,8 @@ lengths: at most ``CAPACITY`` rows, whatever the corpus. It comes as runs: "piec
 r0 to r1 of length l go to sequences b0 to b1 at offset o". Steps work on whole runs, so
 the plan's size depends on the capacity and not on the number of pieces. Pieces are
 numbered within their length by hashed groups whose sizes are summed first, so that a
-length shared by a third of all pieces is numbered by many tasks.
+length shared by a third of all pieces is numbered by many tasks. Full pieces, the most
+frequent at scale, fill a sequence each: they take any unused number, without a shuffle.
 
 Defined results: null text is empty and is the end token alone; rows that repeat are
 packed each; an empty table gives an empty result; other columns are ignored.
@@ -293,6 +294,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     pieces = checkpointed(token_pieces(docs, id_col, text_col, path, capacity, end_id))
     # One row a length: at most ``capacity`` rows.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    return numbered(pieces).mapInArrow(
+    histogram.pop(capacity, None)
+    placed = numbered(pieces.where(F.col("length") < capacity)).mapInArrow(
         _placed(plan(histogram, capacity)),
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The plan numbers at most one sequence a piece from 0 on; the checkpoint keeps rows in their places.
+    above = F.monotonically_increasing_id() + F.lit(sum(histogram.values()))
+    full = pieces.where(F.col("length") == capacity).select(*pieces.columns, above.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)

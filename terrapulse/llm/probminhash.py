@@ -24,8 +24,9 @@ near misses, so this step alone grows with their number times the region's.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` in lower case. Defined results: texts of one to four
 words are one shingle; null and blank texts have none and stay alone; rows that repeat
-a doc_id are one document; a null doc_id has a null class unless it copies a document
-that has one; an empty table gives an empty result; other columns pass through.
+a doc_id are one document, and if their texts differ it is linked by each of them; a null
+doc_id has a null class unless it copies a document that has one; an empty table gives an
+empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -202,10 +203,11 @@ def _hashes(text: Column) -> Column:
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, codes, counts): the shingles of the documents in ``nodes`` (n_id)."""
+    """(node, codes, counts): the shingles of the documents in ``nodes`` (n_id), one row a different text."""
     texts = docs.join(sized(nodes), docs[id_col] == nodes["n_id"], "left_semi").select(
         F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hashes"))
-    return texts.mapInArrow(_counted, "node long, codes array<long>, counts array<int>").dropDuplicates(["node"])
+    sets = texts.mapInArrow(_counted, "node long, codes array<long>, counts array<int>")
+    return sets.repartition("node").dropDuplicates()  # also the partitioning of the joins by node
 
 
 def _links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
@@ -274,6 +276,16 @@ def _region_links(region: DataFrame, docs: DataFrame, id_col: str, text_col: str
     return xs.unionByName(ys).groupBy("largest", "i", "j").applyInArrow(_blocks_linked(similarity), "a long, b long")
 
 
+def _several_texts(signed: DataFrame, copies: DataFrame) -> DataFrame:
+    """Links (a, b) of documents whose rows have different texts to the classes of these texts."""
+    texts = signed.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
+    ids = checkpointed(texts.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where(
+        F.col("low") != F.col("high")).select(F.col("doc_id").alias("n_id")))
+    rows = texts.join(sized(ids), F.col("doc_id") == F.col("n_id"), "left_semi").select("doc_id", "same")
+    return rows.join(copies.select("same", "node"), "same").where(F.col("doc_id") != F.col("node")).select(
+        F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
             bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id): every document with the smallest doc_id of its class."""
@@ -287,7 +299,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
     members = checkpointed(buckets.join(shared.select("bucket", "a"), "bucket"))
     pairs = checkpointed(members.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct())
-    links = checkpointed(_links(pairs, docs, id_col, text_col, similarity))
+    links = checkpointed(_links(pairs, docs, id_col, text_col, similarity).unionByName(_several_texts(signed, copies)))
     roots = components(links)
 
     # What the comparison with the smallest member has left open: buckets over several components.
@@ -315,7 +327,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id, and one row of it."""
+    """One document of each class: the one with the smallest doc_id, and one row of each of its texts."""
     gone = classes(docs, id_col, text_col, similarity).where(F.col("doc_id") != F.col("class_id"))
     gone = checkpointed(gone.select(F.col("doc_id").alias("g_id")).distinct())
     kept = docs.join(sized(gone), docs[id_col] == gone["g_id"], "left_anti")

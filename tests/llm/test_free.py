@@ -185,6 +185,17 @@ def test_classes_cross_component_links(spark):
     assert got == brute_classes(docs) and len(set(got.values())) == 1
 
 
+def test_classes_of_a_document_with_several_texts(spark):
+    """Rows of one doc_id are one document: it is linked by each of its texts, in any order of rows."""
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    docs = [(7, text["a"]), (7, text["b"]), (3, text["a"]), (5, text["b"] + " more"), (9, text["c"]), (9, text["c"]), (9, None), (11, text["d"])]
+    for order in (docs, docs[::-1]):
+        got = Counter((r.doc_id, r.class_id) for r in probminhash.classes(spark.createDataFrame(order, "doc_id long, text string")).collect())
+        assert got == Counter({(7, 3): 2, (3, 3): 1, (5, 3): 1, (9, 9): 3, (11, 11): 1})
+    kept = Counter(r.doc_id for r in probminhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == Counter({3: 1, 9: 2, 11: 1})
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 4), (9, 4), (7, 8), (10, 10), (20, 21), (22, 21), (22, 20)] + [(50, 51 + i) for i in range(40)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -229,6 +240,15 @@ def test_pack(spark, odd, small_dir):
     assert packing.pack(odd.where("false")).count() == 0
 
 
+def test_pack_full_pieces(spark):
+    """Full pieces have sequences of their own, whichever partition holds them."""
+    docs = [(n, "word " * (64 * k - 1)) for n, k in enumerate((1, 1, 3, 2, 1, 5, 1))] + [(20 + n, "word " * 20) for n in range(9)]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), capacity=64).collect()
+    check_pieces(docs, got, 64)
+    full = [r.sequence_id for r in got if r.length == 64]
+    assert len(full) >= 14 and len(set(full)) == len(full) and not set(full) & {r.sequence_id for r in got if r.length < 64}
+
+
 def test_pack_odd_words(spark):
     texts = ["It's we'll I'd <|endoftext|>x <|startoftext|> ΣΑΣ İstanbul ﬁne é Å Ångström naïve. «hola» ...!?a 12ab's",
              "tab\tnl\nnbsp em zw​x\x1cy\x85z ß STRASSE ÿŸ ½² ①", "a" * 5000, "é" * 300 + ",,," + "'s'" * 3]
