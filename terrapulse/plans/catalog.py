@@ -51,7 +51,7 @@ def query(name: str, ids: str, sql: str | None = None):
 
 MODULES = ["queries_forest", "queries_urban", "queries_climate", "queries_matching",
            "queries_stats", "queries_text", "queries_payloads", "queries_ml", "queries_report",
-           "queries_stream"]
+           "queries_stream", "queries_series"]
 
 
 def load_all() -> dict[str, Entry]:
