@@ -128,6 +128,23 @@ CROP_SEASONS = ("Rabi", "Rabi", "Summer", "Summer", "Summer", "Kharif", "Kharif"
 WEATHER_SEASONS = ("Winter", "Winter", "Summer", "Summer", "Summer", "Monsoon", "Monsoon", "Monsoon", "Monsoon",
                    "Post-Monsoon", "Post-Monsoon", "Winter")
 
+# Fixed values of the alert rules: (sign, limit, value), the first step that holds counts.
+SPEI_BANDS = [("<=", -2.0, "Extremely Dry"), ("<=", -1.5, "Severely Dry"), ("<=", -1.0, "Moderately Dry"),
+              ("<", 1.0, "Near Normal"), ("<", 1.5, "Moderately Wet"), ("<", 2.0, "Severely Wet")]
+WETTEST = "Extremely Wet"
+DROUGHT_SEVERITY = [("=", "Extremely Dry", "CRITICAL"), ("=", "Severely Dry", "HIGH"), ("=", "Moderately Dry", "MODERATE"),
+                    ("=", "Near Normal", "NORMAL"), ("=", "Moderately Wet", "LOW"), ("=", "Severely Wet", "ELEVATED"),
+                    ("=", "Extremely Wet", "ELEVATED")]
+INTENSITY_LEVELS = [(">=", 8, "RED"), (">=", 4, "YELLOW")]
+INTENSITY_WORDS = [("<=", 3, "Low"), ("<=", 6, "Moderate"), ("<=", 8, "High")]
+ALERT_POINTS = {"ndvi": [("<", 0.15, 3), ("<", 0.3, 1)],
+                "temp": [(">", 45, 3), (">", 40, 2), (">", 37, 1)],
+                "wind": [(">", 80, 3), (">", 55, 2), (">", 35, 1)],
+                "precip": [(">", 80, 2), (">", 50, 1)]}
+COLD_POINTS = [("<", 5, 2)]
+POINT_LEVELS = [(">=", 6, "RED"), (">=", 3, "YELLOW")]
+POINT_LEVELS_OLD = [(">=", 6, "red"), (">=", 4, "orange"), (">=", 2, "yellow")]
+
 # Default environment values when a payload lacks them.
 DEFAULT_TEMP_C = 28.0
 DEFAULT_WIND_KMH = 12.0

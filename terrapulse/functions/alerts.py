@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import dims
 from .climate import _c, null_d
 
 
@@ -24,17 +27,20 @@ def or_default(x, default) -> Column:
     return F.coalesce(F.nullif(_c(x), F.lit(0)), _c(default))
 
 
+_SIGNS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq}
+
+
+def ladder(x, steps, otherwise) -> Column:
+    """The value of the first step (sign, limit, value) that holds; a null holds none."""
+    x, out = _c(x), F
+    for sign, limit, value in steps:
+        out = out.when(_SIGNS[sign](x, F.lit(limit)), F.lit(value))
+    return out.otherwise(F.lit(otherwise))
+
+
 # F17 ------------------------------------------------------------------------
 def drought_category(spei) -> Column:
-    s = _c(spei)
-    return (F.when(s.isNull(), F.lit(None).cast("string"))
-            .when(s <= -2.0, F.lit("Extremely Dry"))
-            .when(s <= -1.5, F.lit("Severely Dry"))
-            .when(s <= -1.0, F.lit("Moderately Dry"))
-            .when(s < 1.0, F.lit("Near Normal"))
-            .when(s < 1.5, F.lit("Moderately Wet"))
-            .when(s < 2.0, F.lit("Severely Wet"))
-            .otherwise(F.lit("Extremely Wet")))
+    return F.when(_c(spei).isNotNull(), ladder(spei, dims.SPEI_BANDS, dims.WETTEST))
 
 
 # F18 ------------------------------------------------------------------------
@@ -47,27 +53,17 @@ def drought_alert(category, active) -> Column:
 
 # F19 ------------------------------------------------------------------------
 def drought_severity(category) -> Column:
-    c = _c(category)
-    return (F.when(c == "Extremely Dry", F.lit("CRITICAL"))
-            .when(c == "Severely Dry", F.lit("HIGH"))
-            .when(c == "Moderately Dry", F.lit("MODERATE"))
-            .when(c == "Near Normal", F.lit("NORMAL"))
-            .when(c == "Moderately Wet", F.lit("LOW"))
-            .when(c.isin("Severely Wet", "Extremely Wet"), F.lit("ELEVATED"))
-            .otherwise(F.lit("UNKNOWN")))
+    return ladder(category, dims.DROUGHT_SEVERITY, "UNKNOWN")
 
 
 # F20 ------------------------------------------------------------------------
 def intensity_level(intensity) -> Column:
-    i = _c(intensity)
-    return F.when(i >= 8, F.lit("RED")).when(i >= 4, F.lit("YELLOW")).otherwise(F.lit("GREEN"))
+    return ladder(intensity, dims.INTENSITY_LEVELS, "GREEN")
 
 
 def intensity_word(intensity) -> Column:
     """Command-line wording: Low <= 3, Moderate <= 6, High <= 8, else Extreme."""
-    i = _c(intensity)
-    return (F.when(i <= 3, F.lit("Low")).when(i <= 6, F.lit("Moderate"))
-            .when(i <= 8, F.lit("High")).otherwise(F.lit("Extreme")))
+    return ladder(intensity, dims.INTENSITY_WORDS, "Extreme")
 
 
 # F21 ------------------------------------------------------------------------
@@ -75,26 +71,21 @@ def alert_points(ndvi, temp, wind, precip, cold_points: bool = False) -> Column:
     """Points from thresholds; a null input adds nothing.
 
     ``cold_points`` adds 2 below 5 degrees (older four-level variant, F22)."""
-    n, t, w, p = map(_c, (ndvi, temp, wind, precip))
-    pts = (F.coalesce(F.when(n < 0.15, 3).when(n < 0.3, 1), F.lit(0))
-           + F.coalesce(F.when(t > 45, 3).when(t > 40, 2).when(t > 37, 1), F.lit(0))
-           + F.coalesce(F.when(w > 80, 3).when(w > 55, 2).when(w > 35, 1), F.lit(0))
-           + F.coalesce(F.when(p > 80, 2).when(p > 50, 1), F.lit(0)))
-    if cold_points:
-        pts = pts + F.coalesce(F.when(t < 5, 2), F.lit(0))
+    inputs = {"ndvi": ndvi, "temp": temp, "wind": wind, "precip": precip}
+    tables = dict(dims.ALERT_POINTS, **({"cold": dims.COLD_POINTS} if cold_points else {}))
+    pts = F.lit(0)
+    for name, steps in tables.items():
+        pts = pts + ladder(inputs.get(name, temp), steps, 0)
     return pts.cast("int")
 
 
 def level_from_points(points) -> Column:
-    p = _c(points)
-    return F.when(p >= 6, F.lit("RED")).when(p >= 3, F.lit("YELLOW")).otherwise(F.lit("GREEN"))
+    return ladder(points, dims.POINT_LEVELS, "GREEN")
 
 
 # F22 ------------------------------------------------------------------------
 def level4_from_points(points) -> Column:
-    p = _c(points)
-    return (F.when(p >= 6, F.lit("red")).when(p >= 4, F.lit("orange"))
-            .when(p >= 2, F.lit("yellow")).otherwise(F.lit("green")))
+    return ladder(points, dims.POINT_LEVELS_OLD, "green")
 
 
 # F23 ------------------------------------------------------------------------
