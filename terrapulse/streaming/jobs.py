@@ -38,6 +38,8 @@ MONDAY_OFFSET = "4 days"  # 1970-01-01 is a Thursday: shift windows to start on
 #: Files of the landing folder, each cut further at so many rows.
 LANDING_FILES = 32
 LANDING_ROWS = 100_000
+#: Windows that one task puts together from their steps.
+MERGED_ROWS = 1_000_000
 
 _LANDED: dict[tuple[str, str, int], str] = {}
 
@@ -92,36 +94,50 @@ def _parts(measures: dict[str, tuple[Column, int]]) -> list[Column]:
 
 
 def window_writer(base: str, window: Column, measures: dict[str, tuple[Column, int]], keys: list[str], delay: str = DELAY):
-    """Writes each micro-batch's parts of its windows, and how far event time had come."""
+    """Writes each micro-batch's parts of its windows, how far event time had come and what was complete before.
+
+    Sliding windows are written by their steps (``window`` is then the step) and put together when they are read."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
             parts = batch.groupBy(*keys, window.alias("w")).agg(*_parts(measures))
-            late = F.lit(False)
+            late, upto = F.lit(False), F.lit(None).cast("timestamp")
             if batch_id > 0:
                 seen = spark.read.schema("upto timestamp").parquet(*[f"{base}/progress/batch={b}" for b in range(batch_id)])
                 parts = parts.join(F.broadcast(seen.agg(F.max("upto").alias("upto"))))  # one row
-                late = F.coalesce(F.col("w.end") <= F.col("upto") - F.expr(f"INTERVAL {delay}"), F.lit(False))
-            parts.withColumn("late", late).drop("upto").write.mode("overwrite").parquet(f"{base}/log/batch={batch_id}")
+                upto = F.col("upto") - F.expr(f"INTERVAL {delay}")
+                late = F.coalesce(F.col("w.end") <= upto, F.lit(False))
+            parts.withColumns({"late": late, "complete": upto}).drop("upto").write.mode("overwrite").parquet(f"{base}/log/batch={batch_id}")
             batch.agg(F.max("ts").alias("upto")).write.mode("overwrite").parquet(f"{base}/progress/batch={batch_id}")
         finally:
             batch.unpersist()
     return write_batch
 
 
-def merged_windows(spark: SparkSession, base: str, measures: dict[str, tuple[Column, int]], keys: list[str]) -> DataFrame:
-    """The windows of all batches so far: sums and counts of the measures, ``n_readings`` and ``n_late`` of them."""
+def merged_windows(spark: SparkSession, base: str, measures: dict[str, tuple[Column, int]], keys: list[str],
+                   steps: int = 1) -> DataFrame:
+    """The windows of all batches so far, of ``steps`` written steps each: sums and counts of the measures,
+    ``n_readings`` and ``n_late`` of them.
+
+    Steps are shuffled before they become windows, ``MERGED_ROWS`` windows a task, so a task's groups don't grow with the input."""
     log = spark.read.parquet(f"{base}/log")
+    if steps > 1:
+        step = F.col("w.end") - F.col("w.start")
+        log = log.repartition(max(1, -(-log.count() * steps // MERGED_ROWS)), *keys)
+        log = log.select("*", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
+        start = F.col("w.start") - F.col("_step") * F.col("_i")
+        log = log.withColumn("w", F.struct(start.alias("start"), (start + F.col("_step") * F.lit(steps)).alias("end")))
+        log = log.withColumn("late", F.coalesce(F.col("w.end") <= F.col("complete"), F.lit(False)))
     sums = [F.sum(f"{name}_{part}").alias(f"{name}_{part}") for name in measures for part in ("sum", "n")]
     return log.groupBy(*keys, "w").agg(*sums, F.sum("n_readings").alias("n_readings"),
                                        F.coalesce(F.sum(F.when(F.col("late"), F.col("n_readings"))), F.lit(0)).alias("n_late"))
 
 
-def _windows(stream: DataFrame, name: str, window: Column, measures: dict[str, tuple[Column, int]]) -> DataFrame:
+def _windows(stream: DataFrame, name: str, window: Column, measures: dict[str, tuple[Column, int]], steps: int = 1) -> DataFrame:
     base = scratch_path(stream.sparkSession, "stream", name, uuid.uuid4().hex[:10])
     _run(stream, name, window_writer(base, window, measures, ["location_id"]))
-    return merged_windows(stream.sparkSession, base, measures, ["location_id"])
+    return merged_windows(stream.sparkSession, base, measures, ["location_id"], steps)
 
 
 def _mean(name: str) -> Column:
@@ -148,7 +164,7 @@ def weekly_weather_stream(spark: SparkSession, d: str) -> DataFrame:
 def vegetation_windows(observations: DataFrame) -> DataFrame:
     """16-day windows sliding by one day: vegetation proxy per location."""
     measures = {"precip": (F.col("precip"), 2), "solar": (F.col("solar"), 1)}
-    res = _windows(observations, "vegetation", F.window("ts", "16 days", "1 day"), measures)
+    res = _windows(observations, "vegetation", F.window("ts", "1 day"), measures, steps=16)
     return res.select("location_id", F.col("w.start").alias("window_start"), _mean("precip").alias("mean_precip"),
                       _mean("solar").alias("mean_radiation"), "n_readings", "n_late").withColumn(
         "ndvi", fa.ndvi_proxy_a("mean_precip", "mean_radiation"))

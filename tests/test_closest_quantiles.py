@@ -104,6 +104,29 @@ def test_window_batch_run_again_counts_nothing_twice(spark, tmp_path):
     assert {k: (float(v[0]), *v[1:]) for k, v in got.items()} == {1: (3.0, 2, 2, 1), 3: (3.0, 2, 2, 0)}
 
 
+def test_sliding_windows_are_logged_by_steps(spark, tmp_path):
+    """A reading is one row of the log, not one a window, and the windows are those of one pass over all readings."""
+    rows = [(k, f"2024-01-{1 + (7 * i) % 20:02d} {i % 24:02d}:30:00", None if i % 9 == 0 else i / 2) for i in range(60) for k in ("a", None)]
+    df = spark.createDataFrame(rows, "k string, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
+    measures = {"v": (F.col("v"), 1)}
+    write = jobs.window_writer(str(tmp_path), F.window("ts", "1 day"), measures, ["k"], "1 day")
+    parts = [df.where(F.pmod(F.dayofmonth("ts"), F.lit(3)) == i) for i in (2, 0, 1)]
+    for i, part in enumerate(parts):
+        write(part, i)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 40
+    got = jobs.merged_windows(spark, str(tmp_path), measures, ["k"], steps=4)
+    want = df.groupBy("k", F.window("ts", "4 days", "1 day").alias("w")).agg(*jobs._parts(measures))
+    plain = lambda d: sorted(((r.k or "", r.w.start, r.w.end, r.v_sum, r.v_n, r.n_readings) for r in d.collect()), key=str)
+    assert plain(got) == plain(want)
+    late, upto = 0, None
+    for part in parts:
+        if upto is not None:
+            late += part.select(F.window("ts", "4 days", "1 day").alias("w")).where(F.col("w.end") <= F.lit(upto) - F.expr("INTERVAL 1 DAY")).count()
+        last = part.agg(F.max("ts")).first()[0]
+        upto = last if upto is None else max(upto, last)
+    assert late > 0 and got.agg(F.sum("n_late")).first()[0] == late
+
+
 def test_first_writer_emits_a_key_once(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "k string, event_id int, ts timestamp_ntz, day date")
     import datetime as dt
